@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sediment.llm import packing, quality
+from sediment.llm.decontamination import decontaminated
+from sediment.llm.jaccard import one_of_each
 from sediment.llm.mixing import mixed
 
 
@@ -13,6 +15,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.passing(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    return one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixed(docs)
@@ -23,7 +35,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.read_token_files(packing.write_token_files(docs))
 
 
-STAGES = [("quality rules", keep_quality), ("mixing", mix), ("token files", token_files)]
+STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", one_of_each_group), ("benchmark decontamination", without_benchmark), ("mixing", mix), ("token files", token_files)]
 
 #: Newton steps, similarity trees and binary files have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
