@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .attribution import op6_section_tokens
+from .chat import op8_chat_formatting
 from .decontamination import op7_decontamination
 from .jaccard import OP10_SQL, op10_jaccard_join
 from .mixing import op1_mix_sources
 from .packing import op3_token_files
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op9_shard_documents
+from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op6_section_tokens, op7_decontamination, op9_shard_documents, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op5_toxicity, op6_section_tokens, op7_decontamination, op8_chat_formatting, op9_shard_documents, op10_jaccard_join)}
 
 SQL = {"op2_quality_rules": OP2_SQL, "op10_jaccard_join": OP10_SQL}
