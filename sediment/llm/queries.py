@@ -9,9 +9,10 @@ from .jaccard import OP10_SQL, op10_jaccard_join
 from .mixing import op1_mix_sources
 from .packing import op3_token_files
 from .quality import OP2_SQL, op2_quality_rules
+from .secrets import op4_secret_scan
 from .sharding import op9_shard_documents
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op5_toxicity, op6_section_tokens, op7_decontamination, op8_chat_formatting, op9_shard_documents, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op4_secret_scan, op5_toxicity, op6_section_tokens, op7_decontamination, op8_chat_formatting, op9_shard_documents, op10_jaccard_join)}
 
 SQL = {"op2_quality_rules": OP2_SQL, "op10_jaccard_join": OP10_SQL}
