@@ -1,18 +1,8 @@
-"""Every query of the library by name: how it runs on Spark, and the SQL it must agree with."""
+"""All queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from .queries import baskets, diachronic, graphs, profiles, relational, sequences, streams, text  # noqa: F401  each adds its queries
+from .registry import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
-    family: str = ""
-
-
-QUERIES: dict[str, Query] = {}
+__all__ = ["QUERIES", "Query"]
