@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.96
 
@@ -91,7 +92,7 @@ def _log_table(a, b, c, d) -> np.ndarray:
     return g(a + b + 1) + g(c + d + 1) + g(a + c + 1) + g(b + d + 1) - g(a + 1) - g(b + 1) - g(c + 1) - g(d + 1) - g(a + b + c + d + 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided exact test of [[a, b], [c, d]]: probability of a table with as large a first cell or a larger one."""
     a, b, c, d = (x.to_numpy(float) for x in (a, b, c, d))
@@ -107,7 +108,7 @@ def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
     return pd.Series(np.minimum(1.0, total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided exact test: all tables with these margins that are no likelier than the observed one."""
     out = []
@@ -150,19 +151,19 @@ def _gamma_upper(s: float, x: float) -> float:
     return float(lead * h)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """Probability that chi-squared with ``df`` degrees of freedom is above x."""
     return pd.Series([_gamma_upper(d / 2, v / 2) if d > 0 else 1.0 for v, d in zip(x, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Probability that a standard normal is as far from 0."""
     return pd.Series([_gamma_upper(0.5, v * v / 2) for v in z])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Probability that Student's t with ``df`` degrees of freedom is as far from 0 (trapezoids on the density)."""
     out = []

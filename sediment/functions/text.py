@@ -18,14 +18,24 @@ def lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _runs(items: Column, n: int, joint: str) -> Column:
+    """Overlapping runs of n items, joined. The array is bound once, so that no run evaluates it again."""
+
+    def of(x: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(x) - (n - 1)), lambda i: F.concat_ws(joint, *[F.get(x, i + (j - 1)) for j in range(n)]))
+        return F.when(F.size(x) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(items), of).getItem(0)
+
+
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Overlapping runs of n words, joined by spaces; none where there are fewer."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))).otherwise(F.array().cast("array<string>"))
+    return _runs(tokens, n, " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Overlapping runs of n characters."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _runs(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), n, "")
 
 
 def occurrences(text: Column, phrase: str) -> Column:

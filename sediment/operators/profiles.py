@@ -73,12 +73,12 @@ def crosstab(df: DataFrame, a: str, b: str, keep: int | None = None, other: str
 def chi2(table: DataFrame, a: str, b: str) -> DataFrame:
     """One row: chi2, df, cramer_v, least_expected, p of counts (a, b, n). Empty cells of the table count as 0."""
     rows, columns = table.groupBy(a).agg(F.sum("n").alias("r")), table.groupBy(b).agg(F.sum("n").alias("c"))
-    total = table.agg(F.sum("n").alias("N"))
+    total = table.agg(F.sum("n").alias("total"))
     cells = rows.crossJoin(columns).crossJoin(total).join(table, [a, b], "left")  # margins of a contingency table
-    expected = F.col("r") * F.col("c") / F.col("N")
+    expected = F.col("r") * F.col("c") / F.col("total")
     seen = F.coalesce("n", F.lit(0))
-    sums = cells.agg(F.sum((seen - expected) * (seen - expected) / expected).alias("chi2"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"), F.least(F.countDistinct(a), F.countDistinct(b)).alias("side"), F.min(expected).alias("least_expected"), F.first("N").alias("N"))
-    return sums.select("chi2", "df", F.sqrt(F.col("chi2") / (F.col("N") * F.greatest(F.col("side") - 1, F.lit(1)))).alias("cramer_v"), "least_expected", stats.chi2_tail("chi2", F.col("df").cast("double")).alias("p"))
+    sums = cells.agg(F.sum((seen - expected) * (seen - expected) / expected).alias("chi2"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"), F.least(F.countDistinct(a), F.countDistinct(b)).alias("side"), F.min(expected).alias("least_expected"), F.first("total").alias("total"))
+    return sums.select("chi2", "df", F.sqrt(F.col("chi2") / (F.col("total") * F.greatest(F.col("side") - 1, F.lit(1)))).alias("cramer_v"), "least_expected", stats.chi2_tail("chi2", F.col("df").cast("double")).alias("p"))
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -117,10 +117,10 @@ def group_contrasts(units: DataFrame, group: str, min_units: int = 3, q: float =
 def outcome_association(units: DataFrame, outcome: DataFrame, min_units: int = 3, q: float = 0.05) -> DataFrame:
     """For every item of (unit, item): its 2x2 table with ``outcome`` (unit, positive), odds ratio, the smaller one-sided p
     and the Benjamini-Hochberg mark on twice that. Items of too few or of all units are left out."""
-    totals = outcome.agg(F.count(F.lit(1)).alias("N"), F.count(F.when(F.col("positive"), 1)).alias("P"))
-    items = units.select("unit", "item").distinct().join(outcome, "unit").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("positive"), 1)).alias("a")).crossJoin(totals).where((F.col("n") >= min_units) & (F.col("n") < F.col("N")))
-    a, b, c = F.col("a"), F.col("n") - F.col("a"), F.col("P") - F.col("a")
-    d = F.col("N") - F.col("n") - c
+    totals = outcome.agg(F.count(F.lit(1)).alias("units"), F.count(F.when(F.col("positive"), 1)).alias("positives"))
+    items = units.select("unit", "item").distinct().join(outcome, "unit").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("positive"), 1)).alias("a")).crossJoin(totals).where((F.col("n") >= min_units) & (F.col("n") < F.col("units")))
+    a, b, c = F.col("a"), F.col("n") - F.col("a"), F.col("positives") - F.col("a")
+    d = F.col("units") - F.col("n") - c
     rows = items.withColumns({"odds_ratio": stats.odds_ratio(a, b, c, d)[0], "p": F.least(stats.fisher_greater(a, b, c, d), stats.fisher_greater(b, a, d, c))})
     return stats.benjamini_hochberg(rows.withColumn("p2", F.least(F.lit(1.0), 2 * F.col("p"))), "p2", q)
 

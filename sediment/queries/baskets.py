@@ -31,7 +31,7 @@ def basket_pairs(spark, d):
 
 
 @query(120, 126, 88, sql=f"""WITH {PAIRS},
-f AS (SELECT a, b, least(1.0, list_sum(list_transform(range(k, least(na, nb) + 1), x -> exp(lgamma(na + 1) + lgamma(n - na + 1) + lgamma(nb + 1) + lgamma(n - nb + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(na - x + 1) - lgamma(nb - x + 1) - lgamma(n - na - nb + x + 1))))) AS p FROM p),
+f AS (SELECT a, b, least(1.0, list_sum(list_transform(range(k, least(na, nb) + 1), lambda x: exp(lgamma(na + 1) + lgamma(n - na + 1) + lgamma(nb + 1) + lgamma(n - nb + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(na - x + 1) - lgamma(nb - x + 1) - lgamma(n - na - nb + x + 1))))) AS p FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM f),
 l AS (SELECT max(p) AS limit_p FROM r WHERE p <= 0.05 * i / m)
 SELECT a, b, round(p, 6) AS p, coalesce(p <= limit_p, false) AS significant FROM f, l""")

@@ -29,7 +29,7 @@ def link_prediction_aa(spark, d):
     return G.link_prediction(edges(spark, d)).select("a", "b", "common", *r6("adamic_adar", "allocation"))
 
 
-@query(333, 112, sql=f"WITH {LINKS}, t AS (SELECT a, b FROM l ORDER BY round(adamic_adar, 9) DESC, a, b LIMIT 20) SELECT count(*) AS hits, round(count(*) / 20.0, 6) AS \"precision\" FROM t WHERE (a, b) IN (SELECT a, b FROM p)")
+@query(333, 112, sql=f"WITH {LINKS}, best AS (SELECT a, b FROM l ORDER BY round(adamic_adar, 9) DESC, a, b LIMIT 20) SELECT count(*) AS hits, round(count(*) / 20.0, 6) AS \"precision\" FROM best WHERE (a, b) IN (SELECT a, b FROM p)")
 def link_hits(spark, d):
     table_ = B.pair_table(brands(spark, d))
     predicted = G.link_prediction(table_.where("lift > 1.1 or k >= 50").select("a", "b"))

@@ -79,7 +79,7 @@ def odds_ratio_group_contrast(spark, d):
     return P.group_contrasts(u, "grp").select("grp", "item", "a", *r6("share", "elsewhere", "odds_ratio"))
 
 
-@query(134, sql="""WITH u AS (SELECT DISTINCT user_id AS unit, date_trunc('day', ts)::VARCHAR[:10] AS item FROM events WHERE event_type = 'click'), o AS (SELECT user_id AS unit, bool_or(event_type = 'purchase') AS positive FROM events GROUP BY 1),
+@query(134, sql="""WITH u AS (SELECT DISTINCT user_id AS unit, substr(ts::VARCHAR, 1, 10) AS item FROM events WHERE event_type = 'click'), o AS (SELECT user_id AS unit, bool_or(event_type = 'purchase') AS positive FROM events GROUP BY 1),
 t AS (SELECT count(*) AS n_all, count(*) FILTER (positive) AS p FROM o), x AS (SELECT item, count(*) AS n, count(*) FILTER (positive) AS a FROM u JOIN o USING (unit) GROUP BY item)
 SELECT item, n, a, CASE WHEN a = 0 OR n - a = 0 OR p - a = 0 OR n_all - n - p + a = 0 THEN round((a + 0.5) * (n_all - n - p + a + 0.5) / ((n - a + 0.5) * (p - a + 0.5)), 6)
 ELSE round(a * (n_all - n - p + a)::DOUBLE / ((n - a) * (p - a)), 6) END AS odds_ratio FROM x, t WHERE n >= 3 AND n < n_all""")

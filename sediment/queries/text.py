@@ -28,7 +28,7 @@ def document_frequency(spark, d):
     return S.document_frequency(S.postings(docs(spark, d))).where("df >= 20")
 
 
-@query(141, 142, sql="SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text)), i -> substr(text, i, 2))) AS gram FROM documents) GROUP BY 1 HAVING count(*) >= 500")
+@query(141, 142, sql="SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS gram FROM documents) GROUP BY 1 HAVING count(*) >= 500")
 def char_bigrams(spark, d):
     return docs(spark, d).select(F.explode(T.char_ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 500")
 
