@@ -53,6 +53,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda s: F.length(s) > 0)
 
 
+def passages(text: Column, most: int) -> Column:
+    """Pieces of at most ``most`` characters that together are the text: each ends at the last sentence end that fits, or is cut."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{0,{most - 1}}}[.!?\n]|.{{1,{most}}})"), F.lit(1))
+
+
+def bare(text: Column) -> Column:
+    """Letters, digits and characters beyond ASCII only."""
+    return F.regexp_replace(text, "[^A-Za-z0-9\u0080-\U0010ffff]+", "")
+
+
 def density(text: Column, pattern: str, per: int = 10_000) -> Column:
     """Matches per ``per`` characters; 0 for an empty text."""
     return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(pattern)) * per / F.length(text)).otherwise(0.0)
