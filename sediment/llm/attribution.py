@@ -57,6 +57,7 @@ def section_tokens(docs: DataFrame, fields: Sequence[str] = ("source", "lang", "
     cover the document and their tokens add up to ``doc_tokens``. ``rule`` says where a token goes
     that crosses a boundary (see ``attribute``).
 
+    A special token that a text spells out is one token (see ``tokens``), so it counts once, for one section.
     Null fields are empty: a section of the line feed alone (the last one of nothing). Repeated rows each
     give their sections; an empty table gives none.
     """

@@ -2,42 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import discard, fresh, named, numbered, small, with_rank, written
 
 #: A word of the size measure.
 WORD = r"[^\x20\x09-\x0D]+"
-_BINS = 1024
-_FILLS = 3
-
-
-def _beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    other = per_source.withColumnRenamed("source", "_source")
-    return rows.join(other, rows.source.eqNullSafe(other._source)).drop("_source")
-
-
-def _narrowed(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """``need`` (source, need, most, floor, width) after one histogram of the rows no larger than ``most``: the
-    bins that fit are taken off ``need``, and ``floor``/``width`` name the first bin that does not."""
-    some = _beside(rows, need).where(F.col("size") <= F.col("most")).withColumn("bin", F.floor((F.col("v") - F.col("floor")) / F.col("width")))
-    bins = some.where((F.col("bin") >= 0) & (F.col("bin") < _BINS)).groupBy("source", "bin").agg(F.sum("size").alias("got"))
-    run = bins.withColumn("sum", F.sum("got").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    both = _beside(run, need)
-    ends = both.groupBy("source").agg(F.max(F.when(F.col("sum") <= F.col("need"), F.col("sum"))).alias("sum"), F.min(F.when(F.col("sum") > F.col("need"), F.col("bin"))).alias("next")).withColumnRenamed("source", "_s")
-    at = need.join(ends, need.source.eqNullSafe(ends._s), "left")
-    return written(at.select("source", (F.col("need") - F.coalesce("sum", F.lit(0))).alias("need"), "most", (F.col("floor") + F.coalesce("next", F.lit(_BINS)) * F.col("width")).alias("floor"), (F.col("width") / _BINS).alias("width")), "need")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target, capped) for ``sizes`` (source, size).
+    """(source, source_size, target, capped) for ``sizes`` (source, size, and n: rows of that size).
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes; no
     target exceeds ``most`` times its source's size, and the excess is shared again by weight. The loop
-    aggregates the table of sources and keeps two numbers on the driver.
+    aggregates the table of sources (a row a source, numbered in one window) and keeps two numbers on the
+    driver. An empty table gives no rows; a source without words has target 0.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
@@ -55,44 +41,30 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
             break
         share = new
     target = F.least(F.lit(share) * F.col("weight"), cap)
-    return written(per.select("source", "source_size", target.alias("target"), (F.lit(share) * F.col("weight") >= cap).alias("capped")), "targets")
+    out = written(per.select("source", "source_size", target.alias("target"), (F.lit(share) * F.col("weight") >= cap).alias("capped")), "targets")
+    discard(per)
+    return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, keys: tuple[str, ...] = ("doc_id",), rounds: int = 60) -> DataFrame:
-    """Copies of every document so that sources meet target token counts.
+def _rate(tilt: str, most: int) -> F.Column:
+    lean = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -F.col(tilt) * F.col("size") / F.col("mean")))
+    return F.lit(float(most)) / (1 + (most - 1) * F.exp(lean))
 
-    ``docs`` has ``keys``, ``source`` and ``text``. Returns keys, source, size, source_size, target, rate, copies,
-    taken (= copies * size).
 
-    Entropy balancing with rates between 0 and ``most``: of all rates that meet the constraint
-    sum(rate * size) = target in a source, those nearest in entropy to rate 1 are
-    most / (1 + (most - 1) * exp(-lambda * size / mean size)). The dual in lambda is convex; Newton steps
-    for all sources run together, one aggregation over the table of sizes a step, with a bracket so that a
-    step never leaves the interval that holds the root. Rates become whole copies by one threshold a source
-    on (hash of the document - fraction of its rate), found on two histograms, so that a source misses its
-    target by about one document.
-
-    Null text has size 0 and is taken 0 times; sources may be null; repeated rows count each (copies of one row
-    get the same copies unless the threshold parts them by nothing, so they move together); an empty table gives an
-    empty result. A source at its cap is taken ``most`` times whole.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(*keys, "source", size.alias("size"), F.xxhash64(*keys, "source", "text").alias("_h")), "sizes")
-    targets = source_targets(sizes.select("source", "size"), weights, most)
+def tilts(bins: DataFrame, targets: DataFrame, most: int, rounds: int = 60) -> DataFrame:
+    """(source, source_size, target, capped, mean, tilt): Newton steps on the dual of all sources at once, one
+    aggregation of ``bins`` (source, size, n) a step. A bracket keeps a step inside the interval of the root."""
+    counts = bins.groupBy(F.col("source").alias("_s")).agg(F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
     mean = F.when(F.col("docs") > 0, F.col("source_size") / F.col("docs"))
-    counts = sizes.groupBy("source").agg(F.count(F.when(F.col("size") > 0, 1)).alias("docs"), F.max("size").alias("largest"))
-    state = targets.join(counts, targets.source.eqNullSafe(counts.source)).select(targets.source, "source_size", "target", "capped", mean.alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), F.lit(False).alias("done"))
+    state = targets.join(counts, targets.source.eqNullSafe(counts._s)).select("source", "source_size", "target", "capped", mean.alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), (F.col("capped") | (F.col("source_size") == 0)).alias("done"))
     state = written(state, "tilt")
-
-    def joined(now: DataFrame) -> DataFrame:
-        return sizes.join(now.withColumnRenamed("source", "_source"), sizes.source.eqNullSafe(F.col("_source")))
-
-    x = F.col("size") / F.col("mean")
-    rate = F.lit(float(most)) / (1 + (most - 1) * F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -F.col("tilt") * x))))
+    rate = _rate("tilt", most)
     for _ in range(rounds):
-        slope = rate * (1 - rate / most) * x
-        sums = joined(state.where("not done and not capped and source_size > 0")).groupBy("_source").agg(F.sum(F.col("size") * rate).alias("got"), F.sum(F.col("size") * slope).alias("slope"))
-        both = state.join(sums, state.source.eqNullSafe(sums._source), "left")
+        now = small(state.where("not done").withColumnRenamed("source", "_s"))
+        slope = rate * (1 - rate / most) * F.col("size") / F.col("mean")
+        words = F.col("size") * F.col("n")
+        sums = bins.join(now, bins.source.eqNullSafe(F.col("_s"))).groupBy("_s").agg(F.sum(words * rate).alias("got"), F.sum(words * slope).alias("slope"))
+        both = state.join(sums, state.source.eqNullSafe(sums._s), "left")
         over = F.col("got") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
         step = F.col("tilt") - (F.col("got") - F.col("target")) / F.greatest("slope", F.lit(1e-300))
@@ -100,48 +72,108 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
         near = F.col("got").isNull() | (F.abs(F.col("got") - F.col("target")) <= 1e-7 * F.greatest("target", F.lit(1.0)))
         moved = both.select("source", "source_size", "target", "capped", "mean", F.when(near, F.col("tilt")).otherwise(inside).alias("tilt"), F.when(near, F.col("low")).otherwise(low).alias("low"), F.when(near, F.col("high")).otherwise(high).alias("high"), near.alias("done"))
         moved = written(moved, "tilt")
-        left = moved.where("not done").limit(1).count()
         discard(state)
         state = moved
-        if not left:
+        if state.where("not done").isEmpty():
             break
-    state = state.withColumn("tilt", F.round("tilt", 9))
-    rated = joined(state)
-    exact = F.when(F.col("capped"), F.lit(float(most))).when(F.col("size") == 0, 0.0).otherwise(F.round(F.least(rate, F.lit(float(most))), 9))
-    rated = rated.withColumn("rate", exact).withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole"))
-    # u in [0, 1) from the document; a further copy if u - part is under the source's threshold (in [-1, 1))
-    u = F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)
-    rated = written(rated.withColumn("v", u - F.col("part")).select(*keys, "source", "size", "_h", "source_size", "target", "rate", "whole", "part", "v"), "rates")
-    plain = rated.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("have"), F.first("target").alias("target"))
-    need = plain.select("source", (F.col("target") - F.col("have")).alias("need"))
-    extra = F.lit(False)
-    cuts = None
-    # A threshold stops before the first document that does not fit; smaller ones after it fill what is left.
-    for turn in range(_FILLS):
-        need = written(need.withColumns({"most": F.col("need"), "floor": F.lit(-1.0), "width": F.lit(2.0 / _BINS)}), "need")
-        open_ = rated.where("part > 0") if cuts is None else _beside(rated.where("part > 0"), cuts).where(~extra).select(*rated.columns)
-        for _ in range(3):  # bins of 2/1024, 2/1024**2, 2/1024**3
-            need = _narrowed(open_, need)
-        now = need.select("source", F.col("floor").alias(f"cut{turn}"), F.col("most").alias(f"most{turn}"))
-        if cuts is not None:
-            old = cuts.withColumnRenamed("source", "_old")
-            now = now.join(old, now.source.eqNullSafe(old._old)).drop("_old")
-        cuts = written(now, "cuts")
-        extra = extra | ((F.col("v") < F.col(f"cut{turn}")) & (F.col("size") <= F.col(f"most{turn}")))
-        need = need.select("source", "need")
-    out = _beside(rated, cuts)
-    copies = F.col("whole") + F.when((F.col("part") > 0) & extra, 1).otherwise(0)
-    out = out.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
-    return out.select(*keys, rated.source, "_h", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken (documents without words are taken never)."""
+    return state
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole copies for bins (source, size, n, rate, ...) that come by source, the largest size first: ``extra`` of a
+    bin's rows get one copy more than ``whole``, so that words taken so far stay nearest to what rates ask for."""
+    last, owed = object(), 0.0
+    for batch in batches:
+        sources, sizes, counts, rates = (batch.column(i).to_pylist() for i in range(4))
+        whole, extra = [], []
+        for source, size, n, rate in zip(sources, sizes, counts, rates):
+            if source != last:
+                last, owed = source, 0.0
+            down = int(rate)
+            owed += size * n * (rate - down)
+            more = min(n, max(0, int(np.floor(owed / size + 0.5)))) if size and rate > down else 0
+            owed -= size * more
+            whole.append(down)
+            extra.append(more)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.int64()), pa.array(extra, pa.int64())], names=[*batch.schema.names, "whole", "extra"])
+
+
+def _plan(rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """(source, size, source_size, target, rate, whole, below) for every source and size of ``rows`` (source, size, _u):
+    rows with ``_u`` under ``below`` (none if null) are taken whole + 1 times."""
+    bins = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "bins")
+    targets = source_targets(bins, weights, most)
+    state = tilts(bins, targets, most)
+    exact = F.when(F.col("size") == 0, 0.0).when(F.col("capped"), F.lit(float(most))).otherwise(F.round(F.least(_rate("tilt", most), F.lit(float(most))), 9))
+    rounded = state.withColumn("tilt", F.round("tilt", 9)).withColumnRenamed("source", "_s")
+    rated = bins.join(small(rounded), bins.source.eqNullSafe(F.col("_s"))).select("source", "size", "n", exact.alias("rate"), "source_size", "target")
+    # a source's sizes pass through one task in order, streamed; there are no more of them than words in its longest text
+    ordered = rated.repartition("source").sortWithinPartitions("source", F.desc("size"))
+    dealt = written(ordered.mapInArrow(_dealt, "source string, size long, n long, rate double, source_size long, target double, whole long, extra long"), "dealt")
+    open_ = dealt.where("extra > 0 and extra < n").select(F.col("source").alias("_s"), F.col("size").alias("_z"), "extra")
+    some = rows.join(small(written(open_, "open")), rows.source.eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).select("source", "size", "_u", "extra")
+    edge = with_rank(some, ["source", "size"], "_u", "_r").where("_r = extra").select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_u").alias("_edge"))
+    edge = written(edge, "edges")
+    both = dealt.join(edge, dealt.source.eqNullSafe(edge._s) & (dealt["size"] == edge._z), "left")
+    below = F.when(F.col("extra") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("_edge"))
+    plan = written(both.select("source", "size", "source_size", "target", "rate", "whole", below.alias("below")), "plan")
+    discard(bins, targets, state, dealt, edge)
+    return plan
+
+
+def _copies(most: int, whole: str = "whole", below: str = "below", u: str = "_u") -> F.Column:
+    return F.least(F.col(whole) + F.when(F.col(u) < F.col(below), 1).otherwise(0), F.lit(most)).cast("long")
+
+
+def _size() -> F.Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Copies of every document so that sources meet target token counts.
+
+    ``docs`` has ``keys``, ``source`` and ``text``. Returns keys, source, size, source_size, target, rate, copies,
+    taken (= copies * size).
+
+    Entropy balancing with rates between 0 and ``most``: of all rates that meet the constraint
+    sum(rate * size) = target in a source, those nearest in entropy to rate 1 are
+    most / (1 + (most - 1) * exp(-lambda * size / mean size)). The dual in lambda is convex; Newton steps
+    for all sources run together on the table of (source, size, rows), a step an aggregation. Rates become
+    whole copies size by size, the largest first: the part of a size's rows (by hash) that gets one copy more
+    is the one that keeps the words taken nearest to what the rates ask for, so a source misses its target by
+    about half its shortest document.
+
+    Null text has size 0 and is taken 0 times; sources may be null; repeated rows count each and are told apart
+    by number, so they need not move together; an empty table gives an empty result. A source at its cap is
+    taken ``most`` times whole. Other columns are not read. The result reads two tables in the shared folder;
+    all others are deleted.
+    """
+    rows = docs.select(*keys, F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(*keys, "source", "text").alias("_h"))
+    rows = written(rows, "sizes")
+    rows = numbered(rows, "_h", "_nth").withColumn("_u", F.xxhash64("_h", "_nth"))
+    plan = _plan(rows, weights, most).withColumnsRenamed({"source": "_s", "size": "_z"})
+    out = rows.join(small(plan), rows.source.eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).withColumn("copies", _copies(most))
+    return out.select(*keys, "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
+    """The mix itself: rows of ``docs`` (doc_id, source, text and any other columns, which keep names and values), each
+    as often as it is taken.
+
+    Copies follow from a row's source, size and hash by one small table, so texts are mapped and not shuffled (only
+    repeated rows are, to be numbered). Null texts and texts without words are taken never; null sources are a
+    source; repeated rows are mixed like others; an empty table gives no rows.
+    """
     columns = docs.columns
-    copies = mix_sources(docs.select("doc_id", "source", "text"), **how).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "copies").where("copies > 0").dropDuplicates(["_d", "_g"])
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "source", "text"))
-    both = keyed.join(copies, keyed.doc_id.eqNullSafe(copies._d) & (keyed._k == copies._g))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    h, size, nth, u, source, s, z, whole, below, times = fresh(columns, "_h", "_size", "_nth", "_u", "_source", "_s", "_z", "_whole", "_below", "_times")
+    rows = docs.withColumns({source: F.col("source").cast("string"), size: _size(), h: F.xxhash64("doc_id", "source", "text")})
+    light = written(rows.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(h).alias("_h")), "sizes")
+    plan = _plan(numbered(light, "_h", "_nth").withColumn("_u", F.xxhash64("_h", "_nth")), weights, most)
+    plan = plan.where("whole > 0 or below is not null").select(F.col("source").alias(s), F.col("size").alias(z), F.col("whole").alias(whole), F.col("below").alias(below))
+    rows = numbered(rows, h, nth).withColumn(u, F.xxhash64(h, nth))
+    both = rows.join(small(plan), F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)))
+    discard(light)
+    return both.withColumn(times, F.explode(F.sequence(F.lit(1), _copies(most, whole, below, u)))).where(F.col(times) > 0).select(*named(columns))
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

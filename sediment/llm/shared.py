@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and has no machine but this one (tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/sediment"
+#: Rows of a table that may be broadcast (a few numbers each).
+SMALL = 200_000
+_SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. A session on one machine
+    may leave it out; a cluster may not."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or LOCAL_SHARED).rstrip("/")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = LOCAL_SHARED
+    return found.rstrip("/")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until none of them is (but for case) among ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(columns: list[str]) -> list[F.Column]:
+    """Columns of any names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when its task ends, the worker gives free memory back to the machine, as Spark keeps
+    idle workers."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return runs
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -45,11 +98,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, key: str, to: str) -> DataFrame:
+    """``df`` with ``to``: 0, 1, ... among rows that share the long hash ``key`` (rows that share it are taken to be
+    equal, so which one gets which number is the same to all). Keys that occur once cost one count;
+    rows of the others are written, salted, and numbered inside a salt after the salts before it."""
+    salt, salt2, n, before, key2 = fresh([*df.columns, to], "_salt", "_salt2", "_n", "_before", "_key2")
+    many = written(df.groupBy(F.col(key).alias(key2)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(key2), "repeated")
+    if many.isEmpty():
+        discard(many)
+        return df.withColumn(to, F.lit(0).cast("long"))
+    some = small(many)
+    rows = written(df.join(some, df[key] == some[key2], "left_semi").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))), "repeated")
+    sums = rows.groupBy(F.col(key).alias(key2), F.col(salt).alias(salt2)).agg(F.count(F.lit(1)).alias(n))
+    ahead = Window.partitionBy(key2).orderBy(salt2).rowsBetween(Window.unboundedPreceding, -1)
+    sums = written(sums.select(key2, salt2, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before)), "salts")
+    inside = rows.withColumn(to, F.row_number().over(Window.partitionBy(key, salt).orderBy(F.lit(0))) - 1)
+    ranked = inside.join(sums, (F.col(key) == F.col(key2)) & (F.col(salt) == F.col(salt2))).withColumn(to, (F.col(to) + F.col(before)).cast("long"))
+    once = df.join(some, df[key] == some[key2], "left_anti").withColumn(to, F.lit(0).cast("long"))
+    return once.unionByName(ranked.select(*named(once.columns)))
+
+
 def with_rank(df: DataFrame, keys: list[str], order: str, to: str, ties: list[str] | None = None) -> DataFrame:
     """Gapless rank from 0 within ``keys`` by the long hash column ``order`` (then ``ties``).
 
     No group meets in one task: the hash is cut into ranges, ranges are counted (partial sums), and
-    rows are numbered within a range of a group and moved up by the ranges before it.
+    rows are numbered within a range of a group and moved up by the ranges before it. Equal hashes meet in
+    one range, so ``order`` should tell rows apart.
     """
     n = max(8, partitions(df.sparkSession))
     at = F.shiftright((F.shiftright(order, 32) + F.lit(1 << 31).cast("long")) * F.lit(n).cast("long"), 32).cast("int")

@@ -2,7 +2,9 @@
 
 The library encodes every distinct piece (a word with the space before it, a number, a run of marks) once
 per worker and keeps its ids; numpy cuts texts into pieces and looks the ids up. Texts with characters
-from U+0250 on go to the library whole. Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+from U+0250 on, and texts that spell one of the vocabulary's special tokens, go to the library whole. Ids are those
+of ``Tokenizer.encode(text, add_special_tokens=False)``: a special token that a text spells out gets the
+special id, as the plain library has it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from .words import PIECE, U, mix, powers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 400_000
 
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 2**64)
@@ -49,7 +51,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.piece = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = self.piece.encode_special_tokens = True
+        self.spelled = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.classes = _classes()
         self._forget()
@@ -172,7 +174,17 @@ class Encoder:
     def _encode(self, texts: list, group: list[int], parts: list[np.ndarray]) -> None:
         if not group:
             return
-        cps = np.frombuffer("".join(texts[i] for i in group).encode("utf-32-le"), np.uint32)
+        joined = "".join(texts[i] for i in group)
+        if any(s in joined for s in self.spelled):
+            marked = [i for i in group if any(s in texts[i] for s in self.spelled)]
+            for i, done in zip(marked, self.whole.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False)):
+                parts[i] = np.array(done.ids, np.int32)
+            marks = set(marked)
+            group = [i for i in group if i not in marks]
+            if not group:
+                return
+            joined = "".join(texts[i] for i in group)
+        cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(texts[i]) for i in group])
         begins = np.concatenate([[0], ends[:-1]])
         if cps.max() >= _FAST:

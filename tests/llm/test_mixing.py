@@ -5,6 +5,8 @@ from collections import defaultdict
 import pytest
 from fixtures import SMALL, WORD, edges, empty, prose
 
+from pyspark.sql import functions as F
+
 from sediment.llm.mixing import mix_sources, mixed, op1_mix_sources
 
 
@@ -79,3 +81,25 @@ def test_the_mix_repeats_rows(spark):
     for r in out.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {d: n for d, n in counts.items() if n}
+
+
+def test_equal_rows_do_not_move_together(spark):
+    docs = spark.createDataFrame([(1, "a", "four words of text")] * 600 + [(i, "b", prose(i, 30)) for i in range(2, 60)] + [(i, "c", prose(i, 20)) for i in range(60, 130)], "doc_id long, source string, text string")
+    rows = mix_sources(docs).collect()
+    assert len(rows) == 728
+    held(rows)
+    got = sum(r["taken"] for r in rows if r["doc_id"] == 1)
+    want = next(r["target"] for r in rows if r["doc_id"] == 1)
+    assert abs(got - want) <= 4
+    assert len({r["copies"] for r in rows if r["doc_id"] == 1}) == 2
+    repeated = mixed(docs).groupBy("doc_id").count().collect()
+    assert dict(repeated)[1] * 4 == got
+
+
+def test_extra_columns_with_names_of_our_own_stay(spark):
+    docs = edges(spark)
+    for c in ("_d", "_g", "_k", "_copy", "_h", "_u", "_size", "copies", "rate", "SIZE_", "_s.t"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r[docs.columns.index("_d") :]) for r in out.collect()} == {tuple(f"own {c}" for c in docs.columns[docs.columns.index("_d") :])}

@@ -16,7 +16,6 @@ def expected(rows) -> list[tuple]:
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(vocabulary())
-    tool.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*tool.encode(text or "", add_special_tokens=False).ids, 0]
@@ -25,6 +24,11 @@ def expected(rows) -> list[tuple]:
     return out
 
 
+def sizes(rows) -> list[tuple]:
+    """doc_id, n_tokens, crc of ``rows``, whatever the order of equal ids."""
+    return sorted(((r[0], *r[2:]) for r in rows), key=repr)
+
+
 def by_start(df) -> list[tuple]:
     return sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
 
@@ -36,7 +40,10 @@ def test_round_trip(spark):
 
 def test_edges(spark):
     docs = edges(spark).select("doc_id", "text")
-    assert by_start(read_token_files(write_token_files(docs))) == expected([(r[0], r[1]) for r in edge_rows()])
+    got, want = by_start(read_token_files(write_token_files(docs))), expected([(r[0], r[1]) for r in edge_rows()])
+    assert sizes(got) == sizes(want)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert all(b[1] == a[1] + a[2] for a, b in zip(got, got[1:]))
     assert read_token_files(write_token_files(empty(spark))).collect() == []
 
 
@@ -45,12 +52,38 @@ def test_ids_are_the_librarys(text):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(vocabulary())
-    tool.encode_special_tokens = True
     ids, begin = encoder(vocabulary()).encode([text, "next", text])
     assert ids[: begin[1]].tolist() == tool.encode(text, add_special_tokens=False).ids
     assert ids[begin[2] :].tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_made_up_strings_are_the_librarys():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tool, rng = Tokenizer.from_file(vocabulary()), random.Random(5)
+    parts = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "'s", "'re", "a", "Zq", "été", "12", "!?", "\u4e2d", "\u00a0", "\x1c", "'", "\r\n", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(10_000)]
+    ids, begin = encoder(vocabulary()).encode(texts)
+    wrong = [t for i, t in enumerate(texts) if ids[begin[i] : begin[i + 1]].tolist() != tool.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+    assert any(50256 in ids[begin[i] : begin[i + 1]] for i in range(100))
+
+
+def test_failed_attempts_leave_no_file(spark, tmp_path):
+    (tmp_path / "part-000000-99.tokens.zst").write_bytes(b"half")
+    manifest = write_token_files(edges(spark), folder=f"file://{tmp_path}")
+    assert {p.name for p in tmp_path.glob("*.zst")} == {r["file"].rsplit("/", 1)[1] for r in manifest.collect()}
+
+
+def test_one_repeated_row_fills_many_files(spark):
+    docs = spark.createDataFrame([(7, "the same row")] * 400 + [(None, prose(i, 9)) for i in range(300)], "doc_id long, text string").repartition(4)
+    manifest = write_token_files(docs, files=8)
+    assert max(r["docs"] for r in manifest.collect()) < 400
+    assert sizes(by_start(read_token_files(manifest))) == sizes(expected([tuple(r) for r in docs.collect()]))
+
+
 def filled(frame_bytes: int = 64) -> tuple[bytes, list]:
     out = io.BytesIO()
     writer = Writer(out, frame_bytes=frame_bytes)
