@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .words import ALNUM, U, Words, pieces
+from .shared import discard, freed, written
+from .words import ALNUM, U, Words, pieces, shingled
 
 #: Words of a window, for items from that many words on; items under the first have windows of their own length.
 WINDOWS = (8, 12, 16, 24, 40, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
@@ -66,40 +65,40 @@ def window_for(words: int) -> int:
 
 
 class Index:
-    """Items of a benchmark: ``texts`` by item id."""
+    """Items of a benchmark (item id, text), or a slice of one.
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int = 5, percent: int = 80):
+    A shingle weighs 1 + log(n / df) for the ``n`` items and ``df`` of them that hold it; ``n`` and ``df`` (shingles,
+    ascending, and their counts) are those of the whole benchmark and are counted here where they are not given. All
+    is kept in arrays: words, and for each item its distinct shingles with counts and weights.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], shingle: int = 5, percent: int = 80, n: int | None = None, df: tuple[np.ndarray, np.ndarray] | None = None):
         self.k, self.percent = shingle, percent
-        self.ids, self.words, self.bags = [], [], []
         found = Words(*_laid([t for _, t in items]), ALNUM)
-        df: Counter = Counter()
-        for i, (item, _) in enumerate(items):
-            h = found.hash[found.row[i] : found.row[i + 1]]
-            if len(h):
-                self.ids.append(item)
-                self.words.append(h)
-                self.bags.append(self.bag(h))
-                df.update(self.bags[-1].keys())
-        self.sizes = np.array([len(h) for h in self.words], np.int64)
-        n = max(1, len(self.ids))
+        worded = np.flatnonzero(np.diff(found.row))
+        self.ids = [items[i][0] for i in worded]
+        self.sizes = np.diff(found.row)[worded].astype(np.int64)
+        self.words, self.at = found.hash, np.concatenate([found.row[worded], found.row[-1:]]).astype(np.int64)
+        bags = [np.unique(shingled(self._item(i), shingle), return_counts=True) for i in range(len(self.ids))]
+        self.bag_at = np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])]).astype(np.int64)
+        self.keys = np.concatenate([np.zeros(0, U), *(b[0] for b in bags)])
+        self.counts = np.concatenate([np.zeros(0, np.int32), *(b[1].astype(np.int32) for b in bags)])
+        n = max(1, len(self.ids) if n is None else n)
+        known, held = np.unique(self.keys, return_counts=True) if df is None else df
         self.rare = 1 + math.log(n)
-        self.weight = {s: 1 + math.log(n / c) for s, c in df.items()}
+        self.weights = 1 + np.log(n / held[np.searchsorted(known, self.keys)]) if len(self.keys) else np.zeros(0)
         probes: dict[int, list[tuple[int, int, int]]] = {}
-        for i, h in enumerate(self.words):
-            width = window_for(len(h))
-            prints = fingerprints(h, width, {})
-            for at in sorted({0, len(h) - width}):
-                probes.setdefault(width, []).append((int(prints[at]), i, at))
+        for i, size in enumerate(self.sizes.tolist()):
+            width = window_for(size)
+            prints = fingerprints(self._item(i), width, {})
+            for place in sorted({0, size - width}):
+                probes.setdefault(width, []).append((int(prints[place]), i, place))
         self.widths = {w: self._blocks(p) for w, p in probes.items()}
-        keys, _ = found.shingles(shingle)
         self.filter = np.zeros(1 << _FILTER, bool)
-        self.filter[keys >> U(64 - _FILTER)] = True
+        self.filter[self.keys >> U(64 - _FILTER)] = True
 
-    def bag(self, h: np.ndarray) -> Counter:
-        if len(h) < self.k:
-            return Counter([tuple(h.tolist())])
-        x = h.tolist()
-        return Counter(tuple(x[i : i + self.k]) for i in range(len(x) - self.k + 1))
+    def _item(self, i: int) -> np.ndarray:
+        return self.words[self.at[i] : self.at[i] + self.sizes[i]]
 
     @staticmethod
     def _blocks(probes: list[tuple[int, int, int]]):
@@ -111,32 +110,38 @@ class Index:
             probe = np.repeat(np.arange(len(prints)), len(near))
             order = np.argsort(value, kind="stable")
             begin = np.searchsorted(value[order], np.arange(65537))
-            tables.append((begin, np.diff(begin), np.diff(begin) > 0, probe[order]))
+            tables.append((begin.astype(np.int32), np.diff(begin).astype(np.int32), np.diff(begin) > 0, probe[order].astype(np.int32)))
         return prints, np.array([p[1] for p in probes]), np.array([p[2] for p in probes]), tables
 
-    def similarity(self, item: int, h: np.ndarray) -> float:
-        """Weighted Jaccard of shingle counts: rare shingles of the benchmark weigh more."""
-        a, b = self.bags[item], self.bag(h)
-        low = high = 0.0
-        for s in a.keys() | b.keys():
-            w, x, y = self.weight.get(s, self.rare), a.get(s, 0), b.get(s, 0)
-            low, high = low + w * min(x, y), high + w * max(x, y)
+    def similarity(self, item: int, found: np.ndarray) -> float:
+        """Weighted Jaccard of shingle counts of an item with those of the shingles ``found``. Rare shingles of the
+        benchmark weigh more; one that the item does not hold weighs as much as the rarest."""
+        a, b = self.bag_at[item], self.bag_at[item + 1]
+        keys, counts, weights = self.keys[a:b], self.counts[a:b], self.weights[a:b]
+        other, many = np.unique(found, return_counts=True)
+        place = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+        same = keys[place] == other
+        theirs = np.zeros(len(keys), np.int64)
+        theirs[place[same]] = many[same]
+        low = float((weights * np.minimum(counts, theirs)).sum())
+        high = float((weights * np.maximum(counts, theirs)).sum()) + self.rare * int(many[~same].sum())
         return low / high if high else 0.0
 
     def _verified(self, item: int, start: int, h: np.ndarray) -> float:
-        """Best similarity of the item with a span near ``start``; stops at the first that reaches the threshold."""
-        best, size = 0.0, len(self.words[item])
+        """Best similarity of the item with a span that starts and ends within a word of where ``start`` puts it."""
+        best, size = 0.0, int(self.sizes[item])
+        low = max(0, start - 1)
+        near = shingled(h[low : start + size + 2], self.k)
         for shift in (0, -1, 1):
             for more in (0, -1, 1):
                 a, b = max(0, start + shift), min(len(h), start + shift + size + more)
                 if b > a:
-                    best = max(best, self.similarity(item, h[a:b]))
-                    if 100 * best >= self.percent:
-                        return best
+                    best = max(best, self.similarity(item, near[a - low : b - low - self.k + 1] if b - a >= self.k else shingled(h[a:b], self.k)))
         return best
 
     def search(self, column: pa.Array) -> list[tuple[int, int, int, float]]:
-        """(row, item id, first word, similarity), one for each item that a row holds."""
+        """(row, item id, first word, similarity), one for each item that a row holds: its most similar span, the
+        earliest of these."""
         hits: dict[tuple[int, int], tuple[int, float]] = {}
         for first, _, data, offsets in pieces(column, _PIECE):
             words = Words(data, offsets, ALNUM)
@@ -179,11 +184,12 @@ class Index:
                 for at, which in sorted(set(zip(at[may].tolist(), which[may].tolist()))):
                     row, item = int(rows[at]), int(items[which])
                     start = at - int(words.row[row]) - int(places[which])
-                    if (first + row, item) in hits or (row, item, start) in tried:
+                    if (row, item, start) in tried:
                         continue
                     tried.add((row, item, start))
                     score = self._verified(item, start, words.hash[words.row[row] : words.row[row + 1]])
-                    if 100 * score >= self.percent:
+                    old = hits.get((first + row, item))
+                    if 100 * score >= self.percent and (old is None or (score, -max(0, start)) > (old[1], -old[0])):
                         hits[first + row, item] = (max(0, start), score)
         return [(row, self.ids[item], start, score) for (row, item), (start, score) in sorted(hits.items())]
 
@@ -193,25 +199,54 @@ def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
-def indexes(benchmark: DataFrame, shingle: int = 5, percent: int = 80) -> Iterator[Index]:
-    """Indexes over all items, each of about ``SLICE_BYTES`` of text, so what a task holds is bounded."""
+def indexes(benchmark: DataFrame, shingle: int = 5, percent: int = 80, slice_bytes: int = SLICE_BYTES) -> Iterator[Index]:
+    """Indexes over all items, each of about ``slice_bytes`` of text, so what the driver and a task hold is bounded.
+    Weights are those of the whole benchmark: with several slices Spark counts the items of every shingle, and the
+    driver gets the counts of one slice's shingles at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-size // SLICE_BYTES) or 1
+    slices = -(-size // slice_bytes) or 1
+    if slices == 1:
+        yield Index(sorted(map(tuple, items.collect()), key=_first_null), shingle, percent)
+        return
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in pieces(batch.column(1)):
+                words = Words(data, offsets, ALNUM)
+                each = [np.unique(shingled(words.hash[a:b], shingle)) for a, b in zip(words.row[:-1], words.row[1:])]
+                part = np.repeat(batch.column(0).slice(first, last - first).to_numpy(), [len(x) for x in each])
+                first_one = np.concatenate([np.zeros(0, bool), *(np.arange(len(x)) == 0 for x in each)])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.concatenate([np.zeros(0, U), *each]).view(np.int64)), pa.array(first_one)], names=["slice", "shingle", "new_item"])
+
+    sliced = written(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))), "items")
+    rows = written(sliced.select("slice", "text").mapInArrow(held, "slice long, shingle long, new_item boolean"), "shingles")
+    n = rows.where("new_item").count()
+    df = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "counts")
     for s in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s) if slices > 1 else items
-        yield Index(sorted(((r[0] if r[0] is not None else -1), r[1]) for r in part.collect()), shingle, percent)
+        got = rows.where(F.col("slice") == s).select("shingle").distinct().join(df, "shingle").toArrow()
+        keys, counts = got["shingle"].to_numpy().view(U), got["n"].to_numpy()
+        order = np.argsort(keys)
+        part = sliced.where(F.col("slice") == s).select("item_id", "text").collect()
+        yield Index(sorted(map(tuple, part), key=_first_null), shingle, percent, n, (keys[order], counts[order]))
+    discard(sliced, rows, df)
+
 
+def _first_null(item: tuple[int | None, str]) -> tuple:
+    return item[0] is not None, item[0] or 0, item[1]
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, first_word, similarity): the items that each document holds.
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, item_id, first_word, similarity): the items that each document holds, with the most similar span of
+    those that the index proposes.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Every window of every document
     as long as an item's window class is fingerprinted; the index finds all within ``RADIUS`` of one of an item's
     windows (first and last), and the weighted similarity of the item's shingles with the document's span
-    there must be ``percent`` or more. Null and empty texts hold nothing, empty items are in no document, items
-    under ``shingle`` words count as one shingle. Repeated rows each give their hits; null ids stay (null item
-    ids are -1).
+    there must be ``percent`` or more. It depends on the whole benchmark, the item and the document, and not on
+    how the benchmark is cut into slices; each slice is a pass over ``docs``. Null and empty texts hold nothing,
+    empty items are in no document, items under ``shingle`` words count as one shingle. Repeated rows each give
+    their hits, repeated items too; null ids stay null; other columns are not read; empty tables give no hits.
     """
     schema = "doc_id long, item_id long, first_word long, similarity double"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,17 +258,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perc
                 rows, items, starts, scores = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(starts, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "first_word", "similarity"])
 
-        return run
+        return freed(run)
 
     out = None
-    for index in indexes(benchmark, shingle, percent):
+    for index in indexes(benchmark, shingle, percent, slice_bytes):
         one = base.mapInArrow(scan(index), schema)
         out = one if out is None else out.union(one)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` that hold no item; their columns stay as they are."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Rows of ``docs`` that hold no item; their columns, of any names, stay as they are. Null and empty texts hold no
+    item and stay; repeated rows are judged alike; an empty table or an empty benchmark takes nothing away. With
+    several slices of the benchmark the rows left are written after each."""
     at = docs.columns.index("text")
 
     def scan(index: Index):
@@ -243,11 +280,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perc
                 clean[[h[0] for h in index.search(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
-        return run
+        return freed(run)
 
-    for index in indexes(benchmark, shingle, percent):
-        docs = docs.mapInArrow(scan(index), docs.schema)
-    return docs
+    out, turn = docs, 0
+    for turn, index in enumerate(indexes(benchmark, shingle, percent, slice_bytes)):
+        if turn:
+            out = written(out, "clean")
+        out = out.mapInArrow(scan(index), docs.schema)
+    return out
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(n: int, base: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, PIECE + (1 << 17)), base, U)
+        have = np.full(max(n, 1 << 16, 0 if have is None else 2 * len(have)), base, U)
         have[0] = 1
         _powers[base] = have = np.multiply.accumulate(have)
     return have[:n]
@@ -103,3 +103,16 @@ class Words:
             part = padded[at + i] * weight[i + 1]
             out += part if (n >= k).all() else np.where(left > i, part, U(0))
         return mix(out + np.minimum(left, k).astype(U)), rows
+
+
+def shingled(h: np.ndarray, k: int) -> np.ndarray:
+    """Shingle hashes of one sequence of word hashes, as ``Words.shingles`` has them."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, U)
+    if n < k:
+        return mix((h * powers(k + 1, _ODD)[1 : n + 1]).sum(dtype=U, keepdims=True) + U(n))
+    out = np.zeros(n - k + 1, U)
+    for i, weight in enumerate(powers(k + 1, _ODD)[1:]):
+        out += h[i : i + len(out)] * weight
+    return mix(out + U(k))

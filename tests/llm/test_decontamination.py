@@ -5,7 +5,8 @@ import random
 import pytest
 from fixtures import SMALL, VOCABULARY, edges, empty, prose
 
-from sediment.llm.decontamination import RADIUS, Index, benchmark_hits, decontaminated, fingerprints, op7_decontamination
+from sediment.llm.decontamination import RADIUS, Index, _laid, benchmark_hits, decontaminated, fingerprints, indexes, op7_decontamination
+from sediment.llm.words import ALNUM, Words, shingled
 
 ITEMS = [(i, prose(1000 + i, n)) for i, n in enumerate([6, 9, 20, 33, 70, 150, 300])]
 
@@ -36,7 +37,7 @@ def test_near_copies_of_long_items(spark):
         own = text.split()
         own[len(own) // 2] = "other"
         hits = index.search(pa.array([f"{prose(1, 90)} {' '.join(own)} {prose(2, 90)}", changed(text, 3, 0.5), None, ""]))
-        similarity = index.similarity(item, index.words[item])
+        similarity = index.similarity(item, shingled(Words(*_laid([text]), ALNUM).hash, 5))
         assert similarity == 1
         assert [(r, i) for r, i, *_ in hits] == ([(0, item)] if len(own) >= 60 else [(r, i) for r, i, *_ in hits])
 
@@ -89,4 +90,59 @@ def test_edges(spark, which):
     if which == "items":
         return
     found = {(r["doc_id"], r["item_id"]) for r in benchmark_hits(edges(spark), items).collect()} if which == "docs" else set()
-    assert found in (set(), {(4, -1), (4, 5), (5, -1), (5, 5)})
+    assert found in (set(), {(4, None), (4, 5), (5, None), (5, 5)})
+
+
+def brute(docs: list[tuple], items: list[tuple], k: int = 5) -> dict:
+    """(doc_id, item_id) to the best weighted similarity of all spans of about the item's length."""
+    import math
+    from collections import Counter
+
+    def bag(words):
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else Counter([tuple(words)])
+
+    bags = {i: bag(t.lower().split()) for i, t in items}
+    df = Counter(x for b in bags.values() for x in b)
+    n, out = len(items), {}
+    for doc, text in docs:
+        words = text.lower().split()
+        for item, t in items:
+            own, size, best = bags[item], len(t.split()), 0.0
+            for a in range(len(words)):
+                for b in (a + size - 1, a + size, a + size + 1):
+                    if a < b <= len(words):
+                        other = bag(words[a:b])
+                        if own.keys() & other.keys():
+                            w = {x: 1 + math.log(n / df[x]) if x in own else 1 + math.log(n) for x in own.keys() | other.keys()}
+                            best = max(best, sum(w[x] * min(own[x], other[x]) for x in w) / sum(w[x] * max(own[x], other[x]) for x in w))
+            if best >= 0.8:
+                out[doc, item] = best
+    return out
+
+
+def planted() -> list[tuple]:
+    rows = []
+    for i, text in ITEMS:
+        own = text.split()
+        if len(own) >= 60:
+            own[len(own) // 3] = "other"
+        twice = f"{' '.join(own)} {prose(50 + i, 30)} {text}"
+        rows += [(10 * i, f"{prose(i, 40)} {' '.join(own)} {prose(i + 9, 12)}"), (10 * i + 1, twice), (10 * i + 2, changed(text, i, 0.4))]
+    return rows
+
+
+def test_hits_are_those_of_brute_force(spark):
+    docs, benchmark = spark.createDataFrame(planted(), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    wanted = brute(planted(), ITEMS)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in benchmark_hits(docs, benchmark).collect()}
+    assert set(got) == set(wanted)
+    assert got == pytest.approx(wanted)
+
+
+def test_slices_change_nothing(spark):
+    docs, benchmark = spark.createDataFrame(planted(), "doc_id long, text string"), spark.createDataFrame(ITEMS + [(99, ITEMS[3][1])], "item_id long, text string")
+    assert len(list(indexes(benchmark, slice_bytes=1500))) > 2
+    whole, cut = (sorted(benchmark_hits(docs, benchmark, slice_bytes=b).collect()) for b in (1 << 20, 1500))
+    assert whole == cut
+    left = [sorted(r["doc_id"] for r in decontaminated(docs, benchmark, slice_bytes=b).collect()) for b in (1 << 20, 1500)]
+    assert left[0] == left[1]
