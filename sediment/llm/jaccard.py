@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, partitions, written
+from .shared import components, discard, freed, fresh, partitions, small, written
 from .words import LOWER, U, Words, mix, pieces
 
 BITS = 2048
@@ -31,6 +31,8 @@ FAN = 8
 #: Sets of a block that one task joins with themselves or with as many others.
 TILE = 4096
 _PAIRS = 16384
+#: Keys that a task compares at once.
+PORTION = 1 << 18
 
 
 # sets
@@ -266,7 +268,7 @@ def _blocks(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([x[0] for x in blobs], pa.int32()), pa.nulls(n, pa.int64()), pa.array([x[1] for x in blobs], pa.int64()), pa.array([x[3] for x in blobs], pa.int64()), pa.array([x[2] for x in blobs], pa.binary())], names=["kind", "part", "doc_id", "n", "set", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [], []
+        held: list[list] = []
         for batch in batches:
             kinds = batch.column(0).to_numpy()
             info = np.flatnonzero(kinds == 0)
@@ -274,44 +276,55 @@ def _blocks(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 some = batch.take(pa.array(info))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), some.column(4)], names=["kind", "id", "n", "set"])
             for i in np.flatnonzero(kinds == 1).tolist():
-                blob, m, n = batch.column(5)[i].as_buffer(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-                known = np.frombuffer(blob, U, m)
-                key = np.frombuffer(blob, np.uint32, n, 8 * m).astype(U) | np.frombuffer(blob, np.uint16, n, 8 * m + 4 * n).astype(U) << U(32)
-                index = np.frombuffer(blob, np.uint16 if m < 65536 else np.uint32, n, 8 * m + 6 * n)
+                blob, m, n = batch.column(5)[i].as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+                held.append([blob, m, n])
+        # blobs stay packed (8 to 10 bytes a key); keys are compared portion by portion
+        portions = max(1, sum(n for *_, n in held) // PORTION)
+        seen = [np.zeros(0, U)]
+        for portion in range(portions):
+            keys, owners = [np.zeros(0, U)], [np.zeros(0, U)]
+            for blob, m, n in held:
+                low = np.frombuffer(blob, np.uint32, n, 8 * m)
+                at = np.flatnonzero(low % np.uint32(portions) == portion)
+                key = low[at].astype(U) | np.frombuffer(blob, np.uint16, n, 8 * m + 4 * n)[at].astype(U) << U(32)
+                index = np.frombuffer(blob, np.uint16 if m < 65536 else np.uint32, n, 8 * m + 6 * n)[at]
                 keys.append(key)
-                owners.append(known[index])
-        if not keys:
-            return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        del keys, owners
-        order = np.argsort(key)
-        key, owner = key[order], owner[order]
-        twin = np.zeros(len(key), bool)
-        twin[1:] = key[1:] == key[:-1]
-        twin[:-1] |= twin[1:]
-        key, owner = key[twin], owner[twin]
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner = key[fresh], owner[fresh]
-        if not len(key):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
-        block = mix(np.add.reduceat(mix(owner), begin) + size.astype(U))
-        _, one = np.unique(block, return_index=True)
-        good = np.zeros(len(begin), bool)
-        good[one] = True
-        good &= size > 1
-        member = np.repeat(good, size)
-        out = np.repeat(block, size)[member], np.repeat(size, size)[member], owner[member]
-        for at in range(0, len(out[0]), 65536):
-            some = [x[at : at + 65536].astype(np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some[0]), np.int32)), *(pa.array(x) for x in some)], names=["kind", "id", "n", "set"])
-
-    dealt = docs.mapInArrow(deal, "kind int, part int, doc_id long, n long, set long, blob binary")
-    return written(dealt.repartitionById(n_parts, F.col("part")).mapInArrow(gather, "kind int, id long, n long, set long"), "blocks", by=["kind"])
+                owners.append(np.frombuffer(blob, U, m)[index])
+            yield from _shared(np.concatenate(keys), np.concatenate(owners), seen)
+
+    dealt = docs.mapInArrow(freed(deal), "kind int, part int, doc_id long, n long, set long, blob binary")
+    return written(dealt.repartitionById(n_parts, F.col("part")).mapInArrow(freed(gather), "kind int, id long, n long, set long"), "blocks", by=["kind"])
+
+
+def _shared(key: np.ndarray, owner: np.ndarray, seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(kind 1, block, members, set) of keys with two owners or more; ``seen``: one array, of blocks already given."""
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    twin = np.zeros(len(key), bool)
+    twin[1:] = key[1:] == key[:-1]
+    twin[:-1] |= twin[1:]
+    key, owner = key[twin], owner[twin]
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
+    if not len(key):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    block = mix(np.add.reduceat(mix(owner), begin) + size.astype(U))
+    _, one = np.unique(block, return_index=True)
+    good = np.zeros(len(begin), bool)
+    good[one] = True
+    good &= size > 1
+    good &= ~np.isin(block, seen[0])
+    seen[0] = np.union1d(seen[0], block[good])
+    member = np.repeat(good, size)
+    out = np.repeat(block, size)[member], np.repeat(size, size)[member], owner[member]
+    for at in range(0, len(out[0]), 65536):
+        some = [x[at : at + 65536].astype(np.int64) for x in out]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some[0]), np.int32)), *(pa.array(x) for x in some)], names=["kind", "id", "n", "set"])
 
 
 def _row_batch(kind: int, part: np.ndarray, doc_ids: pa.Array, n: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -333,7 +346,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(np.diff(rows)[at]), pa.array(tokens[rows[at]].view(np.int64)) if len(at) else pa.array([], pa.int64()), pa.array([bits[i].tobytes() for i in at], pa.binary()), pa.array([tokens[rows[i] : rows[i + 1]].tobytes() for i in at], pa.binary())], names=["set", "n", "order", "bits", "tokens"])
 
     both = docs.join(wanted.withColumnRenamed("doc_id", "_d"), docs.doc_id.eqNullSafe(F.col("_d"))).select("set", "text")
-    return written(both.mapInArrow(run, "set long, n long, order long, bits binary, tokens binary").dropDuplicates(["set"]), "sets")
+    return written(both.mapInArrow(freed(run), "set long, n long, order long, bits binary, tokens binary").dropDuplicates(["set"]), "sets")
 
 
 def _candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
@@ -376,7 +389,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
     x, y = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -403,23 +416,30 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # second traversal: pairs that verified links have not joined
     named = blocks.join(label.withColumnsRenamed({"id": "set"}), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
-    mixed = named.groupBy("block").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("block")
+    mixed = written(named.groupBy("block").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("block"), "mixed")
     second = _candidates(named.join(mixed, "block").join(light, "set"), percent, spanning=False)
     more = written(_links(second.join(first, ["a", "b"], "left_anti"), sets, percent), "links")
     label = components(links.union(more))
 
-    joined = rows.join(label.withColumnRenamed("id", "_s"), (F.col("set") == F.col("_s")) & (F.col("n_shingles") > 0), "left")
-    joined = joined.withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set")))
-    smallest = owners.join(label.withColumnRenamed("id", "_s"), F.col("set") == F.col("_s"), "left").groupBy(F.coalesce("component", "set").alias("_c")).agg(F.min("doc_id").alias("_id"))
-    out = joined.join(smallest, F.col("_class") == F.col("_c"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_id", "doc_id").alias("component_id"))
+    # classes of sets first, then of rows: both joins have a written side, so that Spark can split a large group of copies
+    named = owners.join(label.withColumnRenamed("id", "_s"), F.col("set") == F.col("_s"), "left").select(F.col("set").alias("_s"), "doc_id", F.coalesce("component", "set").alias("_class"))
+    named = written(named, "classes")
+    smallest = written(named.groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("_id")), "smallest")
+    named = written(named.join(smallest, F.col("_class") == F.col("_c")).select("_s", "_id"), "classes")
+    full = rows.where("n_shingles > 0").join(named, F.col("set") == F.col("_s"), "left")
+    out = full.select("doc_id", "n_shingles", F.coalesce("_id", "doc_id").alias("component_id"))
+    discard(blocks, sets, first, links, more)
+    return out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without those that another row of their class stands for: the smallest doc_id stays (rows
-    that share it stay together). Rows with a null doc_id stay."""
-    classes = jaccard_classes(docs.select("doc_id", "text"), k, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(classes, docs.doc_id.eqNullSafe(F.col("_d")), "left_semi")
+    """Rows of ``docs`` (doc_id, text and any other columns, which stay as they are) without those that another row of
+    their class stands for: the smallest doc_id stays (rows that share it stay together). Rows with a null
+    doc_id, null or wordless text stay; an empty table gives no rows."""
+    (gone,) = fresh(docs.columns, "_gone")
+    classes = jaccard_classes(docs.select("doc_id", "text"), k, percent)
+    out = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays")
+    return docs.join(small(written(out.select(gone), "gone")), docs.doc_id == F.col(gone), "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

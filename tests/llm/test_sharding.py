@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from fixtures import SMALL, edge_rows, edges, empty
 
-from sediment.llm.sharding import op9_shard_documents, shard_documents
+from sediment.llm.sharding import cut_rows, op9_shard_documents, shard_documents
 
 
 def held(rows, texts: list[tuple], shards: int) -> None:
@@ -26,7 +26,10 @@ def test_table(spark):
 
 def test_groups_come_together(spark):
     texts = [(i, f"text of group {i % 30}" if i < 300 else f"single {i}") for i in range(2000)]
-    rows = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), shards=8).collect()
+    sharded = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), shards=8)
+    linked, cut = cut_rows(sharded, 8).first()
+    assert linked == 300 and cut <= 20
+    rows = sharded.collect()
     held(rows, texts, 8)
     of = {i: t for i, t in texts}
     groups = defaultdict(Counter)
@@ -47,3 +50,13 @@ def test_one_group_larger_than_a_shard(spark):
 def test_edges(spark):
     held(shard_documents(edges(spark), shards=4).collect(), [(r[0], r[1]) for r in edge_rows()], 4)
     assert shard_documents(empty(spark)).collect() == []
+
+
+def test_equal_rows_are_dealt_out(spark):
+    texts = [(5, "one row")] * 500 + [(i, f"single {i}") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    rows = shard_documents(docs, shards=6).collect()
+    held(rows, texts, 6)
+    linked, cut = cut_rows(shard_documents(docs, shards=6), 6).first()
+    assert linked == 500 and cut <= 10
+    assert cut_rows(shard_documents(empty(spark))).first() == (0, 0)
