@@ -229,7 +229,9 @@ def _blocks(docs: DataFrame, k: int, percent: int) -> DataFrame:
     n_parts = partitions(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        from pyspark import TaskContext
+
+        bands, task = Bands(percent), TaskContext.get().partitionId()
         for batch in batches:
             seen: set[int] = set()
             infos, keys, owners = [], [], []
@@ -250,7 +252,9 @@ def _blocks(docs: DataFrame, k: int, percent: int) -> DataFrame:
             if not infos:
                 continue
             ids = np.concatenate([x[1] for x in infos])
-            yield _row_batch(0, np.zeros(len(ids), np.int32) + (ids % U(n_parts)).astype(np.int32), batch.column(0), np.concatenate([x[0] for x in infos]), ids)
+            # rows only pass through: dealt in turn, so copies of one text do not meet
+            turn = (np.arange(len(ids)) + task * 7919) % n_parts
+            yield _row_batch(0, turn, batch.column(0), np.concatenate([x[0] for x in infos]), ids)
             key, owner = np.concatenate(keys), np.concatenate(owners)
             part = (key % U(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")

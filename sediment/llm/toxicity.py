@@ -1,4 +1,11 @@
-"""Toxicity by compression distance: two zstandard dictionaries, windows compressed with each."""
+"""Toxicity by compression distance: two zstandard dictionaries, windows compressed with each.
+
+Not quite the plain method: with a dictionary trained on whole toxic texts, one on whole ordinary texts and windows
+of 3 to 24 words, held-out AUC was 0.57 to 0.80 on the tables here (README), as a toxic text is mostly ordinary prose
+and the prose of the two dictionaries differs by more bytes than a toxic word saves. So the toxic dictionary is
+trained on the stretches that set toxic texts apart, the second compressor holds ordinary content before it,
+and a window is a word; scores are still differences of compressed lengths, and thresholds are calibrated.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import freed
+
 #: Labelled rows of each class that training takes (those with the smallest hashes), and the largest text among them.
 TRAIN_ROWS = 2000
 TRAIN_BYTES = 32 << 10
@@ -145,13 +154,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from labelled rows that are not held out: at most ``rows`` of each class, whose ids have the
-    smallest hashes, with texts up to TRAIN_BYTES. Two thirds of them train the dictionaries, one third the
+    smallest hashes, with texts up to TRAIN_BYTES. Ids with contrary labels are left out, and of several texts of
+    an id the one with the smallest hash is taken, so reruns agree and the driver gets 2 * ``rows`` texts at most. Null
+    texts and labels don't train; with no toxic or no ordinary text the score is a constant. Two thirds of them train the dictionaries, one third the
     thresholds; the intercept is moved to the share of toxic rows among all labelled ones."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").select("doc_id", "toxic")
     share = usable.agg(F.avg("toxic")).first()[0]
     ids = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     sample = ids[0].union(ids[1])  # two times `rows` ids at most
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(sample), "doc_id").collect()
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     texts = sorted({(r["doc_id"], r["toxic"], r["text"]) for r in texts})
     clean = [(zlib.crc32(b"part%d" % i) % 3, y, b" " + b" ".join(windows(t)) + b" ") for i, y, t in texts]
     toxic, ordinary = ([t for part, y, t in clean if part < 2 and y == k] for k in (1, 0))
@@ -184,7 +195,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = base.mapInArrow(run, "doc_id long, score double")
+    scored = base.mapInArrow(freed(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
