@@ -5,20 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import freed, partitions, written
 
 #: Strings that steer common chat models; none of them survives inside an escaped text.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|")
 _INSIDE = re.compile("|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROL))
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<\|turn\|>(.*?)\n(.*?)<\|end\|>\n", re.S)
+_TURN = re.compile(r"<\|turn\|>((?:\\.|[^\\\n])*)\n(.*?)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -39,39 +40,54 @@ class Turn:
 @dataclass(frozen=True)
 class Mapping:
     """Where a layout keeps its turns. ``each``: path of a list of messages with ``role`` and ``text`` inside it;
-    otherwise ``fixed``: (role, path) for single fields, in order. ``roles`` renames roles."""
+    otherwise ``fixed``: (role, path) for single fields, in order. ``roles`` renames roles, ``calls`` names a
+    message's field of tool calls, which become a turn of role ``tool_call`` in JSON."""
 
     fixed: tuple[tuple[str, str], ...] = ()
     each: str | None = None
     role: str = "role"
     text: str = "content"
     roles: dict[str, str] = field(default_factory=dict)
+    calls: str = "tool_calls"
 
 
 _SHARE = {"human": "user", "gpt": "assistant", "prompter": "user", "bot": "assistant"}
-
-#: Layouts by an example of their nested field paths; a list is one path step "[]".
-LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
-    (("role", "text"), Mapping(fixed=(("@role", "text"),))),
-    (("content", "role"), Mapping(fixed=(("@role", "content"),))),
-    (("messages[].content", "messages[].role"), Mapping(each="messages")),
-    (("conversations[].from", "conversations[].value"), Mapping(each="conversations", role="from", text="value", roles=_SHARE)),
-    (("turns[].role", "turns[].text"), Mapping(each="turns", text="text")),
-    (("completion", "prompt"), Mapping(fixed=(("user", "prompt"), ("assistant", "completion")))),
-    (("prompt", "response"), Mapping(fixed=(("user", "prompt"), ("assistant", "response")))),
-    (("answer", "question"), Mapping(fixed=(("user", "question"), ("assistant", "answer")))),
-    (("instruction", "output"), Mapping(fixed=(("user", "instruction"), ("assistant", "output")))),
-    (("input", "instruction", "output"), Mapping(fixed=(("user", "instruction+input"), ("assistant", "output")))),
-    (("instruction", "output", "system"), Mapping(fixed=(("system", "system"), ("user", "instruction"), ("assistant", "output")))),
+#: Fields that say something about a record or message and nothing in it; layouts are told apart without them.
+ASIDE = frozenset(("id", "_id", "uuid", "timestamp", "created", "created_at", "date", "lang", "language", "source", "model", "score", "rating", "tags", "metadata", "meta", "name", "weight", "tool_call_id"))
+_PARTS = (("content[].text", "content[].type"),)
+_CALLS = (("tool_calls[].function.arguments", "tool_calls[].function.name"), ("tool_calls[].type",))
+
+
+def _messages(path: str, role: str, text: str, optional: tuple[tuple[str, ...], ...] = ()) -> tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]:
+    return (f"{path}[].{role}", f"{path}[].{text}"), tuple(tuple(f"{path}[].{p}" for p in group) for group in optional)
+
+
+#: Layouts: paths that must be there, groups of paths that may be, and where the turns are. A list is one step "[]".
+LAYOUTS: tuple[tuple[tuple[str, ...], tuple[tuple[str, ...], ...], Mapping], ...] = (
+    (("role", "text"), (), Mapping(fixed=(("@role", "text"),))),
+    (("content", "role"), (), Mapping(fixed=(("@role", "content"),))),
+    (("content[].text", "content[].type", "role"), (), Mapping(fixed=(("@role", "content"),))),
+    (*_messages("messages", "role", "content", (*_PARTS, *_CALLS)), Mapping(each="messages")),
+    (("messages[].role", "messages[].content[].text", "messages[].content[].type"), (), Mapping(each="messages")),
+    (("messages[]",), (), Mapping(each="messages")),
+    (*_messages("conversations", "from", "value"), Mapping(each="conversations", role="from", text="value", roles=_SHARE)),
+    (("conversations[]",), (), Mapping(each="conversations")),
+    (*_messages("conversation", "role", "content"), Mapping(each="conversation")),
+    (*_messages("turns", "role", "text"), Mapping(each="turns", text="text")),
+    (("completion", "prompt"), (("system",),), Mapping(fixed=(("system?", "system"), ("user", "prompt"), ("assistant", "completion")))),
+    (("prompt", "response"), (("system",),), Mapping(fixed=(("system?", "system"), ("user", "prompt"), ("assistant", "response")))),
+    (("answer", "question"), (("context",),), Mapping(fixed=(("user", "context+question"), ("assistant", "answer")))),
+    (("instruction", "output"), (("input",), ("system",)), Mapping(fixed=(("system?", "system"), ("user", "instruction+input"), ("assistant", "output")))),
 )
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a record's scalars; elements of a list share one path."""
+    """Nested field paths of a record's scalars without those aside; elements of a list share one path, and an empty
+    list is a path."""
     if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
+        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items() if k not in ASIDE)) if value else set()
     if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else set()
+        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
     return {at}
 
 
@@ -80,7 +96,26 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-MAPPINGS: dict[str, Mapping] = {fingerprint(paths): mapping for paths, mapping in LAYOUTS}
+def mapped_layouts(layouts=LAYOUTS) -> dict[str, Mapping]:
+    """Fingerprint to mapping: one for the paths a layout must have with every choice of those it may have."""
+    out: dict[str, Mapping] = {}
+    for required, optional, mapping in layouts:
+        for n in range(len(optional) + 1):
+            for groups in combinations(optional, n):
+                out.setdefault(fingerprint({*required, *(p for g in groups for p in g)}), mapping)
+    return out
+
+
+MAPPINGS: dict[str, Mapping] = mapped_layouts()
+
+
+def _said(x) -> str:
+    """A value as text: null is empty, parts of a content list stand on lines of their own, other values are JSON."""
+    if x is None or isinstance(x, str):
+        return x or ""
+    if isinstance(x, list) and x and all(isinstance(p, dict) and isinstance(p.get("text"), str) for p in x):
+        return "\n".join(p["text"] for p in x)
+    return json.dumps(x, ensure_ascii=False, sort_keys=True)
 
 
 def turns_of(record: dict, mappings: dict[str, Mapping] = MAPPINGS) -> tuple[str, list[Turn] | None]:
@@ -89,23 +124,30 @@ def turns_of(record: dict, mappings: dict[str, Mapping] = MAPPINGS) -> tuple[str
     mapping = mappings.get(name)
     if mapping is None:
         return name, None
-
-    def said(x) -> str:
-        return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-
-    if mapping.each is not None:
-        return name, [Turn(mapping.roles.get(said(m.get(mapping.role)), said(m.get(mapping.role))), said(m.get(mapping.text))) for m in record[mapping.each]]
     turns = []
+    if mapping.each is not None:
+        for m in record[mapping.each]:
+            role, calls = _said(m.get(mapping.role)), m.get(mapping.calls)
+            if m.get(mapping.text) is not None or not calls:
+                turns.append(Turn(mapping.roles.get(role, role), _said(m.get(mapping.text))))
+            if calls:
+                turns.append(Turn("tool_call", json.dumps(calls, ensure_ascii=False, sort_keys=True)))
+        return name, turns
     for role, path in mapping.fixed:
-        parts = [said(record.get(p)) for p in path.split("+")]
-        role = said(record.get(role[1:])) if role.startswith("@") else role
+        parts = [_said(record.get(p)) for p in path.split("+")]
+        if role.endswith("?"):
+            if path not in record:
+                continue
+            role = role[:-1]
+        role = _said(record.get(role[1:])) if role.startswith("@") else role
         turns.append(Turn(mapping.roles.get(role, role), "\n\n".join(p for p in parts if p) if len(parts) > 1 else parts[0]))
     return name, turns
 
 
 def formatted(turn: Turn) -> tuple[str, int, int]:
     """The turn in the template, and the code points of it under the loss mask (none: 0, 0)."""
-    head, body = f"<|turn|>{escape(turn.role)}\n", escape(turn.text)
+    role = escape(turn.role).replace("\n", "\\\n")  # a line feed ends a role, so one inside is escaped
+    head, body = f"<|turn|>{role}\n", escape(turn.text)
     mask = (len(head), len(head) + len(body)) if turn.role == "assistant" else (0, 0)
     return f"{head}{body}<|end|>\n", *mask
 
@@ -120,7 +162,8 @@ def canonical_turns(records: DataFrame, mappings: dict[str, Mapping] = MAPPINGS)
 
     Every record's layout is the fingerprint of its field paths; its mapping gives the turns, ``part`` numbers
     them from 0. Records without a mapping, and null or broken ones, give one row with part -1, the layout (null if broken)
-    and null role and text, so nothing vanishes unseen.
+    and null role and text, so nothing vanishes unseen; a record whose list of messages is empty gives none. Null
+    ids stay; repeated rows each give their turns; other columns are not read; an empty table gives no rows.
     """
     schema = "conv_id long, seq long, part int, layout string, role string, text string"
 
@@ -138,39 +181,43 @@ def canonical_turns(records: DataFrame, mappings: dict[str, Mapping] = MAPPINGS)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "seq", "part", "layout", "role", "text"])
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "record").mapInArrow(run, schema)
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "record").mapInArrow(freed(run), schema)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, seq, part, piece, loss_start, loss_end): every turn in the template. A conversation's text is its
-    pieces by seq, part, end to end; offsets are code points of the piece and cover assistant texts only."""
+    """(conv_id, seq, part, piece, loss_start, loss_end): every turn of ``turns`` (as ``canonical_turns`` gives them) in
+    the template. A conversation's text is its pieces by seq, part, end to end; offsets are code points of the
+    piece and cover assistant texts only. Records without a mapping (part -1) have an empty piece and stay to be
+    counted. Null roles and texts are empty; repeated rows are formatted each; an empty table gives no rows."""
     schema = "conv_id long, seq long, part int, piece string, loss_start int, loss_end int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [formatted(Turn(r or "", t or "")) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            done = [formatted(Turn(r or "", t or "")) if part >= 0 else ("", 0, 0) for part, r, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             pieces, starts, ends = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(pieces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["conv_id", "seq", "part", "piece", "loss_start", "loss_end"])
 
-    return turns.where("part >= 0").select("conv_id", "seq", "part", "role", "text").mapInArrow(run, schema)
+    return turns.select("conv_id", "seq", "part", "role", "text").mapInArrow(freed(run), schema)
 
 
 def chat_digests(pieces: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted pieces.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_unmapped), read back from formatted
+    pieces; ``n_unmapped`` counts records whose layout no mapping knows.
 
     Conversations stream through sorted partitions; a task holds a batch of rows and two running digests,
-    however long a conversation is.
+    however long a conversation is. Rows without conv_id are one conversation; rows that share seq and part go by
+    their piece; an empty table gives no rows.
     """
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unmapped long"
     names = [s.split()[0] for s in schema.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
         out: list[tuple] = []
 
         def close() -> None:
-            out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
+            out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6]))
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -178,11 +225,11 @@ def chat_digests(pieces: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for conv, piece, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, piece, start, end, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is None or now[0] != conv:
                     if now is not None:
                         close()
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 for turn in parsed(piece):
                     now[1] += 1
                     now[2].update(f"{turn.role}\n{turn.text}\n".encode("utf-8", "surrogatepass"))
@@ -190,15 +237,15 @@ def chat_digests(pieces: DataFrame) -> DataFrame:
                 now[3] += len(masked)
                 now[4].update(masked.encode("utf-8", "surrogatepass"))
                 now[5] += len(piece)
+                now[6] += part < 0
             if out:
                 yield flush()
         if now is not None:
             close()
             yield flush()
 
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(n, "conv_id").sortWithinPartitions("conv_id", "seq", "part", "piece")
-    return dealt.select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(run, schema)
+    dealt = pieces.repartition(partitions(pieces.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq", "part", "piece")
+    return dealt.select("conv_id", "piece", "loss_start", "loss_end", "part").mapInArrow(freed(run), schema)
 
 
 def with_fixed_conversation(conversations: DataFrame, conv_id: int = -1, text: str = "</s>[INST] ok [/INST]") -> DataFrame:

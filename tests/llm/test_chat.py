@@ -5,6 +5,7 @@ import json
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from fixtures import SMALL
 
 from sediment.llm.chat import CONTROL, Turn, canonical_turns, chat_digests, escape, format_chats, formatted, op8_chat_formatting, parsed, unescape, with_fixed_conversation
@@ -47,8 +48,6 @@ def test_escape_is_reversible(text):
 def test_edges(spark):
     rows = [(5, 1, "user", None), (5, 0, None, "x"), (6, 0, "assistant", HARD[1]), (7, 0, "user", "q" * 200000), (7, 1, "assistant", "a" * 200000)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    from pyspark.sql import functions as F
-
     records = with_fixed_conversation(table).select("conv_id", F.col("turn").alias("seq"), F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     found = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_digests(format_chats(canonical_turns(records))).collect()}
     assert found == expected(rows)
@@ -62,6 +61,11 @@ def test_layouts(spark):
         (4, {"instruction": "i", "input": "", "output": "o"}, [("user", "i"), ("assistant", "o")]),
         (5, {"instruction": "i", "input": "n", "output": "o"}, [("user", "i\n\nn"), ("assistant", "o")]),
         (6, {"system": "s", "instruction": "i", "output": "o"}, [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        (61, {"id": 7, "timestamp": "t", "messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]),
+        (62, {"messages": []}, []),
+        (63, {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}, [("user", "a\nb"), ("assistant", "c")]),
+        (64, {"messages": [{"role": "assistant", "content": None, "tool_calls": [{"id": "1", "type": "function", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "1", "content": "42"}]}, [("tool_call", '[{"function": {"arguments": "{}", "name": "f"}, "id": "1", "type": "function"}]'), ("tool", "42")]),
+        (65, {"prompt": "p", "response": "r", "system": "s", "score": 3}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
         (7, {"unknown": 1}, [(None, None)]),
         (8, None, [(None, None)]),
     ]
@@ -69,4 +73,18 @@ def test_layouts(spark):
     found = defaultdict(list)
     for r in sorted(canonical_turns(spark.createDataFrame(rows, "conv_id long, seq long, record string")).collect(), key=lambda r: (r["conv_id"], r["part"])):
         found[r["conv_id"]].append((r["role"], r["text"]))
-    assert dict(found) == {**{i: t for i, _, t in records}, 9: [(None, None)]}
+    assert dict(found) == {**{i: t for i, _, t in records if t}, 9: [(None, None)]}
+
+
+@pytest.mark.parametrize("role", ["a\nb", "\n", "\\\n", "a\\", "<|end|>\n", ""])
+def test_roles_are_read_back(role):
+    piece = formatted(Turn(role, "x\ny"))[0] + formatted(Turn("assistant", "z"))[0]
+    assert parsed(piece) == [Turn(role, "x\ny"), Turn("assistant", "z")]
+
+
+def test_unmapped_records_are_counted(spark):
+    rows = [(1, 0, json.dumps({"role": "user", "text": "a"})), (1, 1, json.dumps({"unknown": 1})), (1, 2, None), (2, 0, "{broken"), (1, 0, json.dumps({"role": "user", "text": "a"}))]
+    records = spark.createDataFrame(rows, "conv_id long, seq long, record string").withColumn("piece", F.lit("own"))
+    found = {r["conv_id"]: (r["n_turns"], r["n_unmapped"]) for r in chat_digests(format_chats(canonical_turns(records))).collect()}
+    assert found == {1: (2, 2), 2: (0, 1)}
+    assert chat_digests(format_chats(canonical_turns(records.limit(0)))).collect() == []
