@@ -55,7 +55,7 @@ _SHARE = {"human": "user", "gpt": "assistant", "prompter": "user", "bot": "assis
 #: Fields that say something about a record or message and nothing in it; layouts are told apart without them.
 ASIDE = frozenset(("id", "_id", "uuid", "timestamp", "created", "created_at", "date", "lang", "language", "source", "model", "score", "rating", "tags", "metadata", "meta", "name", "weight", "tool_call_id"))
 _PARTS = (("content[].text", "content[].type"),)
-_CALLS = (("tool_calls[].function.arguments", "tool_calls[].function.name"), ("tool_calls[].type",))
+_CALLS = (("tool_calls[].function.arguments",), ("tool_calls[].type",))
 
 
 def _messages(path: str, role: str, text: str, optional: tuple[tuple[str, ...], ...] = ()) -> tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]:
