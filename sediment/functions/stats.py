@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,23 +55,36 @@ def jensen_shannon_term(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) / 2 + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) / 2
 
 
+def _running(counts: DataFrame, value: str, by: list[str], n: str, to: str, cuts: int = 200) -> DataFrame:
+    """``to``: the sum of ``n`` over rows of the group with values up to this one. A group's values are cut into ranges
+    at approximate percentiles, sums run inside a range, and ranges before are added, so that no task holds a
+    whole group."""
+    edges = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), 2000).alias("_edges"))
+    both = counts.join(F.broadcast(edges), by) if by else counts.crossJoin(F.broadcast(edges))  # a row a group
+    placed = both.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "_range").agg(F.sum(n).alias("_s")).withColumn("_ahead", F.coalesce(F.sum("_s").over(ahead), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(to, F.sum(n).over(inside)).join(sums, [*by, "_range"]).withColumn(to, F.col(to) + F.col("_ahead")).drop("_range", "_ahead")
+
+
 def average_rank(df: DataFrame, value: str, to: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1 with ties averaged. Ranks are worked out on distinct values (their counts are summed), so the
-    window holds a row for each distinct value of a group, and joined back."""
+    """Ranks from 1 with ties averaged, of the rows with a value. Ranks are worked out on distinct values (their counts
+    are summed range by range) and joined back."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(to, F.sum("_n").over(upto) - (F.col("_n") - 1) / 2).drop("_n")
+    ranks = _running(counts, value, by, "_n", to).withColumn(to, F.col(to) - (F.col("_n") - 1) / 2).drop("_n")
     return df.join(ranks, [*by, value])
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05, to: str = "significant", by: list[str] | None = None) -> DataFrame:
-    """Marks the rows that the step-up procedure keeps at rate ``q`` (within ``by``). The window runs over distinct
-    p-values with their counts, not over rows."""
+    """Marks the rows that the step-up procedure keeps at rate ``q`` (within ``by``), from distinct p-values with their
+    counts, range by range."""
     by = by or []
     counts = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_i", F.sum("_n").over(upto)).withColumn("_m", F.sum("_n").over(Window.partitionBy(*by)))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    running = _running(counts, p, by, "_n", "_i")
+    ranked = running.join(total, by) if by else running.crossJoin(total)  # one row
     limit = ranked.groupBy(*by).agg(F.max(F.when(F.col(p) <= q * F.col("_i") / F.col("_m"), F.col(p))).alias("_limit"))
     both = df.join(limit, by) if by else df.crossJoin(limit)  # one row
     return both.withColumn(to, F.coalesce(F.col(p) <= F.col("_limit"), F.lit(False))).drop("_limit")
@@ -104,7 +119,7 @@ def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
         term[live] *= y[live] * z[live] / ((x[live] + 1) * (w[live] + 1))
         x[live], y[live], z[live], w[live] = x[live] + 1, y[live] - 1, z[live] - 1, w[live] + 1
         total[live] += term[live]
-        live &= (np.minimum(y, z) > 0) & (term > total * 1e-17)
+        live &= np.minimum(y, z) > 0
     return pd.Series(np.minimum(1.0, total))
 
 
@@ -121,46 +136,27 @@ def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) ->
     return pd.Series(out)
 
 
-def _gamma_upper(s: float, x: float) -> float:
-    """Regularised upper incomplete gamma function."""
-    if x <= 0:
+def _chi2_above(x: float, df: int) -> float:
+    """The tail is a finite sum: Poisson terms for an even number of degrees, and for an odd one the normal tail and
+    terms at half steps."""
+    if x <= 0 or df <= 0:
         return 1.0
-    lead = np.exp(s * np.log(x) - x - _log_gamma(np.array([s]))[0])
-    if x < s + 1:
-        term = total = 1 / s
-        k = s
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return float(max(0.0, 1 - total * lead))
-    tiny = 1e-300
-    b = x + 1 - s
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - s)
-        b += 2
-        d = an * d + b
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = b + an / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return float(lead * h)
+    y, odd = x / 2, df % 2
+    steps = np.arange(df // 2) + odd / 2
+    terms = np.exp(steps * math.log(y) - y - _log_gamma(steps + 1))
+    return float(min(1.0, terms.sum() + (math.erfc(math.sqrt(y)) if odd else 0.0)))
 
 
 @F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
-    """Probability that chi-squared with ``df`` degrees of freedom is above x."""
-    return pd.Series([_gamma_upper(d / 2, v / 2) if d > 0 else 1.0 for v, d in zip(x, df)])
+    """Probability that chi-squared with a whole number ``df`` of degrees of freedom is above x."""
+    return pd.Series([_chi2_above(float(v), int(d)) if v == v and d == d else None for v, d in zip(x.astype(float), df.astype(float))], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Probability that a standard normal is as far from 0."""
-    return pd.Series([_gamma_upper(0.5, v * v / 2) for v in z])
+    return pd.Series([math.erfc(abs(v) / math.sqrt(2)) for v in z], dtype=float)
 
 
 @F.pandas_udf(DoubleType())

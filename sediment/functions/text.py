@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of a word in the Latin collections: ASCII letters and all letters beyond ASCII.
@@ -38,6 +42,32 @@ def char_ngrams(text: Column, n: int) -> Column:
     return _runs(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), n, "")
 
 
+def char_ngram_counts(texts: DataFrame, n: int) -> DataFrame:
+    """(gram, n) over the one text column of ``texts``, for grams of up to three characters. A batch is counted as code
+    points before anything is shuffled; grams never cross texts."""
+    if not 1 <= n <= 3:
+        raise ValueError("grams of one to three characters")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t and len(t) >= n]
+            if not texts:
+                continue
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            ends = np.cumsum([len(t) for t in texts])
+            keys = points[: len(points) - n + 1].copy()
+            for i in range(1, n):
+                keys = (keys << 21) | points[i : len(points) - n + 1 + i]
+            inside = np.ones(len(keys), bool)
+            for i in range(1, n):
+                inside[ends[:-1] - i] = False
+            grams, counts = np.unique(keys[inside], return_counts=True)
+            spelled = ["".join(chr(g >> (21 * (n - 1 - i)) & 0x1FFFFF) for i in range(n)) for g in grams.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), pa.array(counts)], names=["gram", "n"])
+
+    return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def occurrences(text: Column, phrase: str) -> Column:
     """Non-overlapping occurrences of a phrase."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(phrase)))) / len(phrase)).cast("long")
@@ -77,7 +107,7 @@ def token_estimate(text: Column) -> Column:
 def parse_number(cell: Column) -> Column:
     """A number from a cell with thousands separators or a percent sign; null where it isn't one."""
     plain = F.regexp_replace(F.trim(cell), "[,%]", "")
-    value = F.expr("null").cast("double") if cell is None else plain.try_cast("double")
+    value = plain.try_cast("double")
     return F.when(F.trim(cell).endswith("%"), value / 100).otherwise(value)
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import shared_folder
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, so that loops don't grow their plans."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/sediment").rstrip("/")
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,7 +41,7 @@ def hits_at(predicted: DataFrame, truth: DataFrame, score: str, k: int) -> DataF
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id that edges reach. Labels spread to neighbours and jump to their label's label;
-    each round is written, and the loop ends when none changes."""
+    each round is written, and the loop ends when none changes, or with an error after ``rounds``."""
     both = _kept(symmetric(edges))
     labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(rounds):
@@ -51,12 +52,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         done = moved.where("new <> component").isEmpty()
         labels = moved.select("id", F.col("new").alias("component"))
         if done:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def closure(edges: DataFrame, child: str, parent: str, depth: int = 20) -> DataFrame:
-    """(child, ancestor, steps): every ancestor with the fewest steps to it."""
+def closure(edges: DataFrame, child: str, parent: str, depth: int = 60) -> DataFrame:
+    """(child, ancestor, steps): every ancestor with the fewest steps to it; an error if there are more than ``depth``."""
     base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
     reached = _kept(base.withColumn("steps", F.lit(1)))
     front = reached
@@ -65,9 +66,9 @@ def closure(edges: DataFrame, child: str, parent: str, depth: int = 20) -> DataF
         new = front.join(up, "ancestor").select("child", F.col("further").alias("ancestor")).distinct().join(reached, ["child", "ancestor"], "left_anti").withColumn("steps", F.lit(step))
         front = _kept(new)
         if front.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(front)
-    return reached
+    raise RuntimeError(f"ancestors go on beyond {depth} steps")
 
 
 def canon_score(citations: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def canon_score(citations: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, label) after synchronous rounds on weighted edges (a, b, w): the label of the greatest weight among neighbours, ties
-    to the smallest. Synchronous rounds may settle elsewhere than a sequential walk over nodes."""
+    to the smallest. It takes just ``rounds`` rounds, settled or not, and may end elsewhere than a sequential walk over nodes."""
     both = _kept(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):

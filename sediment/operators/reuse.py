@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -16,7 +16,9 @@ def shingle_sample(docs: DataFrame, n: int = 5, one_in: int = 8, key: str = "doc
 
 
 def containment(candidates: DataFrame, held: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, other, shared, of_key, of_other) for pairs that share a shingle. Shingles are counted once a pair."""
+    """(key, other, shared, of_key, of_other) for all pairs that share a shingle, however few: as many pairs as there
+    are; ``contained`` is the way with a threshold. Shingles are counted once a pair."""
+    candidates, held = (x.select(key, F.xxhash64("shingle").alias("shingle")) for x in (candidates, held))
     size = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     other = held.withColumnRenamed(key, "other")
     other_size = other.groupBy("other").agg(F.count(F.lit(1)).alias("m"))
@@ -24,7 +26,34 @@ def containment(candidates: DataFrame, held: DataFrame, key: str = "doc_id") ->
     return shared.join(size, key).join(other_size, "other").select(key, "other", "shared", (F.col("shared") / F.col("n")).alias("of_key"), (F.col("shared") / F.col("m")).alias("of_other"))
 
 
-def verdict(contained: DataFrame, union: Column | None = None, duplicate: float = 0.85, together: float = 0.9, overlap: float = 0.3, key: str = "doc_id") -> DataFrame:
+def contained(sampled: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(key, other, shared, of_key, of_other) for pairs with ``of_key`` of ``least`` or more.
+
+    Whoever holds that share of a document's shingles holds one of its rarest n - ceil(least * n) + 1, so only these are
+    looked up, and a shingle that very many documents share is looked up for hardly any of them; exact counts
+    come from the documents' own sets.
+    """
+    hashed = sampled.select(key, F.xxhash64("shingle").alias("shingle"))
+    df = hashed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ranked = hashed.join(df, "shingle").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("df", "shingle"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    probes = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(F.col(key).alias("probe"), "shingle")
+    pairs = probes.join(hashed, "shingle").where(F.col("probe") != F.col(key)).select("probe", F.col(key).alias("other")).distinct()
+    sets = hashed.groupBy(key).agg(F.collect_set("shingle").alias("s"))
+    both = pairs.join(sets.select(F.col(key).alias("probe"), F.col("s").alias("x")), "probe").join(sets.select(F.col(key).alias("other"), F.col("s").alias("y")), "other")
+    shared = both.select(F.col("probe").alias(key), "other", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").alias("n"), F.size("y").alias("m"))
+    return shared.select(key, "other", "shared", (F.col("shared") / F.col("n")).alias("of_key"), (F.col("shared") / F.col("m")).alias("of_other")).where(F.col("of_key") >= least)
+
+
+def union_contained(sampled: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(key, n, elsewhere, of_union, covered): how many of a document's shingles all others hold together. Shingles are
+    counted, no documents are paired."""
+    hashed = sampled.select(key, F.xxhash64("shingle").alias("shingle"))
+    df = hashed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    out = hashed.join(df, "shingle").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("df") > 1, 1)).alias("elsewhere"))
+    return out.withColumn("of_union", F.col("elsewhere") / F.col("n")).withColumn("covered", F.col("of_union") >= least)
+
+
+def verdict(contained: DataFrame, duplicate: float = 0.85, overlap: float = 0.3, key: str = "doc_id") -> DataFrame:
     """(key, best, verdict): duplicate, overlap or new by the best containment."""
     best = contained.groupBy(key).agg(F.max("of_key").alias("best"))
     return best.withColumn("verdict", F.when(F.col("best") >= duplicate, "duplicate").when(F.col("best") >= overlap, "overlap").otherwise("new"))
@@ -78,4 +107,4 @@ def admission(text: Column) -> Column:
     return F.when(junk >= 300, "exclude").when((junk >= 50) | (digits >= 500), "review").otherwise("admit")
 
 
-__all__ = ["admission", "containment", "cosine", "exact_groups", "keyness", "scores", "shingle_sample", "stats", "tfidf", "verdict"]
+__all__ = ["admission", "contained", "containment", "cosine", "exact_groups", "keyness", "scores", "shingle_sample", "stats", "tfidf", "union_contained", "verdict"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +50,13 @@ def containing(docs: DataFrame, phrases: list[str], every: bool = True, text: st
 
 
 def near(docs: DataFrame, left: str, right: str, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pairs): documents where two words stand within ``distance`` words, and how many pairs do."""
-    at = docs.where(T.lower(F.col(text)).contains(left) & T.lower(F.col(text)).contains(right)).select(key, F.posexplode(T.words(F.col(text))).alias("pos", "token"))
-    x, y = at.where(F.col("token") == left).select(key, F.col("pos").alias("p")), at.where(F.col("token") == right).select(key, F.col("pos").alias("q"))
-    return x.join(y, key).where(F.abs(F.col("p") - F.col("q")) <= distance).groupBy(key).agg(F.count(F.lit(1)).alias("pairs"))
+    """(key, pairs): documents where two words stand within ``distance`` words, and how many pairs do. Positions of the two
+    words are sorted once and counted in a range window, so no pair is made."""
+    low = T.lower(F.col(text))
+    at = docs.where(low.contains(left) & low.contains(right)).select(key, F.posexplode(T.words(F.col(text))).alias("pos", "token")).where(F.col("token").isin(left, right))
+    around = Window.partitionBy(key).orderBy("pos").rangeBetween(-distance, distance)
+    counted = at.withColumn("n", F.count(F.when(F.col("token") == right, 1)).over(around)).where((F.col("token") == left) & (F.col("n") > 0))
+    return counted.groupBy(key).agg(F.sum("n").alias("pairs"))
 
 
 def fused(routes: list[tuple[DataFrame, float]], key: str = "doc_id", constant: int = 60) -> DataFrame:
@@ -71,34 +76,68 @@ def interleaved(main: DataFrame, side: DataFrame, k: int, num: int = 3, den: int
     return main.select("place", *[c for c in main.columns if c not in ("rank", "place")], F.lit("main").alias("queue")).unionByName(side.select("place", *[c for c in side.columns if c not in ("rank", "place")], F.lit("side").alias("queue"))).where(F.col("place") <= k)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.05, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, similarity, rank): exact cosine of each query with every vector. ``queries`` is a stated, small set: it
-    is what each row of ``vectors`` is compared with, in one pass over them."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    asked = asked.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
-    held = vectors.select(key, F.col(vector).alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    scored = held.crossJoin(asked).where(F.col(key) != F.col("query")).select("query", key, (dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn"))).alias("similarity")).where(F.col("similarity") > floor)
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.05, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """(query, key, similarity, rank): exact cosine of each query with every vector but itself.
+
+    Both sides are dealt into blocks of about ``block`` rows by hash; every pair of blocks meets once, as two matrices,
+    and keeps the ``k`` best of each query, so a task holds two blocks and only k rows a query and block are shuffled on.
+    """
+    some = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows, columns = max(1, -(-some.count() // block)), max(1, -(-asked.count() // block))
+
+    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        return df.withColumn(names[0], F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            (ids, held), (queries_, wanted) = _matrix(left), _matrix(right)
+            similarity = wanted @ held.T
+            similarity[queries_[:, None] == ids[None, :]] = -2
+            for i, row in enumerate(similarity):
+                at = np.flatnonzero(row > floor)
+                if len(at) > k:
+                    least = np.partition(np.round(row[at], 9), -k)[-k]
+                    at = at[np.round(row[at], 9) >= least]  # ties with the last stay, and the window decides
+                out[0] += [queries_[i]] * len(at)
+                out[1] += ids[at].tolist()
+                out[2] += row[at].tolist()
+        return pa.table({"query": pa.array(out[0], pa.int64()), key: pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
+
+    left, right = dealt(some, rows, columns, ("a", "b")).groupBy("a", "b"), dealt(asked, columns, rows, ("b", "a")).groupBy("a", "b")
+    scored = left.cogroup(right).applyInArrow(meet, f"query long, {key} long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of length one (zero vectors stay zero)."""
+    v = np.stack([np.asarray(x, float) for x in table["v"].to_pylist()])
+    return table["id"].to_numpy(), v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+
+
 def quote_levels(docs: DataFrame, quotes: DataFrame, quote_key: str = "item_id", key: str = "doc_id") -> DataFrame:
-    """(quote, key, level): verbatim, normalised (lower case, single spaces) or plain (letters only). Candidates share the
-    quote's first eight words; the check is on whole texts."""
+    """(quote, key, level) of quotes whose words stand in a text one after another: verbatim, normalised (lower case,
+    single spaces) or plain (the words alone). Candidates share the quote's first eight words, or all of a shorter one;
+    the check is on whole texts. Quotes without words are in no text."""
 
     def normal(x: Column) -> Column:
         return F.trim(F.regexp_replace(T.lower(x), r"[\x20\x09-\x0D]+", " "))
 
     def plain(x: Column) -> Column:
-        return F.concat_ws(" ", T.words(x))
-
-    n = 8
-    start = quotes.select(F.col(quote_key), F.col("text").alias("quote"), F.concat_ws(" ", F.slice(T.words(F.col("text")), 1, n)).alias("gram"))
-    grams = docs.select(key, F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), n))).alias("gram"))
-    pairs = grams.join(start, "gram").select(quote_key, key, "quote").distinct().join(docs.select(key, "text"), key)
-    level = F.when(F.col("text").contains(F.col("quote")), "verbatim").when(normal(F.col("text")).contains(normal(F.col("quote"))), "normalised").when(plain(F.col("text")).contains(plain(F.col("quote"))), "plain")
-    return pairs.select(quote_key, key, level.alias("level")).where("level is not null")
+        return F.concat(F.lit(" "), F.concat_ws(" ", T.words(x)), F.lit(" "))
+
+    first = F.slice(T.words(F.col("text")), 1, 8)
+    start = quotes.select(F.col(quote_key), F.col("text").alias("quote"), F.size(first).alias("n"), F.concat_ws(" ", first).alias("gram")).where("n > 0")
+    lengths = sorted(r[0] for r in start.select("n").distinct().collect())  # eight numbers at most
+    if not lengths:
+        return docs.select(F.lit(None).cast("long").alias(quote_key), key, F.lit("").alias("level")).where("false")
+    grams = docs.select(key, T.words(F.col("text")).alias("ts"))
+    grams = [grams.select(key, F.lit(n).alias("n"), F.explode(F.array_distinct(T.word_ngrams(F.col("ts"), n))).alias("gram")) for n in lengths]
+    every = grams[0]
+    for g in grams[1:]:
+        every = every.unionByName(g)
+    pairs = every.join(start, ["n", "gram"]).select(quote_key, key, "quote").distinct().join(docs.select(key, "text"), key).where(plain(F.col("text")).contains(plain(F.col("quote"))))
+    level = F.when(F.col("text").contains(F.col("quote")), "verbatim").when(normal(F.col("text")).contains(normal(F.col("quote"))), "normalised").otherwise("plain")
+    return pairs.select(quote_key, key, level.alias("level"))

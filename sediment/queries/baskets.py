@@ -56,24 +56,24 @@ def association_rules(spark, d):
     return B.association_rules(brands(spark, d), 5, 0.2).select("lhs", "rhs", "support", *r6("confidence", "lift"))
 
 
-@query(89, sql=f"""WITH b AS ({BRANDS}), h AS (SELECT basket FROM b WHERE item = 'Brand#11')
+@query(89, sql=f"""WITH b AS ({BRANDS}), h AS (SELECT basket FROM b WHERE item = 'Brand#5')
 SELECT x.item AS a, y.item AS b, count(*) AS k FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item
-WHERE x.item <> 'Brand#11' AND y.item <> 'Brand#11' AND x.basket IN (SELECT basket FROM h) GROUP BY 1, 2 HAVING count(*) >= 5""")
+WHERE x.item <> 'Brand#5' AND y.item <> 'Brand#5' AND x.basket IN (SELECT basket FROM h) GROUP BY 1, 2 HAVING count(*) >= 5""")
 def basket_triples(spark, d):
-    return B.triples(brands(spark, d), "Brand#11")
+    return B.triples(brands(spark, d), "Brand#5")
 
 
-@query(197, 246, sql=f"""WITH {PAIRS} SELECT CASE WHEN a = 'Brand#11' THEN b ELSE a END AS partner, k, round(lift, 6) AS lift FROM p
-WHERE a = 'Brand#11' OR b = 'Brand#11' ORDER BY k DESC, partner LIMIT 10""")
+@query(197, 246, sql=f"""WITH {PAIRS} SELECT CASE WHEN a = 'Brand#5' THEN b ELSE a END AS partner, k, round(lift, 6) AS lift FROM p
+WHERE a = 'Brand#5' OR b = 'Brand#5' ORDER BY k DESC, partner LIMIT 10""")
 def pair_partners(spark, d):
-    return B.partners(B.pair_table(brands(spark, d)), "Brand#11", 10).select("partner", "k", *r6("lift"))
+    return B.partners(B.pair_table(brands(spark, d)), "Brand#5", 10).select("partner", "k", *r6("lift"))
 
 
-CORE = ["Brand#11", "Brand#12", "Brand#13", "Brand#21"]
+CORE = ["Brand#5", "Brand#12", "Brand#13", "Brand#21"]
 
 
-@query(69, 202, sql=f"""WITH b AS ({BRANDS}), c AS (SELECT basket, count(*) FILTER (item IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21')) AS held,
-  count(*) FILTER (item NOT IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21')) AS extra FROM b GROUP BY basket)
+@query(69, 202, sql=f"""WITH b AS ({BRANDS}), c AS (SELECT basket, count(*) FILTER (item IN ('Brand#5', 'Brand#12', 'Brand#13', 'Brand#21')) AS held,
+  count(*) FILTER (item NOT IN ('Brand#5', 'Brand#12', 'Brand#13', 'Brand#21')) AS extra FROM b GROUP BY basket)
 SELECT basket, held, extra, 4 - held AS missing FROM c WHERE held >= 2 AND extra <= 3""")
 def family_containment(spark, d):
     return B.family(brands(spark, d), CORE, 0.5, 3).select("basket", "held", "extra", F.col("missing").cast("long").alias("missing"))
@@ -89,9 +89,9 @@ def nearest_basket(spark, d):
 
 
 @query(203, sql=f"""WITH b AS ({BRANDS}) SELECT x.item AS a, y.item AS b, count(*) AS k FROM b x JOIN b y ON x.basket = y.basket
-WHERE (x.item, y.item) IN (('Brand#11', 'Brand#55'), ('Brand#21', 'Brand#44'), ('Brand#32', 'Brand#33')) GROUP BY 1, 2""")
+WHERE (x.item, y.item) IN (('Brand#5', 'Brand#1'), ('Brand#21', 'Brand#4'), ('Brand#12', 'Brand#13')) GROUP BY 1, 2""")
 def incompatible_pairs(spark, d):
-    rules = spark.createDataFrame([("Brand#11", "Brand#55"), ("Brand#21", "Brand#44"), ("Brand#32", "Brand#33")], "a string, b string")
+    rules = spark.createDataFrame([("Brand#5", "Brand#1"), ("Brand#21", "Brand#4"), ("Brand#12", "Brand#13")], "a string, b string")
     return B.forbidden_pairs(brands(spark, d), rules)
 
 
@@ -121,13 +121,13 @@ def usage_profile(spark, d):
     return both.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("l_quantity", F.lit(0.5)), 6).alias("median_quantity"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity"), F.max("l_quantity").alias("largest"))
 
 
-@query(92, 201, sql="""WITH q AS (SELECT p_brand, year(o_orderdate) AS y, sum(l_quantity) AS s FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_brand IN ('Brand#11', 'Brand#12') GROUP BY 1, 2),
+@query(92, 201, sql="""WITH q AS (SELECT p_brand, year(o_orderdate) AS y, sum(l_quantity) AS s FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_brand IN ('Brand#5', 'Brand#12') GROUP BY 1, 2),
 t AS (SELECT p_brand, y, s / sum(s) OVER (PARTITION BY p_brand) AS share FROM q)
 SELECT coalesce(a.y, b.y)::INT AS year, round(coalesce(a.share, 0), 6) AS share_a, round(coalesce(b.share, 0), 6) AS share_b, round(least(coalesce(a.share, 0), coalesce(b.share, 0)), 6) AS overlap
-FROM (SELECT * FROM t WHERE p_brand = 'Brand#11') a FULL JOIN (SELECT * FROM t WHERE p_brand = 'Brand#12') b ON a.y = b.y""")
+FROM (SELECT * FROM t WHERE p_brand = 'Brand#5') a FULL JOIN (SELECT * FROM t WHERE p_brand = 'Brand#12') b ON a.y = b.y""")
 def compare_side_by_side(spark, d):
-    both = table(spark, d, "lineitem").join(table(spark, d, "part").where(F.col("p_brand").isin("Brand#11", "Brand#12")), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sums = both.groupBy(F.year("o_orderdate").alias("year")).pivot("p_brand", ["Brand#11", "Brand#12"]).agg(F.sum("l_quantity"))
-    totals = sums.agg(F.sum("`Brand#11`").alias("ta"), F.sum("`Brand#12`").alias("tb"))
-    share = sums.crossJoin(totals).select("year", (F.coalesce(F.col("`Brand#11`"), F.lit(0.0)) / F.col("ta")).alias("share_a"), (F.coalesce(F.col("`Brand#12`"), F.lit(0.0)) / F.col("tb")).alias("share_b"))
+    both = table(spark, d, "lineitem").join(table(spark, d, "part").where(F.col("p_brand").isin("Brand#5", "Brand#12")), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sums = both.groupBy(F.year("o_orderdate").alias("year")).pivot("p_brand", ["Brand#5", "Brand#12"]).agg(F.sum("l_quantity"))
+    totals = sums.agg(F.sum("`Brand#5`").alias("ta"), F.sum("`Brand#12`").alias("tb"))
+    share = sums.crossJoin(totals).select("year", (F.coalesce(F.col("`Brand#5`"), F.lit(0.0)) / F.col("ta")).alias("share_a"), (F.coalesce(F.col("`Brand#12`"), F.lit(0.0)) / F.col("tb")).alias("share_b"))
     return share.select("year", *r6("share_a", "share_b"), F.round(F.least("share_a", "share_b"), 6).alias("overlap"))

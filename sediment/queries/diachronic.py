@@ -20,10 +20,10 @@ def brand_years(spark, d):
 YEARS = "u AS (SELECT year(o_orderdate)::INT AS year, p_brand AS brand, o_orderkey AS unit, p_type AS type, o_custkey AS cluster FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"
 
 
-@query(80, 233, sql="""WITH c AS (SELECT year(o_orderdate)::INT AS year, o_orderpriority AS key, count(*) AS n FROM orders WHERE o_orderkey % 40 = 1 GROUP BY 1, 2)
+@query(80, 233, sql="""WITH c AS (SELECT year(o_orderdate)::INT AS year, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT y.year, k.key, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT year FROM c) y CROSS JOIN (SELECT DISTINCT key FROM c) k LEFT JOIN c ON c.year = y.year AND c.key = k.key""")
 def period_series(spark, d):
-    c = table(spark, d, "orders").where("o_orderkey % 40 = 1").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return D.zero_filled(c, c.select("year").distinct(), c.select("key").distinct())
 
 
@@ -60,12 +60,13 @@ def name_switches(spark, d):
     return D.preferred_names(brand_years(spark, d), "year", "brand", "unit").select("year", "preferred", *r6("share"), "switched")
 
 
-@query(68, 100, sql=f"""WITH {YEARS}, e AS (SELECT * FROM u WHERE year < 1996 AND cluster % 20 = 1), l AS (SELECT * FROM u WHERE year >= 1996 AND cluster % 20 = 1), p AS (SELECT brand, type, count(DISTINCT cluster) AS support FROM e GROUP BY 1, 2),
-g AS (SELECT * FROM p WHERE (brand, type) NOT IN (SELECT brand, type FROM l)), a AS (SELECT brand, count(*) AS x FROM l GROUP BY 1), b AS (SELECT type, count(*) AS y FROM l GROUP BY 1)
-SELECT g.brand, g.type, support, round(support / (support + 1)::DOUBLE * least(1, (x + y) / 6.0), 6) AS score FROM g JOIN a ON a.brand = g.brand JOIN b ON b.type = g.type""")
+@query(68, 100, sql="""WITH u AS (SELECT year(o_orderdate)::INT AS year, l_partkey AS part, l_suppkey AS supplier, o_custkey AS cluster FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT * FROM u WHERE year < 1996), l AS (SELECT * FROM u WHERE year >= 1996),
+p AS (SELECT part, supplier, count(DISTINCT cluster) AS support FROM e GROUP BY 1, 2), g AS (SELECT * FROM p WHERE (part, supplier) NOT IN (SELECT part, supplier FROM l)), a AS (SELECT part, count(*) AS x FROM l GROUP BY 1), b AS (SELECT supplier, count(*) AS y FROM l GROUP BY 1)
+SELECT g.part, g.supplier, support, round(support / (support + 1)::DOUBLE * least(1, (x + y) / 6.0), 6) AS score FROM g JOIN a ON a.part = g.part JOIN b ON b.supplier = g.supplier""")
 def lost_associations(spark, d):
-    u = brand_years(spark, d).where("cluster % 20 = 1")
-    return D.lost_associations(u, "year", "brand", "type", "cluster", 1996).select("brand", "type", "support", *r6("score"))
+    u = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    u = u.select(F.year("o_orderdate").alias("year"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("o_custkey").alias("cluster"))
+    return D.lost_associations(u, "year", "part", "supplier", "cluster", 1996).select("part", "supplier", "support", *r6("score"))
 
 
 @query(243, sql="""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events""")

@@ -102,13 +102,12 @@ def passages(spark, d):
 SELECT g AS gram, count(*) AS n FROM (SELECT substr(t, i, 2) AS g FROM (SELECT t, unnest(range(1, length(t))) AS i FROM c WHERE length(t) >= 2)) GROUP BY 1 HAVING count(*) >= 500""")
 def bare_bigrams(spark, d):
     bare = T.bare(F.col("text"))
-    return table(spark, d, "documents").select(F.explode(T.char_ngrams(bare, 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 500")
+    return T.char_ngram_counts(table(spark, d, "documents").select(bare), 2).where("n >= 500")
 
 
-@query(282, sql="SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9fff}]')")
+@query(282, sql="SELECT doc_id, (length(text) - o + ceil(o / 4.0))::BIGINT AS tokens FROM (SELECT doc_id, text, length(regexp_replace(text, '[\\x{3400}-\\x{9fff}]', '', 'g')) AS o FROM documents)")
 def token_estimates(spark, d):
-    rows = table(spark, d, "documents").where(~F.col("text").rlike("[㐀-鿿]"))
-    return rows.select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
 @query(341, sql="""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ts FROM documents), s AS (SELECT doc_id, len(list_intersect(ts, ['the', 'thing', 'nation', 'people', 'water'])) AS overlap FROM w)

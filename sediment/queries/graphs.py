@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import baskets as B
@@ -14,11 +15,11 @@ def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-EDGES = f"{PAIRS}, g AS (SELECT a, b FROM p WHERE lift > 1.1 OR k >= 50), e AS (SELECT a, b FROM g UNION SELECT b, a FROM g)"
+EDGES = f"{PAIRS}, g AS (SELECT a, b FROM p WHERE lift > 1), e AS (SELECT a, b FROM g UNION SELECT b, a FROM g)"
 
 
 def edges(spark, d):
-    return B.pair_table(brands(spark, d)).where("lift > 1.1 or k >= 50").select("a", "b")
+    return B.pair_table(brands(spark, d)).where("lift > 1").select("a", "b")
 
 
 LINKS = f"{EDGES}, deg AS (SELECT a AS mid, count(*) AS deg FROM e GROUP BY 1), l AS (SELECT x.a, y.a AS b, count(*) AS common, sum(1 / ln(deg + 1)) AS adamic_adar, sum(1 / deg::DOUBLE) AS allocation FROM e x JOIN e y ON x.b = y.b AND x.a < y.a JOIN deg ON mid = x.b WHERE (x.a, y.a) NOT IN (SELECT a, b FROM e) GROUP BY 1, 2)"
@@ -29,23 +30,19 @@ def link_prediction_aa(spark, d):
     return G.link_prediction(edges(spark, d)).select("a", "b", "common", *r6("adamic_adar", "allocation"))
 
 
-@query(333, 112, sql=f"WITH {LINKS}, best AS (SELECT a, b FROM l ORDER BY round(adamic_adar, 9) DESC, a, b LIMIT 20) SELECT count(*) AS hits, round(count(*) / 20.0, 6) AS \"precision\" FROM best WHERE (a, b) IN (SELECT a, b FROM p)")
+@query(333, sql=f"WITH {LINKS}, best AS (SELECT a, b FROM l ORDER BY round(adamic_adar, 9) DESC, a, b LIMIT 20) SELECT count(*) AS hits, round(count(*) / 20.0, 6) AS \"precision\" FROM best WHERE (a, b) IN (SELECT a, b FROM p)")
 def link_hits(spark, d):
     table_ = B.pair_table(brands(spark, d))
-    predicted = G.link_prediction(table_.where("lift > 1.1 or k >= 50").select("a", "b"))
+    predicted = G.link_prediction(table_.where("lift > 1").select("a", "b"))
     return G.hits_at(predicted, table_.select("a", "b"), "adamic_adar", 20).select("hits", *r6("precision"))
 
 
-NEAR = "x AS (SELECT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_orderkey % 3 = 0), f AS (SELECT DISTINCT x.c AS a, s.l_suppkey + 1000000 AS b FROM x JOIN lineitem s ON s.l_orderkey = x.o WHERE s.l_linenumber = 1 AND x.c % 7 = 1 AND s.l_suppkey % 5 = 1)"
-
-
-@query(102, 216, 328, sql=f"""WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM f UNION SELECT b, a FROM f), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
-SELECT id, min(seen) AS component FROM r GROUP BY id""")
+@query(102, 216, 328, sql="""WITH RECURSIVE f AS (SELECT p_partkey AS b, lag(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS a FROM part), e AS (SELECT a, b FROM f WHERE a IS NOT NULL UNION SELECT b, a FROM f WHERE a IS NOT NULL),
+r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id""")
 def components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0 and o_custkey % 7 = 1")
-    s = table(spark, d, "lineitem").where("l_linenumber = 1 and l_suppkey % 5 = 1")
-    e = o.join(s, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
-    return G.components(e)
+    p = table(spark, d, "part")
+    before = F.lag("p_partkey").over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
+    return G.components(p.select(before.alias("a"), F.col("p_partkey").alias("b")).where("a is not null"))
 
 
 @query(223, 221, sql="""WITH RECURSIVE t AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey // 3 > 0), r AS (SELECT child, parent AS ancestor, 1 AS steps FROM t UNION ALL SELECT r.child, t.parent, steps + 1 FROM r JOIN t ON t.child = r.ancestor)

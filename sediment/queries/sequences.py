@@ -53,12 +53,12 @@ def rate_limited(spark, d):
 
 
 @query(209, sql="""WITH i AS (SELECT DISTINCT user_id AS c, event_type || extract(hour FROM ts) AS item FROM events), w AS (SELECT item, power(ln(((SELECT count(DISTINCT c) FROM i) + 1) / (count(*) + 1)::DOUBLE) + 1, 2) AS w2 FROM i GROUP BY item),
-z AS (SELECT c, sum(w2) AS s FROM i JOIN w USING (item) GROUP BY c), x AS (SELECT q.c AS query, o.c AS c, sum(w2) AS x FROM i q JOIN i o ON q.item = o.item AND q.c <> o.c JOIN w ON w.item = q.item WHERE q.c % 20 = 0 GROUP BY 1, 2),
+z AS (SELECT c, sum(w2) AS s FROM i JOIN w USING (item) GROUP BY c), x AS (SELECT q.c AS query, o.c AS c, sum(w2) AS x FROM i q JOIN i o ON q.item = o.item AND q.c <> o.c JOIN w ON w.item = q.item WHERE q.c % 50 = 0 GROUP BY 1, 2),
 r AS (SELECT query, x.c, x / sqrt(a.s * b.s) AS similarity FROM x JOIN z a ON a.c = x.c JOIN z b ON b.c = x.query)
 SELECT query, c AS "case", round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, c) AS k FROM r) WHERE k <= 5""")
 def similar_users(spark, d):
     items = table(spark, d, "events").select(F.col("user_id").alias("case"), F.concat("event_type", F.hour("ts").cast("string")).alias("item")).distinct()
-    return S.similar_cases(items, items.where("case % 20 = 0"), 5).select("query", "case", *r6("similarity"))
+    return S.similar_cases(items, items.where("case % 50 = 0"), 5).select("query", "case", *r6("similarity"))
 
 
 SPEC = C.Cohort(index="signup", exposure="click", outcome="purchase", washout=30, follow_up=10)

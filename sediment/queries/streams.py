@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query, table
+from ..sources import records
 from ..streaming import windows as W
 
 
@@ -23,23 +24,68 @@ def sliding_counts(spark, d):
     return W.sliding(table(spark, d, "events"), "ts", "3 hours", "1 hour", ["event_type"])
 
 
-@query(29, 31, 321, 325, sql=None)
+@query(321, 325, sql=None)
 def streamed_tumbling_counts(spark, d):
     """The stream's closed windows; those after the last watermark stay open."""
     return W.finished(W.tumbling(streamed(spark, d), "ts", "1 hour", ["event_type"]))
 
 
 KINDS = ["signup", "error", "click", "view", "purchase"]
+EVENT_FOLD = """SELECT user_id, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS "view",
+count(*) FILTER (event_type = 'purchase') AS purchase, arg_max(event_type, (ts, event_id)) AS last_kind FROM events GROUP BY 1"""
 
 
-@query(310, 311, sql="""SELECT user_id, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS "view",
-count(*) FILTER (event_type = 'purchase') AS purchase, arg_max(event_type, (ts, event_id)) AS last_kind FROM events GROUP BY 1""")
+@query(310, sql=EVENT_FOLD)
+def streamed_fold(spark, d):
+    """The stateful fold on the stream: the state of every user after the last micro-batch."""
+    e = streamed(spark, d).select("user_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    step, start = W.counted(KINDS)
+    columns = ", ".join(f"{k} long" for k in KINDS) + ", last_kind string"
+    return W.updated(W.folded(e, "user_id", ["ts", "seq", "kind"], f"user_id long, {columns}", columns, step, start), "user_id")
+
+
+@query(311, sql=EVENT_FOLD)
+def restored_fold(spark, d):
+    """A snapshot of the first events, written, read again and carried on; it must be what a replay of all gives."""
+    e = table(spark, d, "events").withColumnRenamed("event_type", "kind")
+    path = records.scratch(spark, "snapshot")
+    W.replayed(e.where("event_id <= 700"), "user_id", ["ts", "event_id"], KINDS).write.parquet(path)
+    at = e.where("event_id <= 700").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("upto"))
+    later = e.where("event_id > 700")
+    out = W.restored(later, spark.read.parquet(path), "user_id", ["ts", "event_id"], KINDS)
+    whole = W.replayed(e, "user_id", ["ts", "event_id"], KINDS)
+    newest = later.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("newest"))
+    # an event that comes after the snapshot but is older than it does not set the last kind
+    stale = at.join(newest, "user_id").where("newest < upto").select("user_id")
+    kept = spark.read.parquet(path).join(stale, "user_id", "left_semi").select("user_id", F.col("last_kind").alias("held"))
+    out = out.join(kept, "user_id", "left").withColumn("last_kind", F.coalesce("held", "last_kind")).drop("held")
+    if W.differing(out, whole.select(*out.columns)):
+        raise ValueError("the restored state is not the replayed one")
+    return out
+
+
+@query(314, sql="""WITH RECURSIVE t AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey // 3 > 0), r AS (SELECT p_partkey AS id, 0 AS steps FROM part WHERE p_size = 7 UNION SELECT t.child, r.steps + 1 FROM r JOIN t ON t.parent = r.id)
+SELECT id, min(steps)::INT AS steps FROM r GROUP BY 1""")
+def retraction(spark, d):
+    p = table(spark, d, "part")
+    t = p.select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent")).where("parent > 0")
+    return W.retracted(t, p.where("p_size = 7").select(F.col("p_partkey").alias("id")), "child", "parent")
+
+
+@query(318, sql="""SELECT event_id, user_id, strikes, ts + to_microseconds((least(86400.0, 3600 * pow(2.0, strikes - 1)) * 1000000)::BIGINT) AS blocked_until
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS strikes FROM events WHERE event_type = 'error')""")
+def escalating_blocks(spark, d):
+    out = W.escalated(table(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error")
+    return out.select("event_id", "user_id", "strikes", F.col("blocked_until").cast("timestamp_ntz").alias("blocked_until"))
+
+
+@query(sql=EVENT_FOLD)
 def event_fold(spark, d):
     e = table(spark, d, "events").withColumnRenamed("event_type", "kind")
     return W.replayed(e, "user_id", ["ts", "event_id"], KINDS)
 
 
-@query(313, 314, sql="SELECT event_id FROM (SELECT event_id, user_id || '-' || date_trunc('day', ts)::DATE AS tx, event_type FROM events) e WHERE EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'purchase' AND c.user_id || '-' || date_trunc('day', c.ts)::DATE = e.tx)")
+@query(313, sql="SELECT event_id FROM (SELECT event_id, user_id || '-' || date_trunc('day', ts)::DATE AS tx, event_type FROM events) e WHERE EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'purchase' AND c.user_id || '-' || date_trunc('day', c.ts)::DATE = e.tx)")
 def committed_events(spark, d):
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "purchase", "commit").otherwise(F.col("event_type"))

@@ -6,13 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/sediment").rstrip("/")
+from ..sources.records import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -38,6 +36,23 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def updated(stream: DataFrame, by: str, base: str | None = None) -> DataFrame:
+    """Runs a stream in update mode over the input that is there now and returns the last row of each key. Every batch is
+    written as a folder of its number, so a batch that runs again after a failure overwrites itself; a
+    run over the same ``base`` goes on where the last one stopped."""
+    spark = stream.sparkSession
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    rows = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    last = rows.groupBy(by).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (by, "batch")]), "batch").alias("last"))
+    return last.select(by, "last.*")
+
+
 def folded(events: DataFrame, by: str, columns: list[str], output: str, state: str, step: Callable[[tuple, tuple], tuple], start: tuple) -> DataFrame:
     """State of each key after every micro-batch: ``step(state, row)`` over its events in the order of ``columns``. The state is
     a tuple of the columns of ``state``; a row of ``output`` is the key and the state."""
@@ -59,6 +74,55 @@ def replayed(events: DataFrame, by: str, order: list[str], kinds: list[str]) ->
     return events.groupBy(by).agg(*counts, F.max_by("kind", F.struct(*order)).alias("last_kind"))
 
 
+def counted(kinds: list[str]) -> tuple[Callable[[tuple, tuple], tuple], tuple]:
+    """(step, start) of the counting fold for ``folded`` over columns ts, seq, kind: one count a kind, then the last kind."""
+
+    def step(state: tuple, row: tuple) -> tuple:
+        kind = row[2]
+        return (*(n + (kind == k) for n, k in zip(state, kinds)), kind)
+
+    return step, (*[0] * len(kinds), "")
+
+
+def restored(events: DataFrame, snapshot: DataFrame, by: str, order: list[str], kinds: list[str]) -> DataFrame:
+    """The counting fold from a snapshot (as ``replayed`` gives it) and the events after it."""
+    later = replayed(events, by, order, kinds)
+    both = snapshot.select(by, *[F.col(k).alias(f"old_{k}") for k in kinds], F.col("last_kind").alias("old_last")).join(later, by, "full")
+    sums = [(F.coalesce(k, F.lit(0)) + F.coalesce(f"old_{k}", F.lit(0))).cast("long").alias(k) for k in kinds]
+    return both.select(by, *sums, F.coalesce("last_kind", "old_last").alias("last_kind"))
+
+
+def differing(one: DataFrame, two: DataFrame) -> int:
+    """Rows of either table that the other one lacks: 0 if a restored state is the replayed one."""
+    return one.exceptAll(two).count() + two.exceptAll(one).count()
+
+
+def escalated(events: DataFrame, by: str, ts: str, strike: F.Column, memory: str = "1 day", first: int = 3600, most: int = 86400) -> DataFrame:
+    """Rows that are strikes with ``strikes`` (those of the key within ``memory`` up to this one) and ``blocked_until``: a block
+    of ``first`` seconds that doubles with every further strike, up to ``most``."""
+    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
+    window = Window.partitionBy(by).orderBy("_t").rangeBetween(-_micros(memory), 0)
+    hits = events.where(strike).withColumn("_t", seconds)
+    counted_ = hits.withColumn("strikes", F.count(F.lit(1)).over(window))
+    length = F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), F.col("strikes") - 1))
+    return counted_.withColumn("blocked_until", F.timestamp_micros((F.col("_t") + length * 1_000_000).cast("long"))).drop("_t")
+
+
+def _micros(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
+
+
+def retracted(derived: DataFrame, withdrawn: DataFrame, child: str, parent: str) -> DataFrame:
+    """(id, steps): everything that rests, at any remove, on an id of ``withdrawn`` (id), which are there with 0 steps."""
+    from ..operators.graphs import closure
+
+    reached = closure(derived, child, parent)
+    below = reached.join(withdrawn.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy(F.col("child").alias("id")).agg(F.min("steps").alias("steps"))
+    every = below.unionByName(withdrawn.select("id", F.lit(0).alias("steps")))
+    return every.groupBy("id").agg(F.min("steps").alias("steps"))
+
+
 def committed(events: DataFrame, tx: str = "tx") -> DataFrame:
     """Rows of transactions that have their commit marker; a torn tail falls away."""
     return events.join(events.where(F.col("kind") == "commit").select(tx).distinct(), tx, "left_semi")
