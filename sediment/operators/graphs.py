@@ -101,3 +101,16 @@ def worst_status(checks: DataFrame, by: str) -> DataFrame:
     """(by, status): fail < pending < warn < pass < not_applicable; the lowest wins."""
     order = F.array(*[F.lit(s) for s in ("fail", "pending", "warn", "pass", "not_applicable")])
     return checks.groupBy(by).agg(F.min(F.array_position(order, F.col("status"))).alias("_r")).select(by, F.element_at(order, F.col("_r").cast("int")).alias("status"))
+
+
+def intermediaries(edges: DataFrame) -> DataFrame:
+    """(middle, paths): two-step paths citing -> middle -> cited whose ends are not joined themselves. The paths through a
+    node are counted as pairs of its neighbours less those that are joined, each joined pair once for every middle."""
+    e = edges.select("citing", "cited").distinct()
+    into, out = e.groupBy(F.col("cited").alias("middle")).agg(F.count(F.lit(1)).alias("i")), e.groupBy(F.col("citing").alias("middle")).agg(F.count(F.lit(1)).alias("o"))
+    back = e.join(e.select(F.col("citing").alias("cited"), F.col("cited").alias("citing")), ["citing", "cited"], "left_semi").groupBy(F.col("cited").alias("middle")).agg(F.count(F.lit(1)).alias("returns"))
+    direct = e.select(F.col("citing").alias("a"), F.col("cited").alias("c"))
+    closed = direct.join(e.select(F.col("citing").alias("a"), F.col("cited").alias("middle")), "a").join(e.select(F.col("citing").alias("middle"), F.col("cited").alias("c")), ["middle", "c"]).where("a <> c").groupBy("middle").agg(F.count(F.lit(1)).alias("closed"))
+    pairs = into.join(out, "middle").join(back, "middle", "left").join(closed, "middle", "left")
+    paths = F.col("i") * F.col("o") - F.coalesce("returns", F.lit(0)) - F.coalesce("closed", F.lit(0))
+    return pairs.select("middle", paths.alias("paths")).where("paths > 0")
