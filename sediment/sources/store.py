@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -129,8 +129,10 @@ def read_text_sets(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "tab":
         lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")).where(F.length("line") > 0)
         return lines.select("file", F.col("seq").cast("long").alias("seq"), F.substring_index("line", "\t", 1).alias("heading"), F.expr("substr(line, instr(line, '\t') + 1)").alias("text"))
-    parts = files.select("file", F.posexplode(F.regexp_extract_all(F.concat(F.lit("# \n"), "value"), F.lit(r"(?m)(^#{1,6} [^\n]*\n(?:(?!#{1,6} )[^\n]*(?:\n|$))*)"), F.lit(1))).alias("part", "section"))
-    body = F.expr("substr(section, instr(section, '\n') + 1)")
-    paragraphs = parts.select("file", "part", F.trim(F.regexp_replace(F.substring_index("section", "\n", 1), "^#+ ", "")).alias("heading"), F.posexplode(F.split(body, r"\n\s*\n")).alias("at", "raw"))
-    text = F.trim(F.regexp_replace("raw", r"\s+", " "))
-    return paragraphs.select("file", (F.col("part") * 1_000_000 + F.col("at")).cast("long").alias("seq"), "heading", text.alias("text")).where(F.length("text") > 0)
+    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    title = F.when(F.col("line").rlike("^#{1,6} "), F.trim(F.regexp_replace("line", "^#+ ", "")))
+    parts = lines.withColumn("title", title).withColumn("heading", F.coalesce(F.last("title", ignorenulls=True).over(w), F.lit("")))
+    parts = parts.withColumn("seq", F.sum(F.when(F.col("title").isNotNull() | (F.trim("line") == ""), 1).otherwise(0)).over(w)).where(F.col("title").isNull() & (F.trim("line") != ""))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.trim("line").alias("line")))), lambda x: x["line"]), " ")
+    return parts.groupBy("file", "seq", "heading").agg(text.alias("text")).select("file", F.col("seq").cast("long").alias("seq"), "heading", "text")
