@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, freed, fresh, partitions, small, written
+from .shared import SMALL, components, discard, freed, fresh, partitions, small, written
 from .words import LOWER, U, Words, mix, pieces
 
 BITS = 2048
@@ -33,6 +33,8 @@ TILE = 4096
 _PAIRS = 16384
 #: Keys that a task compares at once.
 PORTION = 1 << 18
+#: Rows whose keys are held at once before they are handed on.
+SLICE_ROWS = 2048
 
 
 # sets
@@ -232,7 +234,7 @@ def _blocks(docs: DataFrame, k: int, percent: int) -> DataFrame:
         from pyspark import TaskContext
 
         bands, task = Bands(percent), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             seen: set[int] = set()
             infos, keys, owners = [], [], []
             for first, last, data, offsets in pieces(batch.column(1)):
@@ -380,7 +382,8 @@ def _candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are at the threshold or over it."""
+    """The pairs whose sets are at the threshold or over it. ``pairs`` is a written table; where it names few sets, only
+    their tokens are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,6 +395,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
+    wanted = written(pairs.select(F.col("a").alias("_s")).union(pairs.select(F.col("b").alias("_s"))).distinct(), "wanted")
+    if wanted.count() <= SMALL:
+        sets = sets.join(F.broadcast(wanted), F.col("set") == F.col("_s"), "left_semi")
     x, y = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long")
 
@@ -422,7 +428,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = blocks.join(label.withColumnsRenamed({"id": "set"}), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = written(named.groupBy("block").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("block"), "mixed")
     second = _candidates(named.join(mixed, "block").join(light, "set"), percent, spanning=False)
-    more = written(_links(second.join(first, ["a", "b"], "left_anti"), sets, percent), "links")
+    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(_links(second, sets, percent), "links")
     label = components(links.union(more))
 
     # classes of sets first, then of rows: both joins have a written side, so that Spark can split a large group of copies

@@ -19,7 +19,7 @@ from .words import PIECE, U, mix, powers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 2**64)
@@ -49,10 +49,11 @@ class Encoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.piece = Tokenizer.from_file(path)
-        self.spelled = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tool = Tokenizer.from_file(path)
+        self.spelled = [t.content for t in self.tool.get_added_tokens_decoder().values() if t.content]
+        # one tokenizer in two states: as the file has it, and for pieces that are cut already
+        self.own_cut, self.no_cut = self.tool.pre_tokenizer, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tool.pre_tokenizer = self.no_cut
         self.classes = _classes()
         self._forget()
 
@@ -63,8 +64,8 @@ class Encoder:
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes that each id stands for."""
-        out = np.zeros(self.whole.get_vocab_size(), np.int32)
-        for text, i in self.whole.get_vocab().items():
+        out = np.zeros(self.tool.get_vocab_size(), np.int32)
+        for text, i in self.tool.get_vocab().items():
             out[i] = len(text)  # the file spells every byte as one character
         return out
 
@@ -106,7 +107,7 @@ class Encoder:
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
         if self.n > KEPT_PIECES:
             self._forget()
-        done = self.piece.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        done = self.tool.encode(texts, is_pretokenized=True, add_special_tokens=False)
         ids, of = np.array(done.ids, np.int32), np.array(done.word_ids, np.int64)
         n = self.n + len(texts)
         if n + 1 > len(self.first):
@@ -171,14 +172,19 @@ class Encoder:
         begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return np.concatenate([np.zeros(0, np.int32), *parts]), begin
 
+    def _whole(self, texts: list, some: list[int], parts: list[np.ndarray]) -> None:
+        self.tool.pre_tokenizer = self.own_cut
+        for i, done in zip(some, self.tool.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
+            parts[i] = np.array(done.ids, np.int32)
+        self.tool.pre_tokenizer = self.no_cut
+
     def _encode(self, texts: list, group: list[int], parts: list[np.ndarray]) -> None:
         if not group:
             return
         joined = "".join(texts[i] for i in group)
         if any(s in joined for s in self.spelled):
             marked = [i for i in group if any(s in texts[i] for s in self.spelled)]
-            for i, done in zip(marked, self.whole.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False)):
-                parts[i] = np.array(done.ids, np.int32)
+            self._whole(texts, marked, parts)
             marks = set(marked)
             group = [i for i in group if i not in marks]
             if not group:
@@ -190,8 +196,7 @@ class Encoder:
         if cps.max() >= _FAST:
             odd = np.maximum.reduceat(cps, begins) >= _FAST
             rare = [i for i, o in zip(group, odd) if o]
-            for i, done in zip(rare, self.whole.encode_batch_fast([texts[i] for i in rare], add_special_tokens=False)):
-                parts[i] = np.array(done.ids, np.int32)
+            self._whole(texts, rare, parts)
             return self._encode(texts, [i for i, o in zip(group, odd) if not o], parts)
         start = self._cut(cps, begins)
         n = len(cps)

@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 _ODD, _INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64)
 #: Texts are taken in pieces of about this many bytes (one text is never cut).
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
