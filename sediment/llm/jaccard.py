@@ -338,8 +338,24 @@ def _row_batch(kind: int, part: np.ndarray, doc_ids: pa.Array, n: np.ndarray, id
     return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), pa.array(part.astype(np.int32)), doc_ids, pa.array(n.astype(np.int64)), pa.array(ids.view(np.int64)), pa.nulls(rows, pa.binary())], names=["kind", "part", "doc_id", "n", "set", "blob"])
 
 
+#: Bytes of a token that verification compares: 48 bits, as 2**48 is far over the square of any set's size.
+TOKEN_BYTES = 6
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """The low 48 bits of each token."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(U).reshape(-1)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set, n, order, bits, tokens) of the sets in ``wanted`` (set, doc_id)."""
+    """(set, n, order, bits, tokens) of the sets in ``wanted`` (set, doc_id, and whether several rows are that set's
+    ``doc_id``, as only these have to be told apart by a shuffle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,10 +365,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 ids = set_ids(tokens, rows)
                 at = np.flatnonzero((ids == want[first:last]) & (np.diff(rows) > 0))
                 bits = bitmaps(tokens, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(np.diff(rows)[at]), pa.array(tokens[rows[at]].view(np.int64)) if len(at) else pa.array([], pa.int64()), pa.array([bits[i].tobytes() for i in at], pa.binary()), pa.array([tokens[rows[i] : rows[i + 1]].tobytes() for i in at], pa.binary())], names=["set", "n", "order", "bits", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(np.diff(rows)[at]), pa.array(tokens[rows[at]].view(np.int64)) if len(at) else pa.array([], pa.int64()), pa.array([bits[i].tobytes() for i in at], pa.binary()), pa.array([packed(tokens[rows[i] : rows[i + 1]]) for i in at], pa.binary()), batch.column(2).slice(first, last - first).take(pa.array(at))], names=["set", "n", "order", "bits", "tokens", "several"])
 
-    both = docs.join(wanted.withColumnRenamed("doc_id", "_d"), docs.doc_id.eqNullSafe(F.col("_d"))).select("set", "text")
-    return written(both.mapInArrow(freed(run), "set long, n long, order long, bits binary, tokens binary").dropDuplicates(["set"]), "sets")
+    both = docs.join(wanted.withColumnRenamed("doc_id", "_d"), docs.doc_id.eqNullSafe(F.col("_d"))).select("set", "text", "several")
+    made = written(both.mapInArrow(freed(run), "set long, n long, order long, bits binary, tokens binary, several boolean"), "sets")
+    if made.where("several").isEmpty():
+        return made.drop("several")
+    one = made.where("several").dropDuplicates(["set"])
+    return written(made.where("not several").unionByName(one).drop("several"), "sets")
 
 
 def _candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
@@ -389,7 +409,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), U) for c in (2, 3))
+                x, y = (unpacked(batch.column(c)[i].as_buffer()) for c in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
@@ -414,9 +434,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = _blocks(docs, k, percent)
     rows = both.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "set")
-    owners = rows.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    held = rows.where("n_shingles > 0").groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows"))
+    owners = held.groupBy("set").agg(first_row.alias("o")).select("set", "o.doc_id", (F.col("o.rows") > 1).alias("several"))
     blocks = written(both.where("kind = 1").select(F.col("id").alias("block"), F.col("n").alias("members"), "set").distinct(), "members")
-    sets = _sets(docs, blocks.select("set").distinct().join(owners, "set"), k)
+    sets = _sets(docs, blocks.select("set").distinct().join(owners, "set").select("set", "doc_id", "several"), k)
     light = sets.select("set", "n", "order", "bits")
 
     # first traversal: a forest of each block
