@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows compressed with each.
 
 Not quite the plain method: with a dictionary trained on whole toxic texts, one on whole ordinary texts and windows
-of 3 to 24 words, held-out AUC was 0.57 to 0.80 on the tables here (README), as a toxic text is mostly ordinary prose
+of 2 to 24 words, held-out AUC was 0.52 to 0.80 on the tables here (README), as a toxic text is mostly ordinary prose
 and the prose of the two dictionaries differs by more bytes than a toxic word saves. So the toxic dictionary is
 trained on the stretches that set toxic texts apart, the second compressor holds ordinary content before it,
 and a window is a word; scores are still differences of compressed lengths, and thresholds are calibrated.
