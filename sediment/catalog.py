@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import baskets, diachronic, estimates, graphs, language, profiles, relational, resampling, sequences, stores, streams, text  # noqa: F401  each adds its queries
+from .queries import baskets, diachronic, estimates, evidence, graphs, language, profiles, relational, resampling, sequences, stores, streams, text  # noqa: F401  each adds its queries
 from .registry import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]
