@@ -260,3 +260,42 @@ def cohort_fixture(spark, persons: int, seed: int) -> DataFrame:
     """Made-up persons (person, born, exposed, outcome) with a planted link: the exposed have the outcome twice as often."""
     exposed = (F.col("id") * 7919 + seed) % 100 < 30
     return spark.range(persons).select(F.col("id").alias("person"), (1930 + (F.col("id") * 31 + seed) % 70).alias("born"), exposed.alias("exposed"), ((F.col("id") * 104729 + seed * 31) % 1009 < F.when(exposed, 200).otherwise(100)).alias("outcome"))
+
+
+def located(probes: DataFrame, docs: DataFrame, n: int, top: int, probe: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(probe, key, hits, place): the ``top`` texts that hold most of a noisy text's distinct word runs. Both sides meet on hashed
+    runs; ties go to the smaller key; probes without a common run have no row."""
+    asked, held = (x.select(k, F.explode(F.array_distinct(F.transform(T.word_ngrams(T.words(F.col(text)), n), lambda r: F.xxhash64(r)))).alias("run")) for x, k in ((probes, probe), (docs, key)))
+    hits = asked.join(held, "run").groupBy(probe, key).agg(F.count(F.lit(1)).alias("hits"))
+    place = F.row_number().over(Window.partitionBy(probe).orderBy(F.desc("hits"), key))
+    return hits.withColumn("place", place).where(F.col("place") <= top)
+
+
+def clozes(docs: DataFrame, term: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, card): each sentence that holds the term as a word between blanks, with the term blanked out."""
+    sentences = docs.select(key, F.explode(F.split(text, "[.!?\n]")).alias("s")).where(F.contains("s", F.lit(f" {term} ")))
+    return sentences.select(key, F.replace("s", F.lit(f" {term} "), F.lit(" ___ ")).alias("card"))
+
+
+def accepted(measures: DataFrame, group: str, criteria: dict[str, Column]) -> DataFrame:
+    """(group, verdict, failed): a group is accepted if all its rows meet all criteria, undecided if one is null and none
+    fails; ``failed`` names the criteria that fail, in the order given."""
+    met = measures.groupBy(group).agg(*[F.bool_and(F.coalesce(c, F.lit(True))).alias(f"_ok{i}") for i, c in enumerate(criteria.values())], *[F.bool_or(c.isNull()).alias(f"_no{i}") for i, c in enumerate(criteria.values())])
+    failed = F.array_compact(F.array(*[F.when(~F.col(f"_ok{i}"), name) for i, name in enumerate(criteria)]))
+    unknown = F.greatest(*[F.col(f"_no{i}") for i in range(len(criteria))], F.lit(False), F.lit(False))
+    return met.select(group, F.when(F.size(failed) > 0, "failed").when(unknown, "undecided").otherwise("accepted").alias("verdict"), failed.alias("failed"))
+
+
+def divergence(counts: DataFrame, group: str, token: str, n: str) -> DataFrame:
+    """(group, jsd): Jensen-Shannon divergence in bits of each group's counts (group, token, n) from all others' together. A
+    group alone has null."""
+    whole = counts.groupBy(token).agg(F.sum(n).alias("all"))
+    own = counts.groupBy(group).agg(F.sum(n).alias("own"), F.count(F.lit(1)).alias("kinds"))
+    rest = counts.agg(F.sum(n).alias("total"))
+    # tokens that the group lacks add q / 2 each: what is left of the others' mass
+    rows = counts.join(whole, token).join(own, group).crossJoin(rest)
+    p, q = F.col(n) / F.col("own"), (F.col("all") - F.col(n)) / F.nullif(F.col("total") - F.col("own"), F.lit(0))
+    m = (p + q) / 2
+    part = p * F.log2(p / m) / 2 + F.when(q > 0, q * F.log2(q / m) / 2).otherwise(0.0)
+    sums = rows.groupBy(group).agg(F.sum(part).alias("s"), F.sum(q).alias("q"))
+    return sums.select(group, (F.col("s") + (1 - F.col("q")) / 2).alias("jsd"))

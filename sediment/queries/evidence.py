@@ -278,3 +278,33 @@ def functions_in_sql(spark, d):
     registered.register(spark)
     counts = table(spark, d, "orders").selectExpr("period_of(year(o_orderdate), 3) as period", "o_orderstatus").groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("k"))
     return counts.selectExpr("period", "n", "round(wilson_low(k, n), 6) as low")
+
+
+RUNS = "list_distinct(list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' ')))"
+
+
+@query(171, sql=f"WITH {W}, x AS (SELECT doc_id, unnest({RUNS.format('ts')}) AS run FROM w), i AS (SELECT item_id, unnest({RUNS.format('ts')}) AS run FROM (SELECT item_id, regexp_extract_all({LOW.format('text')}, '[a-z\\x{{80}}-\\x{{10ffff}}]+') AS ts FROM benchmark)), h AS (SELECT item_id, doc_id, count(*) AS hits FROM i JOIN x USING (run) GROUP BY 1, 2) SELECT item_id, doc_id, hits, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id)::INT AS place FROM h) WHERE place <= 3")
+def located_passages(spark, d):
+    return E.located(table(spark, d, "benchmark"), docs(spark, d), 4, 3).select("item_id", "doc_id", "hits", "place")
+
+
+@query(300, sql="SELECT doc_id, md5(replace(s, ' und ', ' ___ ')) AS card FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?\n]')) AS s FROM documents) WHERE contains(s, ' und ')")
+def cloze_cards(spark, d):
+    return E.clozes(docs(spark, d), "und").select("doc_id", F.md5(F.col("card").cast("binary")).alias("card"))
+
+
+@query(338, sql="""WITH m AS (SELECT source, count(*) AS n, avg(length(text)) AS mean, count(DISTINCT lang) AS langs FROM documents GROUP BY 1), f AS (SELECT source, list_filter([CASE WHEN n < 40 THEN 'enough' END, CASE WHEN mean < 1500 THEN 'long' END, CASE WHEN langs < 4 THEN 'mixed' END], lambda x: x IS NOT NULL) AS failed FROM m)
+SELECT source, CASE WHEN len(failed) > 0 THEN 'failed' ELSE 'accepted' END AS verdict, array_to_string(failed, ',') AS failed FROM f""")
+def accepted_sources(spark, d):
+    m = docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("mean"), F.countDistinct("lang").alias("langs"))
+    found = E.accepted(m, "source", {"enough": F.col("n") >= 40, "long": F.col("mean") >= 1500, "mixed": F.col("langs") >= 4})
+    return found.select("source", "verdict", F.concat_ws(",", "failed").alias("failed"))
+
+
+@query(349, sql=f"""WITH {TOKENS}, c AS (SELECT source, token, count(*) AS n FROM t GROUP BY 1, 2), g AS (SELECT source, sum(n) AS own FROM c GROUP BY 1), k AS (SELECT token, sum(n) AS whole FROM c GROUP BY 1), z AS (SELECT sum(n) AS total FROM c),
+x AS (SELECT source, coalesce(n, 0) / own::DOUBLE AS p, (whole - coalesce(n, 0)) / (total - own)::DOUBLE AS q FROM g CROSS JOIN k CROSS JOIN z LEFT JOIN c USING (source, token))
+SELECT source, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 6) AS jsd FROM x GROUP BY 1""")
+def source_divergence(spark, d):
+    words = docs(spark, d).select("source", F.explode(T.words(F.col("text"))).alias("token"))
+    counts = words.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    return E.divergence(counts, "source", "token", "n").select("source", *r6("jsd"))
