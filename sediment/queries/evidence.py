@@ -19,7 +19,7 @@ from .text import LOW, TOKENS, W, docs, r6
 SAID = rf"((?:(?:{'|'.join(E.DENIALS)}) )?[a-z]+ (?:{'|'.join(E.JOINTS)}) [a-z]+)"
 
 
-@query(283, 284, sql=f"WITH s AS (SELECT doc_id, string_split(unnest(regexp_extract_all({LOW.format('text')}, '{SAID}', 1)), ' ') AS x FROM documents) SELECT x[-2] AS relation, len(x) = 4 AS denied, count(*) AS n, count(DISTINCT x[-3]) AS subjects, count(DISTINCT x[-1]) AS objects, count(DISTINCT doc_id) AS docs FROM s GROUP BY 1, 2")
+@query(283, sql=f"WITH s AS (SELECT doc_id, string_split(unnest(regexp_extract_all({LOW.format('text')}, '{SAID}', 1)), ' ') AS x FROM documents) SELECT x[-2] AS relation, len(x) = 4 AS denied, count(*) AS n, count(DISTINCT x[-3]) AS subjects, count(DISTINCT x[-1]) AS objects, count(DISTINCT doc_id) AS docs FROM s GROUP BY 1, 2")
 def statements_by_relation(spark, d):
     s = E.statements(docs(spark, d))
     return s.groupBy("relation", "denied").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("subjects"), F.countDistinct("object").alias("objects"), F.countDistinct("doc_id").alias("docs"))
@@ -170,7 +170,7 @@ def turns_that_fit(spark, d):
     return E.fitted(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 400).select("conv_id", "turn", "so_far")
 
 
-@query(344, 353, sql="""WITH a AS (SELECT doc_id, regexp_extract_all(text, '(https?://[^ ]+)', 1) AS links, regexp_replace(text, 'https?://[^ ]+', '', 'g') AS rest FROM documents)
+@query(344, sql="""WITH a AS (SELECT doc_id, regexp_extract_all(text, '(https?://[^ ]+)', 1) AS links, regexp_replace(text, 'https?://[^ ]+', '', 'g') AS rest FROM documents)
 SELECT doc_id, len(links)::INT AS links, len(regexp_extract_all(rest, '([0-9]+)', 1))::INT AS numbers, md5(regexp_replace(rest, '[0-9]+', '', 'g')) AS body FROM a""")
 def text_layers(spark, d):
     cut = E.layers(docs(spark, d), {"links": "https?://[^ ]+", "numbers": "[0-9]+"})
