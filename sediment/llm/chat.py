@@ -119,10 +119,11 @@ def _said(x) -> str:
 
 
 def turns_of(record: dict, mappings: dict[str, Mapping] = MAPPINGS) -> tuple[str, list[Turn] | None]:
-    """(fingerprint, canonical turns, or None for a layout that has no mapping). Null values are empty texts."""
+    """(fingerprint, canonical turns, or None for a layout that has no mapping). Null values are empty texts. A list of
+    scalars has the path of an empty list and no mapping."""
     name = fingerprint(field_paths(record))
     mapping = mappings.get(name)
-    if mapping is None:
+    if mapping is None or (mapping.each is not None and not all(isinstance(m, dict) for m in record[mapping.each])):
         return name, None
     turns = []
     if mapping.each is not None:
@@ -162,7 +163,8 @@ def canonical_turns(records: DataFrame, mappings: dict[str, Mapping] = MAPPINGS)
 
     Every record's layout is the fingerprint of its field paths; its mapping gives the turns, ``part`` numbers
     them from 0. Records without a mapping, and null or broken ones, give one row with part -1, the layout (null if broken)
-    and null role and text, so nothing vanishes unseen; a record whose list of messages is empty gives none. Null
+    and null role and text, so nothing vanishes unseen; a record whose list of messages is empty gives none. Broken are
+    records that are no JSON object, nested deeper than Python follows, or with half of a surrogate pair. Null
     ids stay; repeated rows each give their turns; other columns are not read; an empty table gives no rows.
     """
     schema = "conv_id long, seq long, part int, layout string, role string, text string"
@@ -173,9 +175,11 @@ def canonical_turns(records: DataFrame, mappings: dict[str, Mapping] = MAPPINGS)
             for conv, seq, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                name, turns = turns_of(record, mappings) if isinstance(record, dict) else (None, None)
+                    name, turns = turns_of(record, mappings) if isinstance(record, dict) else (None, None)
+                    for turn in turns or ():
+                        turn.role.encode(), turn.text.encode()
+                except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
+                    name, turns = None, None
                 out += [(conv, seq, i, name, t.role, t.text) for i, t in enumerate(turns)] if turns is not None else [(conv, seq, -1, name, None, None)]
             columns = list(zip(*out)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())

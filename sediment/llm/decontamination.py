@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, freed, written
+from .shared import by_place, discard, fresh, freed, small, written
 from .words import ALNUM, U, Words, pieces, shingled
 
 #: Words of a window, for items from that many words on; items under the first have windows of their own length.
@@ -245,7 +246,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perc
     windows (first and last), and the weighted similarity of the item's shingles with the document's span
     there must be ``percent`` or more. It depends on the whole benchmark, the item and the document, and not on
     how the benchmark is cut into slices; each slice is a pass over ``docs``. Null and empty texts hold nothing,
-    empty items are in no document, items under ``shingle`` words count as one shingle. Repeated rows each give
+    empty items are in no document, items under ``shingle`` words count as one shingle. With several slices the hits of
+    each are written before the next index is made, so the driver holds one at a time. Repeated rows each give
     their hits, repeated items too; null ids stay null; other columns are not read; empty tables give no hits.
     """
     schema = "doc_id long, item_id long, first_word long, similarity double"
@@ -260,34 +262,55 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perc
 
         return freed(run)
 
-    out = None
-    for index in indexes(benchmark, shingle, percent, slice_bytes):
-        one = base.mapInArrow(scan(index), schema)
-        out = one if out is None else out.union(one)
-    return out
+    return _of_slices(base, indexes(benchmark, shingle, percent, slice_bytes), scan, schema)
+
+
+def _of_slices(base: DataFrame, found: Iterator[Index], scan, schema: str) -> DataFrame:
+    """Rows that ``scan`` gives for every index; of several indexes, each one's rows are written before the next is made."""
+    index, out = next(found), None
+    for following in found:
+        part = written(base.mapInArrow(scan(index), schema), "slice")
+        out = part if out is None else out.unionByName(part)
+        index = following
+    last = base.mapInArrow(scan(index), schema)
+    return last if out is None else out.unionByName(written(last, "slice"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Rows of ``docs`` that hold no item; their columns, of any names, stay as they are. Null and empty texts hold no
     item and stay; repeated rows are judged alike; an empty table or an empty benchmark takes nothing away. With
-    several slices of the benchmark the rows left are written after each."""
+    several slices of the benchmark the texts that each slice finds are written as digests, and one join takes their
+    rows away; ``docs`` itself is never copied."""
     at = docs.columns.index("text")
+    found = indexes(benchmark, shingle, percent, slice_bytes)
+    index = next(found)
+    following = next(found, None)
+    if following is None:
 
-    def scan(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[h[0] for h in index.search(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
+        base = by_place(docs)
+        return base.mapInArrow(freed(run), base.schema).toDF(*docs.columns)
+
+    def scan(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = sorted({h[0] for h in index.search(batch.column(0))})
+                yield batch.take(pa.array(rows, pa.int64())).select(["one", "two"])
+
         return freed(run)
 
-    out, turn = docs, 0
-    for turn, index in enumerate(indexes(benchmark, shingle, percent, slice_bytes)):
-        if turn:
-            out = written(out, "clean")
-        out = out.mapInArrow(scan(index), docs.schema)
-    return out
+    (mark,) = fresh(docs.columns, "_digest")
+    text = F.col("text").cast("string")
+    digest = (F.xxhash64(text), F.xxhash64(F.concat(F.lit("2"), text)))  # 128 bits tell texts apart
+    base = docs.select(text.alias("text"), digest[0].alias("one"), digest[1].alias("two"))
+    gone = written(_of_slices(base, chain([index, following], found), scan, "one long, two long").distinct(), "gone")
+    gone = small(gone.select(F.struct("one", "two").alias(mark)))
+    return docs.join(gone, F.struct(digest[0].alias("one"), digest[1].alias("two")) == F.col(mark), "left_anti")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import freed, named
+from .shared import by_place, freed, named
 from .words import PLAIN, U, Words, mix, pieces, powers
 
 #: Rows on which costs and selectivity are estimated (the order of rules never changes what is kept).
@@ -258,7 +258,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     by_name = {r.name: r for r in rules}
     ordered = [by_name[name] for name, *_ in cascade_order(docs, rules)]
     kept_columns = [c for c in docs.columns if c.lower() not in dict(_ADDED)]
-    base = docs.select(*named(kept_columns))
+    base = by_place(docs.select(*named(kept_columns)))
     schema = T.StructType([*base.schema.fields])
     for name, kind in _ADDED:
         schema = schema.add(name, kind)
@@ -274,9 +274,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
                 alive = cascade(page, ~failed, ordered)
                 why = np.where(failed, "base", np.where(alive, None, "rules")).tolist()
                 cols = [page.n_words, *(page.get(name) for name in MEASURES.values())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in range(batch.num_columns)), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(why, pa.string()), pa.array(alive)], names=[*kept_columns, *dict(_ADDED)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in range(batch.num_columns)), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(why, pa.string()), pa.array(alive)], names=schema.names)
 
-    return base.mapInArrow(freed(run), schema)
+    return base.mapInArrow(freed(run), schema).toDF(*kept_columns, *dict(_ADDED))
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -295,7 +295,8 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 keep.append(cascade(page, ~base_test(page), ordered))
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(freed(run), docs.schema)
+    base = by_place(docs)
+    return base.mapInArrow(freed(run), base.schema).toDF(*docs.columns)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,11 @@ def named(columns: list[str]) -> list[F.Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: mapInArrow can't read all names (dots); ``toDF`` gives the old ones back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow; when its task ends, the worker gives free memory back to the machine, as Spark keeps
     idle workers."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 from collections import defaultdict
 
 import pytest
@@ -88,3 +89,37 @@ def test_unmapped_records_are_counted(spark):
     found = {r["conv_id"]: (r["n_turns"], r["n_unmapped"]) for r in chat_digests(format_chats(canonical_turns(records))).collect()}
     assert found == {1: (2, 2), 2: (0, 1)}
     assert chat_digests(format_chats(canonical_turns(records.limit(0)))).collect() == []
+
+
+def test_broken_records_end_no_job(spark):
+    hard = ['{"messages":[null]}', '{"messages":["hi"]}', '{"conversations":[1]}', '{"messages":[]}', "[" * 100_000, '{"a":' * 50_000 + "1" + "}" * 50_000, '{"role":"user","text":"\\ud800"}', '{"\\ud800":1}', '{"role":"\\udfff","text":"x"}', "null", "1", '"x"', "", None, "{", '{"messages":{"role":"user","content":"x"}}', '{"messages":[{"role":"user","content":"x"},[]]}', '{"messages":[{"role":null,"content":null}]}', '{"role":1,"text":[1,{"text":"x"}]}']
+    good = '{"messages":[{"role":"user","content":"x"}]}'
+    rows = [(1, i, r) for i, r in enumerate([*hard, good])]
+    found = {}
+    for r in canonical_turns(spark.createDataFrame(rows, "conv_id long, seq long, record string")).collect():
+        found.setdefault(r["seq"], []).append((r["part"], r["role"], r["text"]))
+    unmapped = [i for i, r in enumerate(hard) if found.get(i) == [(-1, None, None)]]
+    assert [hard[i] for i in range(len(hard)) if i not in unmapped] == ['{"messages":[]}', '{"messages":[{"role":null,"content":null}]}']
+    assert found[len(hard)] == [(0, "user", "x")] and 3 not in found
+
+
+def test_fuzzed_records(spark):
+    r = random.Random(4)
+
+    def value(depth: int):
+        kind = r.randrange(9 if depth else 6)
+        if kind < 6:
+            return r.choice([None, 1, 1.5, True, "x", "", "<|end|>", "\ud800", [], {}])
+        if kind < 8:
+            return {r.choice(["messages", "role", "content", "text", "from", "value", "conversations", "turns", "prompt", "response", "type", "tool_calls", "a.b"]): value(depth - 1) for _ in range(r.randint(0, 3))}
+        return [value(depth - 1) for _ in range(r.randint(0, 3))]
+
+    rows = []
+    for i in range(10_000):
+        raw = json.dumps({r.choice(["messages", "conversations", "turns", "role", "prompt", "instruction"]): value(3), r.choice(["text", "response", "output", "system", "id"]): value(2)})
+        if r.random() < 0.1:
+            raw = raw[: r.randint(0, len(raw))]
+        rows.append((i, 0, raw))
+    turns = canonical_turns(spark.createDataFrame(rows, "conv_id long, seq long, record string"))
+    seen = {row["conv_id"] for row in turns.collect()}
+    assert len(seen) >= 9_000 and format_chats(turns).count() >= len(seen)

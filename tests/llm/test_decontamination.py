@@ -146,3 +146,19 @@ def test_slices_change_nothing(spark):
     assert whole == cut
     left = [sorted(r["doc_id"] for r in decontaminated(docs, benchmark, slice_bytes=b).collect()) for b in (1 << 20, 1500)]
     assert left[0] == left[1]
+
+
+def test_any_column_names_and_bounded_slices(spark, tmp_path):
+    items = [(i, prose(100 + i, 40)) for i in range(40)]
+    rows = [(i, prose(i, 50) + (" " + items[i][1] if i % 3 == 0 else ""), "x", None) for i in range(40)]
+    names = ["doc_id", "text", "a.b", "n`w"]
+    docs = spark.createDataFrame(rows, "a long, b string, c string, d double").toDF(*names)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 400):
+        left = decontaminated(docs, benchmark, slice_bytes=size)
+        assert left.columns == names and sorted(tuple(r) for r in left.collect()) == [r for r in rows if r[0] % 3]
+        assert {(r["doc_id"], r["item_id"]) for r in benchmark_hits(docs, benchmark, slice_bytes=size).collect()} == {(i, i) for i in range(40) if i % 3 == 0}
+    # however many slices: the plan holds one index at most, what others found lies in written tables
+    many = benchmark_hits(docs, benchmark, slice_bytes=400)
+    assert len(list(indexes(benchmark, slice_bytes=400))) >= 20
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 from compare import differences
-from fixtures import SMALL, WORD, edge_rows, edges, empty
+from fixtures import SMALL, WORD, edge_rows, edges, empty, prose
 
 from sediment.llm import quality
 from sediment.llm.decontamination import _laid as laid
@@ -77,3 +77,13 @@ def test_clashing_columns_stay(spark):
     out = passing(docs)
     assert out.columns == docs.columns
     assert out.first()["kept"] == "mine"
+
+
+def test_any_column_names(spark):
+    rows = [(1, prose(1, 60), "x", 1.5, "y"), (2, "one two", "x", None, None)]
+    names = ["doc_id", "text", "a.b", "n`w", "c.d.e"]
+    docs = spark.createDataFrame(rows, "a long, b string, c string, d double, e string").toDF(*names)
+    kept = passing(docs)
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == rows[:1]
+    ruled = quality_rules(docs)
+    assert ruled.columns[:5] == names and {r["doc_id"]: (r["a.b"], r["kept"]) for r in ruled.collect()} == {1: ("x", True), 2: ("x", False)}
