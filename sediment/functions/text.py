@@ -22,6 +22,16 @@ def lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Letters with marks and the letters under them.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy"
+
+
+def bare_letters(text: Column) -> Column:
+    """Letters and digits alone, without marks, lower-cased."""
+    return F.regexp_replace(F.translate(lower(text), MARKED, PLAIN), "[^a-z0-9\u0080-\U0010ffff]", "")
+
+
 def _runs(items: Column, n: int, joint: str) -> Column:
     """Overlapping runs of n items, joined. The array is bound once, so that no run evaluates it again."""
 

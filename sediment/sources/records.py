@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written to the shared folder and read again: its work is done once, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """Every line of every file under ``paths``, at any depth. Lines that are no JSON object come as nulls."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").json(paths)
