@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query, table
-from ..sources import records, store
+from ..sources import eventlog, records, store
 from .graphs import CITES, citations
 from .text import WORDS
 
@@ -114,3 +114,15 @@ def intermediaries(spark, d):
 
     e = citations(spark, d).where("period = 1997").groupBy("citing", "cited").agg(F.sum("weight").alias("w")).where("w >= 2").select("citing", "cited")
     return between(e)
+
+
+@query(31, sql="SELECT event_type, user_id % 10 AS part, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1, 2")
+def log_appends(spark, d):
+    """Events come in four batches; each is sent twice, and one is sent after a write that was never committed."""
+    log = eventlog.EventLog(spark, records.scratch(spark, "log"), "event_id long, user_id long, event_type string")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    log._write(events, "lost")
+    for turn in range(2):
+        for part in range(4):
+            log.append(events.where(F.col("event_id") % 4 == part), f"part-{part}")
+    return log.read().groupBy("event_type", (F.col("user_id") % 10).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .records import kept
 
 BUCKETS = 16
 
@@ -72,16 +73,22 @@ class Store:
         self._changed("works", gone, works.withColumn("bucket", at), touched)
 
     def append(self, passages: DataFrame) -> None:
-        """Adds passages to works that are there, and their words to the postings; passages of unknown works are left out."""
-        known = passages.join(self.read("works").select("work"), "work", "left_semi")
+        """Adds passages to works that are there, in place of passages of the same work and seq, and their words to the postings;
+        passages of unknown works are left out, of several with one work and seq one stays. Passages are put in first,
+        and the postings of the works at hand are made anew from them, so an append that failed at any step can be repeated."""
+        known = passages.join(self.read("works").select("work"), "work", "left_semi").dropDuplicates(["work", "seq"])
+        known = kept(known, "append")  # one choice among repeats, whatever runs again
         touched = self._touched(known)
         if not touched:
             return
-        at, none = bucket(F.col("work"), self.buckets), known.select("work").where("false")
-        new = self.index(known)
-        old = self.read("postings").where(F.col("bucket").isin(touched)).select("work", "token", "n")
-        self._put("postings", old.unionByName(new).groupBy("work", "token").agg(F.sum("n").alias("n")).withColumn("bucket", at), touched)
-        self._changed("passages", none, known.withColumn("bucket", at), touched)
+        at = bucket(F.col("work"), self.buckets)
+        old = self.read("passages").where(F.col("bucket").isin(touched))
+        own = known.select("work", "seq")
+        left = old.join(own, (old["work"] == own["work"]) & old["seq"].eqNullSafe(own["seq"]), "left_anti")
+        self._put("passages", left.unionByName(known.withColumn("bucket", at).select(*left.columns)), touched)
+        works = known.select("work").distinct()
+        new = self.read("passages").where(F.col("bucket").isin(touched)).join(works, "work", "left_semi")
+        self._changed("postings", works, self.index(new).withColumn("bucket", at), touched)
 
     def delete(self, works: DataFrame) -> None:
         """Takes works out, with their passages and postings."""
