@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import baskets, collation, diachronic, estimates, evidence, graphs, language, matching, profiles, relational, resampling, senses, sequences, stores, streams, text  # noqa: F401  each adds its queries
+from .queries import baskets, collation, diachronic, estimates, evidence, graphs, language, matching, profiles, readers, relational, resampling, senses, sequences, stores, streams, text  # noqa: F401  each adds its queries
 from .registry import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]
