@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..sources import records
+from ..streaming import blocks as B
 from ..streaming import windows as W
 
 
@@ -79,6 +80,24 @@ def escalating_blocks(spark, d):
     return out.select("event_id", "user_id", "strikes", F.col("blocked_until").cast("timestamp_ntz").alias("blocked_until"))
 
 
+STRIKES = """SELECT event_id, user_id, strikes, ts + to_microseconds((least(86400.0, 3600 * pow(2.0, strikes - 1)) * 1000000)::BIGINT) AS blocked_until
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS strikes FROM events WHERE event_type = 'error')"""
+
+
+@query(318, sql=STRIKES)
+def streamed_blocks(spark, d):
+    """Events arrive ten days at a time; after each arrival the stream goes on from its checkpoint."""
+    e = table(spark, d, "events")
+    source, base = records.scratch(spark, "arrivals"), records.scratch(spark, "blocks")
+    for days in ((None, "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", None)):
+        after, before = (F.lit(x).cast("timestamp_ntz") for x in days)
+        e.where((after.isNull() | (F.col("ts") >= after)) & (before.isNull() | (F.col("ts") < before))).write.mode("append").parquet(source)
+        with B.stateful(spark):
+            stream = W.event_stream(spark, source, e.schema, late="1 minute")
+            out = W.finished(B.streamed_blocks(stream, "user_id", "ts", F.col("event_type") == "error"), base=base)
+    return out.select("event_id", "user_id", "strikes", F.col("blocked_until").cast("timestamp_ntz").alias("blocked_until"))
+
+
 @query(sql=EVENT_FOLD)
 def event_fold(spark, d):
     e = table(spark, d, "events").withColumnRenamed("event_type", "kind")

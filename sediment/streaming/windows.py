@@ -26,11 +26,11 @@ def sliding(events: DataFrame, ts: str, width: str, step: str, by: list[str]) ->
     return events.groupBy(F.window(ts, width, step).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+def finished(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
     """Runs a stream over the input that is there now and returns what it wrote. Checkpoint and output lie in the
-    shared folder; a run that starts again from them goes on where it stopped."""
+    shared folder; a run over the same ``base`` goes on where the last one stopped."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
