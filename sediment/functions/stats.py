@@ -60,7 +60,7 @@ def _running(counts: DataFrame, value: str, by: list[str], n: str, to: str, cuts
     at approximate percentiles, sums run inside a range, and ranges before are added, so that no task holds a
     whole group."""
     edges = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), 2000).alias("_edges"))
-    both = counts.join(F.broadcast(edges), by) if by else counts.crossJoin(F.broadcast(edges))  # a row a group
+    both = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # one row
     placed = both.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*by, "_range").agg(F.sum(n).alias("_s")).withColumn("_ahead", F.coalesce(F.sum("_s").over(ahead), F.lit(0))).drop("_s")
@@ -109,7 +109,8 @@ def _log_table(a, b, c, d) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """One-sided exact test of [[a, b], [c, d]]: probability of a table with as large a first cell or a larger one."""
+    """One-sided exact test of [[a, b], [c, d]]: probability of a table with as large a first cell or a larger one. Terms are added
+    until they change the sum no more."""
     a, b, c, d = (x.to_numpy(float) for x in (a, b, c, d))
     term = np.exp(_log_table(a, b, c, d))
     total = term.copy()
@@ -119,20 +120,26 @@ def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
         term[live] *= y[live] * z[live] / ((x[live] + 1) * (w[live] + 1))
         x[live], y[live], z[live], w[live] = x[live] + 1, y[live] - 1, z[live] - 1, w[live] + 1
         total[live] += term[live]
-        live &= np.minimum(y, z) > 0
+        falls = y * z < (x + 1) * (w + 1)
+        live &= (np.minimum(y, z) > 0) & ~(falls & (term < total * 1e-18))
     return pd.Series(np.minimum(1.0, total))
 
 
 @F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided exact test: all tables with these margins that are no likelier than the observed one."""
+    """Two-sided exact test: all tables with these margins that are no likelier than the observed one. Beyond 40 standard
+    deviations from the mean, and not near the observed table, tables add nothing that a double could tell."""
     out = []
-    for p, q, r, s in zip(a, b, c, d):
-        low, high = int(max(0, p - s)), int(min(p + q, p + r))
-        first = np.arange(low, high + 1, dtype=float)
+    for p, q, r, s in zip(*(x.astype(float) for x in (a, b, c, d))):
+        low, high, n = max(0.0, p - s), min(p + q, p + r), p + q + r + s
+        mean = (p + q) * (p + r) / n if n else 0.0
+        wide = 50 + 40 * math.sqrt(mean * (q + s) * (r + s) / (n * max(1.0, n - 1))) if n else 50.0
+        near = [np.arange(max(low, math.floor(x - w)), min(high, math.ceil(x + w)) + 1) for x, w in ((mean, wide), (p, 200.0))]
+        first = np.unique(np.concatenate(near))
         chance = np.exp(_log_table(first, p + q - first, p + r - first, s - p + first))
-        seen = chance[int(p) - low]
-        out.append(min(1.0, float(chance[chance <= seen * (1 + 1e-7)].sum())))
+        seen = chance[np.searchsorted(first, p)]
+        equal = 1 + max(1e-7, 1e-13 * n)  # as near as logarithms of factorials of n can tell
+        out.append(min(1.0, float(chance[chance <= seen * equal].sum())))
     return pd.Series(out)
 
 

@@ -256,12 +256,6 @@ def in_grams(doses: DataFrame, units: list[tuple[str, int, int, float]], dose: s
     return read.join(table, held, "left").select(*[read[c] for c in read.columns], (F.col("amount") * F.col("each")).alias("grams"))
 
 
-def cohort_fixture(spark, persons: int, seed: int) -> DataFrame:
-    """Made-up persons (person, born, exposed, outcome) with a planted link: the exposed have the outcome twice as often."""
-    exposed = (F.col("id") * 7919 + seed) % 100 < 30
-    return spark.range(persons).select(F.col("id").alias("person"), (1930 + (F.col("id") * 31 + seed) % 70).alias("born"), exposed.alias("exposed"), ((F.col("id") * 104729 + seed * 31) % 1009 < F.when(exposed, 200).otherwise(100)).alias("outcome"))
-
-
 def located(probes: DataFrame, docs: DataFrame, n: int, top: int, probe: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(probe, key, hits, place): the ``top`` texts that hold most of a noisy text's distinct word runs. Both sides meet on hashed
     runs; ties go to the smaller key; probes without a common run have no row."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +28,38 @@ def matches(text: Column, entries: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
+def _parts(words: DataFrame, column: str, most: int, probe: bool) -> DataFrame:
+    """(column, size, part, piece) for words: an entry of ``size`` letters is cut into ``most`` + 1 pieces, of which ``most`` edits leave
+    one whole, moved by ``most`` places at the most; a word that is asked for names all pieces it may share with an entry.
+    Entries of no more than ``most`` letters have one empty piece."""
+
+    def cuts(size: int) -> list[tuple[int, int]]:
+        if size <= most:
+            return [(0, 0)]
+        return [(i * size // (most + 1), (i + 1) * size // (most + 1)) for i in range(most + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for word in batch.column(0).to_pylist():
+                n = len(word)
+                for size in range(max(0, n - most), n + most + 1) if probe else (n,):
+                    for part, (lo, hi) in enumerate(cuts(size)):
+                        for at in range(max(0, lo - most), min(n - (hi - lo), lo + most) + 1) if probe and hi > lo else (lo,):
+                            rows.add((word, size, part, word[at : at + hi - lo]))
+            cols = list(zip(*sorted(rows))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string()))], names=[column, "size", "part", "piece"])
+
+    return words.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).mapInArrow(run, f"{column} string, size int, part int, piece string")
+
+
 def nearest(asked: DataFrame, entries: DataFrame, k: int, most: int = 3) -> DataFrame:
-    """(asked, entry, distance): for each word the ``k`` entries of least edit distance up to ``most``. Words within that
-    distance have lengths that differ by no more, so entries are looked up by length."""
-    near = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.length("asked") - most), F.length("asked") + most)))
-    both = near.join(entries.withColumn("size", F.length("entry")), "size").withColumn("distance", F.levenshtein("asked", "entry")).where(F.col("distance") <= most)
+    """(asked, entry, distance): for each word the ``k`` entries of least edit distance up to ``most``; equally near ones by their
+    letters. Words and entries meet where they share a piece (see ``_parts``), and are compared once. Null ones are left
+    out, repeated ones count once."""
+    words, held = asked.select("asked").distinct(), entries.select("entry").distinct()
+    met = _parts(words, "asked", most, True).join(_parts(held, "entry", most, False), ["size", "part", "piece"]).select("asked", "entry").distinct()
+    both = met.withColumn("distance", F.levenshtein("asked", "entry")).where(F.col("distance") <= most)
     w = Window.partitionBy("asked").orderBy("distance", "entry")
     return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("asked", "entry", "distance")
 

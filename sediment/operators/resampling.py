@@ -21,11 +21,23 @@ def draw(*parts: Column | str) -> Column:
 
 def relabelled(units: DataFrame, group: str, rounds: int, unit: str = "unit") -> DataFrame:
     """``units`` once a round with ``round`` and ``drawn``: as many rows are drawn as are in the group (a boolean), those with
-    the smallest hashes of unit and round. Round 0 is the data as it is. A round's units are ranked together."""
+    the smallest hashes of unit and round. Round 0 is the data as it is.
+
+    Hashes are counted in 4,096 ranges a round, which tells in which range the last row drawn lies; rows under it are drawn,
+    rows over it aren't, and only those in it are ranked. So no task holds the units of a round."""
     size = units.agg(F.count(F.when(F.col(group), 1)).alias("_k"))
-    every = units.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).crossJoin(size)  # one row
-    rank = F.row_number().over(Window.partitionBy("round").orderBy(draw(unit, "round"), unit))
-    return every.withColumn("drawn", F.when(F.col("round") == 0, F.col(group)).otherwise(rank <= F.col("_k"))).drop("_k")
+    every = units.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_h", draw(unit, "round")).withColumn("_b", F.shiftright("_h", 20))
+    counts = every.groupBy("round", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("round").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("_before", ahead).crossJoin(size).where((F.col("_before") <= F.col("_k")) & (F.col("_before") + F.col("_n") > F.col("_k")))  # one row
+    edge = edge.select("round", F.col("_b").alias("_edge"), (F.col("_k") - F.col("_before")).alias("_more"))  # a row a round, none where all are drawn
+    both = every.join(F.broadcast(edge), "round", "left")
+    rank = F.row_number().over(Window.partitionBy("round").orderBy("_h", unit))
+    inside = both.where(F.col("_b") == F.col("_edge")).withColumn("drawn", rank <= F.col("_more"))
+    rest = both.where(~F.coalesce(F.col("_b") == F.col("_edge"), F.lit(False))).withColumn("drawn", F.coalesce(F.col("_b") < F.col("_edge"), F.lit(True)))
+    seen = units.withColumn("round", F.lit(0)).withColumn("drawn", F.col(group))
+    columns = [*units.columns, "round", "drawn"]
+    return seen.select(*columns).unionByName(inside.select(*columns)).unionByName(rest.select(*columns))
 
 
 def permutation_test(units: DataFrame, value: str, group: str, rounds: int = 200, unit: str = "unit") -> DataFrame:

@@ -231,11 +231,6 @@ def doses_in_grams(spark, d):
     return E.in_grams(x, UNITS).select("l_orderkey", "l_linenumber", "unit", *r6("grams"))
 
 
-@query(24, sql="WITH p AS (SELECT range AS person, (range * 7919 + 5) % 100 < 30 AS exposed FROM range(5000)) SELECT person, 1930 + (person * 31 + 5) % 70 AS born, exposed, (person * 104729 + 155) % 1009 < CASE WHEN exposed THEN 200 ELSE 100 END AS outcome FROM p")
-def cohort_fixture(spark, d):
-    return E.cohort_fixture(spark, 5000, 5)
-
-
 @query(23, sql="SELECT event_id, event_type, seq FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id)::INT AS seq FROM events WHERE user_id = 13) WHERE seq BETWEEN 3 AND 40")
 def session_range(spark, d):
     one = table(spark, d, "events").where("user_id = 13").select("user_id", "event_id", "event_type", "ts")

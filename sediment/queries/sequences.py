@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import sequences as S
 from ..plans import cohort as C
 from ..registry import query, table
@@ -83,9 +84,11 @@ def cohort_risk(spark, d):
     return C.risk(C.compiled(persons(spark, d), SPEC)).select("arm", "persons", "cases", *r6("risk"))
 
 
-@query(138, sql=None)
+@query(138, sql=f"""WITH {COHORT}, r AS (SELECT count(*) FILTER (arm = 'exposed')::DOUBLE AS n, count(*) FILTER (arm = 'exposed' AND events > 0)::DOUBLE AS a, count(*) FILTER (arm = 'unexposed')::DOUBLE AS m, count(*) FILTER (arm = 'unexposed' AND events > 0)::DOUBLE AS b FROM c),
+s AS (SELECT (a / n) / nullif(b / m, 0) AS ratio, {stats.Z95} * sqrt(1 / nullif(a, 0) - 1 / n + 1 / nullif(b, 0) - 1 / m) AS spread FROM r)
+SELECT round(ratio, 6) AS ratio, round(exp(ln(ratio) - spread), 6) AS low, round(exp(ln(ratio) + spread), 6) AS high FROM s""")
 def cohort_risk_ratio(spark, d):
-    return C.risk_ratio(C.risk(C.compiled(persons(spark, d), SPEC)))
+    return C.risk_ratio(C.risk(C.compiled(persons(spark, d), SPEC))).select(*r6("ratio", "low", "high"))
 
 
 @query(107, sql="""SELECT count(*) AS conversations, round(avg(turns), 6) AS mean_turns, round(quantile_cont(turns, 0.5), 6) AS median_turns, round(avg(CASE WHEN alternates THEN 1.0 ELSE 0.0 END), 6) AS alternating, round(quantile_cont(chars, 0.5), 6) AS median_chars FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.records import shared_folder
+from ..sources.records import kept, shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -84,12 +84,20 @@ def counted(kinds: list[str]) -> tuple[Callable[[tuple, tuple], tuple], tuple]:
     return step, (*[0] * len(kinds), "")
 
 
-def restored(events: DataFrame, snapshot: DataFrame, by: str, order: list[str], kinds: list[str]) -> DataFrame:
-    """The counting fold from a snapshot (as ``replayed`` gives it) and the events after it."""
-    later = replayed(events, by, order, kinds)
-    both = snapshot.select(by, *[F.col(k).alias(f"old_{k}") for k in kinds], F.col("last_kind").alias("old_last")).join(later, by, "full")
+def snapshot(events: DataFrame, by: str, order: list[str], kinds: list[str]) -> DataFrame:
+    """``replayed`` with ``last_at``, the place of the last event in the order, so that the fold can be carried on."""
+    at = events.groupBy(by).agg(F.max(F.struct(*order)).alias("last_at"))
+    return replayed(events, by, order, kinds).join(at, by)
+
+
+def restored(events: DataFrame, held: DataFrame, by: str, order: list[str], kinds: list[str]) -> DataFrame:
+    """The counting fold from a ``snapshot`` and the events that came after it was taken; those that are older than its last
+    event count, and leave the last kind as it is."""
+    later = snapshot(events, by, order, kinds)
+    both = held.select(by, *[F.col(k).alias(f"old_{k}") for k in kinds], F.col("last_kind").alias("old_last"), F.col("last_at").alias("old_at")).join(later, by, "full")
     sums = [(F.coalesce(k, F.lit(0)) + F.coalesce(f"old_{k}", F.lit(0))).cast("long").alias(k) for k in kinds]
-    return both.select(by, *sums, F.coalesce("last_kind", "old_last").alias("last_kind"))
+    last = F.when(F.col("old_at").isNull() | (F.col("last_at") >= F.col("old_at")), F.col("last_kind")).otherwise(F.col("old_last"))
+    return both.select(by, *sums, last.alias("last_kind"))
 
 
 def differing(one: DataFrame, two: DataFrame) -> int:
@@ -113,14 +121,18 @@ def _micros(interval: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
 
 
-def retracted(derived: DataFrame, withdrawn: DataFrame, child: str, parent: str) -> DataFrame:
-    """(id, steps): everything that rests, at any remove, on an id of ``withdrawn`` (id), which are there with 0 steps."""
-    from ..operators.graphs import closure
-
-    reached = closure(derived, child, parent)
-    below = reached.join(withdrawn.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy(F.col("child").alias("id")).agg(F.min("steps").alias("steps"))
-    every = below.unionByName(withdrawn.select("id", F.lit(0).alias("steps")))
-    return every.groupBy("id").agg(F.min("steps").alias("steps"))
+def retracted(derived: DataFrame, withdrawn: DataFrame, child: str, parent: str, depth: int = 60) -> DataFrame:
+    """(id, steps): everything that rests, at any remove, on an id of ``withdrawn`` (id), which are there with 0 steps; steps are
+    the fewest. From the withdrawn down, a round of joins a step, so the work is that of what falls; an error beyond ``depth``."""
+    below = kept(derived.select(F.col(parent).alias("id"), F.col(child).alias("next")).distinct(), "derived")
+    front = reached = kept(withdrawn.select("id").distinct().withColumn("steps", F.lit(0)), "retracted")
+    for step in range(1, depth + 1):
+        new = front.join(below, "id").select(F.col("next").alias("id")).distinct().join(reached, "id", "left_anti")
+        front = kept(new.withColumn("steps", F.lit(step)), "retracted")
+        if front.isEmpty():
+            return reached
+        reached = reached.unionByName(front)
+    raise RuntimeError(f"what rests on it goes on beyond {depth} steps")
 
 
 def committed(events: DataFrame, tx: str = "tx") -> DataFrame:
