@@ -226,9 +226,10 @@ class SignatureTree:
 
 def _blocks(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(kind 0: doc_id, n, set) for every row, (kind 1: block, members, set) for every block of sets; one pass
-    over the texts and one shuffle of packed keys."""
+    over the texts and one shuffle of packed keys. There are two partitions of keys for every one that the texts are
+    read in, so a task holds the keys of half a partition of texts, however large the input."""
     spark = docs.sparkSession
-    n_parts = partitions(spark)
+    n_parts = max(partitions(spark), 2 * docs.rdd.getNumPartitions())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
