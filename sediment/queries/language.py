@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import documents as D
 from ..functions import scalars as X
 from ..functions import text as T
 from ..operators import lexicon as L
@@ -188,3 +189,41 @@ d AS (SELECT vec_id, label, l, sqrt(sum((x - m) * (x - m))) AS d FROM v JOIN c U
 SELECT label, count(*) AS n, round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM s GROUP BY 1""")
 def centre_silhouette(spark, d):
     return X.centre_silhouette(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("label", "n", F.round("silhouette", 5).alias("silhouette"))
+
+
+SCHEMA = {
+    "type": "object",
+    "required": ["id", "kind"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 1},
+        "kind": {"type": "string", "enum": ["click", "view", "error", "signup"]},
+        "tags": {"type": "array", "items": {"type": "integer", "maximum": 90}},
+        "level": {"type": "integer", "default": 3},
+    },
+}
+
+
+@query(273, sql="""WITH e AS (SELECT event_id, event_type, (json_extract_string(props::JSON, '$.k'))::BIGINT AS k FROM events)
+SELECT event_id, '{"id":' || event_id || ',"kind":"' || event_type || '","level":3,"tags":[' || k || ']}' AS fitted, array_to_string(list_filter([CASE WHEN event_id < 1 THEN '$.id: under minimum' END, CASE WHEN event_type = 'purchase' THEN '$.kind: not in enum' END, CASE WHEN k > 90 THEN '$.tags[0]: over maximum' END], lambda p: p IS NOT NULL), '; ') AS problems FROM e""")
+def records_fitted(spark, d):
+    """Records with numbers as text, a lone value for a list, an unknown field and a missing one."""
+    e = table(spark, d, "events")
+    raw = F.concat(F.lit('{"id": " '), F.col("event_id").cast("string"), F.lit('", "kind": "'), "event_type", F.lit('", "more": [{}], "tags": "'), F.get_json_object("props", "$.k"), F.lit('"}'))
+    return e.select("event_id", D.fit_json(raw, SCHEMA).alias("f")).select("event_id", "f.fitted", F.array_join("f.problems", "; ").alias("problems"))
+
+
+@query(274, sql="""SELECT event_id, '{"at":[' || event_id || ',{"deep":[' || json_extract_string(props::JSON, '$.k') || ',[]]}],"said":"a } in { quotes \\" ' || event_type || '"}' AS found FROM events""")
+def nested_json_in_text(spark, d):
+    value = F.concat(F.lit('{"said": "a } in { quotes \\" '), "event_type", F.lit('", "at": ['), F.col("event_id").cast("string"), F.lit(', {"deep": ['), F.get_json_object("props", "$.k"), F.lit(", []]}]}"))
+    text = F.concat(F.lit("see [this and {that: "), value, F.lit(" and [1, 2] {"))
+    return table(spark, d, "events").select("event_id", D.first_json(text).alias("found"))
+
+
+@query(275, sql="""WITH e AS (SELECT *, json_extract_string(props::JSON, '$.k') AS k FROM events)
+SELECT event_id, '{"a":{"b":{"c":' || k || ',"d":' || user_id || '},"list":[1,' || k || ',"x"]},"kind":"' || event_type || '","new":{"z":[' || event_id || ']},"one":[0,' || k || ']}' AS merged FROM e""")
+def documents_merged(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    base = F.concat(F.lit('{"a": {"b": {"c": 0, "d": '), F.col("user_id").cast("string"), F.lit('}, "list": [1]}, "kind": {"old": 1}, "one": 0}'))
+    over = F.concat(F.lit('{"a": {"b": {"c": '), "k", F.lit('}, "list+": ['), "k", F.lit(', "x"]}, "kind": "'), "event_type", F.lit('", "new": {"z+": '), F.col("event_id").cast("string"), F.lit('}, "one+": '), "k", F.lit("}"))
+    return e.select("event_id", D.merge_json(base, over).alias("merged"))
