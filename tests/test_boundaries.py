@@ -38,9 +38,15 @@ def test_a_law_is_learned_and_holds_on_texts_not_seen(spark):
     model = B.fitted(docs)
     found = {r["method"]: r for r in B.scored(docs, model).collect()}
     assert found["model"]["f1"] > 0.95 > 0.7 > found["rule"]["f1"]
-    other = lawful(1, 401)[400:]
-    marks = {r["doc_id"]: (r["n_words"], r["marks"]) for r in B.restored_marks(spark.createDataFrame(other + [(9, "abcdend xx but yy")], SCHEMA), model).collect()}
-    assert marks[9] == (4, [0, 1]) and marks[-1] == marks[-2] == marks[-4] == (0, []) and marks[-3] == (1, [])
+    other = lawful(1, 420)[400:]
+    marks = {r["doc_id"]: (r["n_words"], r["marks"]) for r in B.restored_marks(spark.createDataFrame(other, SCHEMA), model).collect()}
+    right = wrong = 0
+    for i, text in other:
+        law = set(B.gaps(text)[1].nonzero()[0].tolist())
+        assert marks[i][0] == len(B._WORD.findall(text or ""))
+        right, wrong = right + len(law & set(marks[i][1])), wrong + len(law ^ set(marks[i][1]))
+    assert 2 * right / (2 * right + wrong) > 0.95 and right > 100
+    assert marks[-1] == marks[-2] == marks[-4] == (0, []) and marks[-3] == (1, [])
 
 
 def test_the_same_sums_by_hand(spark):
