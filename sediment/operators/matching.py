@@ -77,6 +77,43 @@ def matches(docs: DataFrame, entries: DataFrame, window: int = 3, slice_bytes: i
     return out
 
 
+def holding(docs: DataFrame, entries: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, entry): which of ``entries`` (entry) stand anywhere in each text of ``docs`` (doc_id, text), as they are written: the
+    automaton of ``matches`` without places, and a row once a text. Null texts and null or empty entries hold nothing."""
+    words = kept(entries.where("entry is not null and entry <> ''").select("entry").distinct(), "entries")
+    size = words.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
+    slices = max(1, -(-size // slice_bytes))
+    place = F.pmod(F.xxhash64(F.substring("entry", 1, 2)), F.lit(slices))
+    base = docs.where("text is not null").select("doc_id", "text")
+
+    def scan(some: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, entry in enumerate(some):
+                automaton.add_word(entry, i)
+            automaton.make_automaton()
+            for batch in batches:
+                which, found = [], []
+                for row, text in enumerate(batch.column(1)):
+                    own = {i for _, i in automaton.iter(text.as_py())} if some else set()
+                    which += [row] * len(own)
+                    found += [some[i] for i in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "entry"])
+
+        return run
+
+    out = None
+    for s in range(slices):
+        some = sorted(r[0] for r in words.where(place == s).collect())  # about slice_bytes
+        if some or out is None:
+            part = base.mapInArrow(scan(some), f"doc_id {dict(docs.dtypes)['doc_id']}, entry string")
+            part = part if slices == 1 else kept(part, "holding")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _swept(found: DataFrame, columns: list[str], run) -> DataFrame:
     """``run`` over the distinct (start, end, ...) of each text, sorted from the left, the longest first; it gives the places in
     the list of the rows that stay."""

@@ -134,13 +134,16 @@ MASKS = (
 )
 
 
-def mask(text: Column) -> tuple[Column, dict[str, Column]]:
-    """The text with identifiers replaced by [kind], and how many of each were."""
-    counts = {}
-    for name, pattern in MASKS:
-        counts[name] = F.regexp_count(text, F.lit(pattern)).cast("long")
-        text = F.regexp_replace(text, pattern, f"[{name}]")
-    return text, counts
+def masked(df: DataFrame, text: str, to: str) -> DataFrame:
+    """``df`` with ``to``, the text with identifiers replaced by [kind], and a column a kind (long), how many of it were. Each kind
+    is looked for in what the kinds before it left, once."""
+    out, now = df, text
+    for i, (name, pattern) in enumerate(MASKS):
+        after = to if i == len(MASKS) - 1 else f"_{to}{i}"
+        out = out.withColumn(after, F.regexp_replace(now, pattern, f"[{name}]"))
+        out = out.withColumn(name, F.regexp_count(now, F.lit(pattern)).cast("long"))
+        now = after
+    return out.drop(*[f"_{to}{i}" for i in range(len(MASKS) - 1)])
 
 
 def pseudonyms(df: DataFrame, value: str, order: str, to: str, prefix: str = "P", width: int = 6) -> DataFrame:

@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
+from ..sources.records import kept
 
 
 def shingle_sample(docs: DataFrame, n: int = 5, one_in: int = 8, key: str = "doc_id") -> DataFrame:
-    """(key, shingle): distinct word shingles whose digest falls in the sample; the same shingle is in it wherever it occurs."""
-    s = docs.select(key, F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), n))).alias("shingle"))
-    return s.where(F.conv(F.substring(F.md5("shingle"), 1, 4), 16, 10).cast("int") % one_in == 0)
+    """(key, shingle): hashes of the distinct word shingles whose digest falls in the sample; the same shingle is in it wherever
+    it occurs. Shingles outside the sample are left out before rows are made of them. The sample is written, as whoever
+    takes it reads it more than once."""
+    runs = T.word_ngrams(T.words(F.col("text")), n)
+
+    def drawn(s: Column) -> Column:
+        if 16 % one_in == 0:  # the last of the four digits says it all
+            return F.substring(F.md5(s), 4, 1).isin([f"{d:x}" for d in range(0, 16, one_in)])
+        return F.conv(F.substring(F.md5(s), 1, 4), 16, 10).cast("int") % one_in == 0
+
+    hashes = F.array_distinct(F.transform(F.filter(runs, drawn), lambda s: F.xxhash64(s)))
+    return kept(docs.select(key, F.explode(hashes).alias("shingle")), "shingles")
 
 
 def containment(candidates: DataFrame, held: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, other, shared, of_key, of_other) for all pairs that share a shingle, however few: as many pairs as there
     are; ``contained`` is the way with a threshold. Shingles are counted once a pair."""
-    candidates, held = (x.select(key, F.xxhash64("shingle").alias("shingle")) for x in (candidates, held))
     size = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     other = held.withColumnRenamed(key, "other")
     other_size = other.groupBy("other").agg(F.count(F.lit(1)).alias("m"))
@@ -33,7 +42,7 @@ def contained(sampled: DataFrame, least: float, key: str = "doc_id") -> DataFram
     looked up, and a shingle that very many documents share is looked up for hardly any of them; exact counts
     come from the documents' own sets.
     """
-    hashed = sampled.select(key, F.xxhash64("shingle").alias("shingle"))
+    hashed = sampled.select(key, "shingle")
     df = hashed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     ranked = hashed.join(df, "shingle").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("df", "shingle"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     probes = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(F.col(key).alias("probe"), "shingle")
@@ -47,7 +56,7 @@ def contained(sampled: DataFrame, least: float, key: str = "doc_id") -> DataFram
 def union_contained(sampled: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
     """(key, n, elsewhere, of_union, covered): how many of a document's shingles all others hold together. Shingles are
     counted, no documents are paired."""
-    hashed = sampled.select(key, F.xxhash64("shingle").alias("shingle"))
+    hashed = sampled.select(key, "shingle")
     df = hashed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     out = hashed.join(df, "shingle").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("df") > 1, 1)).alias("elsewhere"))
     return out.withColumn("of_union", F.col("elsewhere") / F.col("n")).withColumn("covered", F.col("of_union") >= least)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.records import kept
+from .matching import holding
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,8 +121,8 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def quote_levels(docs: DataFrame, quotes: DataFrame, quote_key: str = "item_id", key: str = "doc_id") -> DataFrame:
     """(quote, key, level) of quotes whose words stand in a text one after another: verbatim, normalised (lower case,
-    single spaces) or plain (the words alone). Candidates share the quote's first eight words, or all of a shorter one;
-    the check is on whole texts. Quotes without words are in no text."""
+    single spaces) or plain (the words alone). One automaton of all quotes' words goes over the words of each text
+    once; only texts that hold a quote are looked at as they are written. Quotes without words are in no text."""
 
     def normal(x: Column) -> Column:
         return F.trim(F.regexp_replace(T.lower(x), r"[\x20\x09-\x0D]+", " "))
@@ -128,16 +130,8 @@ def quote_levels(docs: DataFrame, quotes: DataFrame, quote_key: str = "item_id",
     def plain(x: Column) -> Column:
         return F.concat(F.lit(" "), F.concat_ws(" ", T.words(x)), F.lit(" "))
 
-    first = F.slice(T.words(F.col("text")), 1, 8)
-    start = quotes.select(F.col(quote_key), F.col("text").alias("quote"), F.size(first).alias("n"), F.concat_ws(" ", first).alias("gram")).where("n > 0")
-    lengths = sorted(r[0] for r in start.select("n").distinct().collect())  # eight numbers at most
-    if not lengths:
-        return docs.select(F.lit(None).cast("long").alias(quote_key), key, F.lit("").alias("level")).where("false")
-    grams = docs.select(key, T.words(F.col("text")).alias("ts"))
-    grams = [grams.select(key, F.lit(n).alias("n"), F.explode(F.array_distinct(T.word_ngrams(F.col("ts"), n))).alias("gram")) for n in lengths]
-    every = grams[0]
-    for g in grams[1:]:
-        every = every.unionByName(g)
-    pairs = every.join(start, ["n", "gram"]).select(quote_key, key, "quote").distinct().join(docs.select(key, "text"), key).where(plain(F.col("text")).contains(plain(F.col("quote"))))
+    asked = kept(quotes.select(quote_key, F.col("text").alias("quote"), plain(F.col("text")).alias("entry")).where("length(entry) > 2").distinct(), "quotes")
+    found = kept(holding(docs.select(F.col(key).alias("doc_id"), plain(F.col("text")).alias("text")), asked.select("entry")), "found")
+    pairs = found.withColumnRenamed("doc_id", key).join(asked, "entry").select(quote_key, key, "quote").distinct().join(docs.select(key, "text"), key)
     level = F.when(F.col("text").contains(F.col("quote")), "verbatim").when(normal(F.col("text")).contains(normal(F.col("quote"))), "normalised").otherwise("plain")
     return pairs.select(quote_key, key, level.alias("level"))

@@ -109,8 +109,8 @@ SELECT doc_id, len(regexp_extract_all(t0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-
 len(regexp_extract_all(t2, '\+?[0-9]{0,2} ?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}\b'))::BIGINT AS phone, len(regexp_extract_all(t3, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'))::BIGINT AS address,
 md5(regexp_replace(t3, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[address]', 'g')) AS masked_md5 FROM c""")
 def mask_identifiers(spark, d):
-    text, counts = P.mask(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in counts.items()], F.md5(text.cast("binary")).alias("masked_md5"))
+    docs = P.masked(table(spark, d, "documents").select("doc_id", "text"), "text", "masked")
+    return docs.select("doc_id", *[name for name, _ in P.MASKS], F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
 
 
 @query(266, sql="SELECT s_suppkey, 'P' || lpad(dense_rank() OVER (ORDER BY f, s_nationkey)::VARCHAR, 6, '0') AS pseudonym FROM (SELECT s_suppkey, s_nationkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS f FROM supplier)")
