@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.records import kept
+
 Z95 = 1.96
 
 
@@ -72,7 +74,7 @@ def average_rank(df: DataFrame, value: str, to: str = "rank", by: list[str] | No
     """Ranks from 1 with ties averaged, of the rows with a value. Ranks are worked out on distinct values (their counts
     are summed range by range) and joined back."""
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = kept(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     ranks = _running(counts, value, by, "_n", to).withColumn(to, F.col(to) - (F.col("_n") - 1) / 2).drop("_n")
     return df.join(ranks, [*by, value])
 
@@ -81,7 +83,8 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05, to: str = "signif
     """Marks the rows that the step-up procedure keeps at rate ``q`` (within ``by``), from distinct p-values with their
     counts, range by range."""
     by = by or []
-    counts = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    df = kept(df, "tested")  # p-values are worked out once
+    counts = kept(df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n")), "counts")
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_m"))
     running = _running(counts, p, by, "_n", "_i")
     ranked = running.join(total, by) if by else running.crossJoin(total)  # one row
