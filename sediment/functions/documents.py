@@ -20,13 +20,20 @@ def said(value) -> str:
 
 
 def first_value(text: str | None) -> str | None:
-    """The first object or list in a text that is whole, as canonical text; what can't be read is passed over."""
+    """The first object or list in a text that is whole, as canonical text; what can't be read is passed over. Of one that is nested
+    deeper than Python follows, some value inside may be given."""
+    skip = 0
     for m in _START.finditer(text or ""):
+        if skip:
+            skip -= 1
+            continue
         try:
             value, _ = _DECODER.raw_decode(text, m.start())
             return said(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             continue
+        except RecursionError:
+            skip = 500  # what begins right behind is hardly less deep
     return None
 
 
