@@ -20,20 +20,21 @@ def said(value) -> str:
 
 
 def first_value(text: str | None) -> str | None:
-    """The first object or list in a text that is whole, as canonical text; what can't be read is passed over. Of one that is nested
-    deeper than Python follows, some value inside may be given."""
-    skip = 0
+    """The first object or list in a text that is whole, as canonical text; what can't be read is passed over. Where tries that fail
+    have read the text many times over (deep nesting that never ends), the search goes on behind what failed."""
+    work, behind = 0, 0
     for m in _START.finditer(text or ""):
-        if skip:
-            skip -= 1
+        at, sign = m.start(), m.group()
+        if at < behind or text.find("]" if sign == "[" else "}", at) < 0:
             continue
         try:
-            value, _ = _DECODER.raw_decode(text, m.start())
+            value, _ = _DECODER.raw_decode(text, at)
             return said(value)
-        except ValueError:
-            continue
-        except RecursionError:
-            skip = 500  # what begins right behind is hardly less deep
+        except (json.JSONDecodeError, RecursionError) as e:
+            end = getattr(e, "pos", at + 10_000)  # deeper than Python follows: so many brackets were read at least
+            work += end - at
+            if work > 16 * len(text) + 10_000:
+                behind = end
     return None
 
 

@@ -97,7 +97,7 @@ def brand_profiles(spark, d):
 
 @query(187, 188, sql="""WITH c AS (SELECT o_orderpriority AS tree, n_name AS leaf, p_brand AS f, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
 s AS (SELECT tree, leaf, f, n / sum(n) OVER (PARTITION BY tree, leaf) AS p FROM c), l AS (SELECT DISTINCT tree, leaf FROM c)
-SELECT x.tree, x.leaf AS a, y.leaf AS b, round(1 - coalesce(sum(least(p.p, q.p)), 0) + 1e-10, 6) AS distance FROM l x JOIN l y ON x.tree = y.tree AND x.leaf < y.leaf LEFT JOIN s p ON p.tree = x.tree AND p.leaf = x.leaf LEFT JOIN s q ON q.tree = y.tree AND q.leaf = y.leaf AND q.f = p.f GROUP BY 1, 2, 3""")
+SELECT x.tree, x.leaf AS a, y.leaf AS b, round(1 - coalesce(sum(CASE WHEN q.p IS NOT NULL THEN least(p.p, q.p) END), 0) + 1e-10, 6) AS distance FROM l x JOIN l y ON x.tree = y.tree AND x.leaf < y.leaf LEFT JOIN s p ON p.tree = x.tree AND p.leaf = x.leaf LEFT JOIN s q ON q.tree = y.tree AND q.leaf = y.leaf AND q.f = p.f GROUP BY 1, 2, 3""")
 def profile_distances(spark, d):
     far = R.profile_distances(brand_profiles(spark, d))
     return far.select("tree", "a", "b", F.round(F.col("distance") + 1e-10, 6).alias("distance"))  # halves of a last place go up everywhere
