@@ -18,6 +18,7 @@ from .shared import freed
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 UNSEEN = frozenset("head title script style noscript template iframe object svg canvas audio video select button textarea datalist".split())
 APART = frozenset("nav footer aside form menu dialog search header".split())
+LINKLESS = frozenset("article body h1 h2 h3 h4 h5 h6 li main p section td tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words for what stays outside the text whatever it holds, an article too.
 FINAL_WORDS = frozenset("comment comments disqus replies reply respond discussion sidebar aside related recommended footer".split())
@@ -66,7 +67,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._seen += 1
         if tag == "a":
-            self._link = True
+            self._link = any(name == "href" for name, _ in attrs)  # others are places to link to
         if tag == "br":
             self._parts.append(" ")
         block = tag in BLOCKS
@@ -76,6 +77,8 @@ class Lines(HTMLParser):
             if tag == "body":
                 self._close("head")
             self._line()
+            if tag in LINKLESS:
+                self._link = False  # a link that nobody closed
             if self._open[-1][0] == "p":
                 self._pop()
             if tag in ENDS:

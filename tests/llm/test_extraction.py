@@ -67,6 +67,7 @@ def test_no_article_element():
         ("</article></div><p>stray", "stray"),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\nb\nc"),
         ("<article><p>a</p></nav></section><p>b</p></article><p>after", "a\nb"),
+        (f"<body><a name=top><div><p>{LONG}<p><a href=x>{LONG}<p>{LONG} too</div><ul><li><a href=y>menu</a></ul>", f"{LONG}\n{LONG}\n{LONG} too"),
     ],
 )
 def test_edges_of_pages(page, text):
