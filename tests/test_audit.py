@@ -48,3 +48,24 @@ def test_equations_against_a_plain_search(spark):
                         wanted[d, s, a, b] = wanted.get((d, s, a, b), 0) + 1
     found = A.equations(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(terms, "term string, modern boolean")).collect()
     assert {(x["doc_id"], x["sentence"], x["old"], x["modern"]): x["n"] for x in found} == wanted and wanted
+
+
+def test_sentences_are_trimmed_of_spaces_alone(spark):
+    from pyspark.sql import functions as F
+
+    from sediment.functions import text as T
+
+    texts = [("One.  . Two !   ",), ("0 is none. 1 is one. 2",), (" . ",)]
+    found = [r[0] for r in spark.createDataFrame(texts, "text string").select(T.sentences(F.col("text"))).collect()]
+    assert found == [["One", "Two"], ["0 is none", "1 is one", "2"], []]
+    terms = spark.createDataFrame([("humour", False), ("virus", True)], "term string, modern boolean")
+    docs = spark.createDataFrame([(1, "One.  . Humour means virus.")], "doc_id long, text string")
+    assert [r["sentence"] for r in A.equations(docs, terms).collect()] == [1]
+
+
+def test_cells_of_many_values_are_trimmed_of_spaces_alone(spark, tmp_path):
+    from sediment.sources import records
+
+    (tmp_path / "cells.csv").write_text("id,values\n1,0 a; 1 b ; ;2\n")
+    found = records.read_delimited(spark, str(tmp_path / "cells.csv"), "id long, values string", several={"values": ";"}).collect()
+    assert found[0]["values"] == ["0 a", "1 b", "2"]
