@@ -17,16 +17,18 @@ from .graphs import components
 SLICE_BYTES = 16 << 20
 #: Rows of a table that may be broadcast.
 SMALL = 200_000
+#: Matches that a task of ``matches`` or ``holding`` holds before it passes them on.
+HELD = 1 << 13
 _LETTERS = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def matches(docs: DataFrame, entries: DataFrame, window: int = 3, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def matches(docs: DataFrame, entries: DataFrame, window: int = 3, slice_bytes: int = SLICE_BYTES, whole: bool = False) -> DataFrame:
     """(doc_id, entry, start, end, bounded, near): every place where a text holds an entry, overlapping ones too; start and end
     are code points, end exclusive. ``bounded``: no letter stands beside it; ``near``: the ``window`` words before and
-    after it, as far as there are any. A-Z are lower-cased in texts and entries.
+    after it, as far as there are any. ``whole``: bounded places only. A-Z are lower-cased in texts and entries.
 
-    One automaton of all entries goes over each text once. It is made of at most ``slice_bytes`` of entries; a larger
+    One automaton of all entries goes over each text once, and a task holds ``HELD`` matches at a time. It is made of at most ``slice_bytes`` of entries; a larger
     list is cut by the first two letters, which no match can cross, into slices with a pass of their own, and what a
     slice finds is written before the next. ``docs``: doc_id, text; ``entries``: entry. Null texts and null or empty
     entries match nothing; entries that are equal but for case are one (the lower-cased); repeated documents match each."""
@@ -45,25 +47,35 @@ def matches(docs: DataFrame, entries: DataFrame, window: int = 3, slice_bytes: i
             for entry in some:
                 automaton.add_word(entry, entry)
             automaton.make_automaton()
+            def made(ids: pa.Array, which: list[int], rows: list[tuple]) -> pa.RecordBatch:
+                cols = list(zip(*rows)) or [()] * 5
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "entry", "start", "end", "bounded", "near"])
+
             for batch in batches:
                 rows: list[tuple] = []
                 which: list[int] = []
                 for i, text in enumerate(batch.column(1)):
                     low = text.as_py().translate(_LOWER)
-                    found = [(at - len(entry) + 1, at + 1, entry) for at, entry in automaton.iter(low)]
-                    if not found:
-                        continue
-                    spans = [m.span() for m in _LETTERS.finditer(low)]
-                    begins, ends = [s for s, _ in spans], [e for _, e in spans]
-                    for start, end, entry in found:
-                        before, after = bisect_right(ends, start), bisect_left(begins, end)
+                    begins: list[int] | None = None
+                    for at, entry in automaton.iter(low):
+                        if begins is None:
+                            spans = [m.span() for m in _LETTERS.finditer(low)]
+                            begins, ends = [s for s, _ in spans], [e for _, e in spans]
+                        start, end = at - len(entry) + 1, at + 1
                         bounded = not _LETTERS.match(low[start - 1 : start]) and not _LETTERS.match(low[end : end + 1])
-                        near = [low[s:e] for s, e in spans[max(0, before - window) : before] + spans[after : after + window]]
+                        if whole and not bounded:
+                            continue
+                        near = []
+                        if window:
+                            before, after = bisect_right(ends, start), bisect_left(begins, end)
+                            near = [low[s:e] for s, e in spans[max(0, before - window) : before] + spans[after : after + window]]
                         which.append(i)
                         rows.append((entry, start, end, bounded, near))
-                cols = list(zip(*rows)) or [()] * 5
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "entry", "start", "end", "bounded", "near"])
+                        if len(rows) >= HELD:
+                            yield made(batch.column(0), which, rows)
+                            rows, which = [], []
+                yield made(batch.column(0), which, rows)
 
         return run
 
@@ -94,13 +106,19 @@ def holding(docs: DataFrame, entries: DataFrame, slice_bytes: int = SLICE_BYTES)
             for i, entry in enumerate(some):
                 automaton.add_word(entry, i)
             automaton.make_automaton()
+            def made(ids: pa.Array, which: list[int], found: list[str]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "entry"])
+
             for batch in batches:
                 which, found = [], []
                 for row, text in enumerate(batch.column(1)):
                     own = {i for _, i in automaton.iter(text.as_py())} if some else set()
                     which += [row] * len(own)
                     found += [some[i] for i in own]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "entry"])
+                    if len(found) >= HELD:
+                        yield made(batch.column(0), which, found)
+                        which, found = [], []
+                yield made(batch.column(0), which, found)
 
         return run
 

@@ -23,7 +23,7 @@ def lexicon(spark, d):
 
 @query(257, 286, sql=f"WITH {TOKENS}, {LEXICON} SELECT doc_id, count(*) AS mentions, count(DISTINCT token) AS entries FROM t JOIN e ON e.entry = t.token GROUP BY 1")
 def lexicon_mentions(spark, d):
-    found = M.matches(texts(spark, d), lexicon(spark, d)).where("bounded")
+    found = M.matches(texts(spark, d), lexicon(spark, d), window=0, whole=True)
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("entry").alias("entries"))
 
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -171,3 +171,17 @@ def test_queries_without_sql(spark):
     pairs = [(r["a"], r["b"], float(r["weight"])) for r in name_pairs(spark, FOLDER).collect()]
     groups = {(x["name"], x["entity"], x["names"], round(x["weight"], 6)) for x in QUERIES["alias_groups"].run(spark, FOLDER).collect()}
     assert groups == by_hand(pairs, blocked)
+
+
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_matches_are_passed_on_piece_by_piece(spark, monkeypatch, held):
+    docs = spark.createDataFrame([(i, "abc ab, c abab " * i) for i in range(9)] + [(20, None), (21, "")], "doc_id long, text string").coalesce(1)
+    entries = spark.createDataFrame([("ab",), ("abc",), ("b",)], "entry string")
+    wanted = Counter((i, e, bool(whole)) for i in range(9) for _ in range(i) for e, whole in (("ab", 0), ("ab", 1), ("ab", 0), ("ab", 0), ("abc", 1), ("b", 0), ("b", 0), ("b", 0), ("b", 0)))
+    monkeypatch.setattr(M, "HELD", held)
+    every = M.matches(docs, entries).collect()
+    assert Counter((r["doc_id"], r["entry"], r["bounded"]) for r in every) == wanted
+    whole = M.matches(docs, entries, 0, whole=True).collect()
+    assert Counter((r["doc_id"], r["entry"], r["start"], r["end"]) for r in whole) == Counter((r["doc_id"], r["entry"], r["start"], r["end"]) for r in every if r["bounded"])
+    assert all(r["near"] == [] for r in whole)
+    assert {(r["doc_id"], r["entry"]) for r in M.holding(docs, entries).collect()} == {(i, e) for i, e, _ in wanted}
