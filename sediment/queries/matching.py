@@ -44,7 +44,7 @@ def gated_mentions(spark, d):
     words = [F.array(*map(F.lit, x)) for x in (("the", "die", "la", "de"), ("of", "und", "et", "y"))]
     none = F.lit(None).cast("int")
     rules = entry.select("entry", F.col("entry").alias("entity"), F.lit(True).alias("whole"), F.when(size % 2 == 0, words[0]).alias("needs"), F.when(size % 3 == 0, words[1]).alias("never"), none.alias("first"), none.alias("last"))
-    found = M.gated(M.matches(texts(spark, d), entry).where("bounded"), rules)
+    found = M.gated(M.matches(texts(spark, d), entry, whole=True), rules)
     return found.groupBy("entry", "gate").agg(F.count(F.lit(1)).alias("n"))
 
 
