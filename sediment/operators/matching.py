@@ -141,7 +141,7 @@ def _swept(found: DataFrame, columns: list[str], run) -> DataFrame:
         table = table.sort_by([("start", "ascending"), ("end", "descending"), *((c, "ascending") for c in columns)])
         return table.take(pa.array(run(*(table[c].to_pylist() for c in ("start", "end", *columns))), pa.int64()))
 
-    some = found.select("doc_id", "start", "end", *columns).distinct()
+    some = found.select("doc_id", "start", "end", *columns).repartition("doc_id").distinct()  # one shuffle for both
     return some.groupBy("doc_id").applyInArrow(one, ", ".join(f"{c} {kinds[c]}" for c in some.columns))
 
 

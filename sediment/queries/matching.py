@@ -29,7 +29,7 @@ def lexicon_mentions(spark, d):
 
 @query(257)
 def lexicon_longest_mentions(spark, d):
-    found = M.longest(M.matches(texts(spark, d), lexicon(spark, d)))
+    found = M.longest(M.matches(texts(spark, d), lexicon(spark, d), window=0))
     return found.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
