@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.records import kept
+from . import overlap
 
 
 def total(baskets: DataFrame) -> DataFrame:
@@ -73,13 +75,27 @@ def family(baskets: DataFrame, core: list, min_share: float, max_extra: int) ->
 
 def nearest(baskets: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, basket, shared, jaccard): for each basket of ``queries`` the most similar other basket, ties to the
-    smallest. Candidates come from shared items; counts are aggregated before the best is taken with one max."""
-    size = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    shared = queries.withColumnRenamed("basket", "query").join(baskets, "item").where("query <> basket").groupBy("query", "basket").agg(F.count(F.lit(1)).alias("shared"))
-    sized = shared.join(size, "basket").join(size.select(F.col("basket").alias("query"), F.col("size").alias("size_q")), "query")
-    scored = sized.withColumn("jaccard", F.col("shared") / (F.col("size") + F.col("size_q") - F.col("shared")))
-    best = scored.groupBy("query").agg(F.max(F.struct("jaccard", -F.col("basket"), "shared")).alias("m"))
-    return best.select("query", (-F.col("m.col2")).alias("basket"), F.col("m.shared").alias("shared"), F.col("m.jaccard").alias("jaccard"))
+    smallest. ``queries``: rows of ``baskets``, of which the basket is taken.
+
+    Baskets of the same items are one set with its two smallest baskets. A query whose set has another basket is done with
+    that; the others are held against all sets, in tiles. Null items make a basket larger and are in common with none."""
+    held = baskets.groupBy("basket").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"), F.count(F.lit(1)).alias("size"))
+    held = kept(held.where("basket is not null and size(items) > 0"), "baskets")
+    order = Window.partitionBy("items", "size").orderBy("basket")
+    two = held.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
+    sets = kept(two.groupBy("items", "size").agg(F.min("basket").alias("case"), F.nullif(F.max("basket"), F.min("basket")).alias("second")), "sets")
+    asked = held.join(queries.select("basket").distinct(), "basket", "left_semi").withColumnRenamed("basket", "query")
+    met = kept(asked.join(sets, ["items", "size"]), "met")
+    other = F.when(F.col("query") != F.col("case"), F.col("case")).otherwise(F.col("second"))
+    whole = F.col("size") == F.size("items")
+    done = F.col("second").isNotNull() & whole
+    same = met.where(done).select("query", other.alias("basket"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
+    lone = met.where(~done).select("query", "items", "size")
+    some = sets.withColumn("case", F.explode(F.when(whole, F.array("case")).otherwise(F.array("case", "second"))))
+    weights = F.array_repeat(F.lit(1.0), F.size("items"))
+    near = overlap.best(lone, some.select("case", "items", weights.alias("weights"), "size"), 1, True)
+    best = near.groupBy("query").agg(F.max(F.struct("score", -F.col("case"), "shared")).alias("m"))
+    return same.unionByName(best.select("query", (-F.col("m.col2")).alias("basket"), F.col("m.shared").cast("long").alias("shared"), F.col("m.score").alias("jaccard")))
 
 
 def partners(pairs: DataFrame, item, top: int) -> DataFrame:
