@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from sediment.operators import baskets, overlap, sequences
+from sediment.operators import baskets, overlap, reuse, sequences
 
 
 def rows(r, n, items, null=False):
@@ -66,3 +66,15 @@ def test_only_a_tile_s_best_are_passed_on(spark, monkeypatch):
 def test_nothing_to_ask(spark):
     held = spark.createDataFrame([(1, "a"), (2, "a")], "basket long, item string")
     assert baskets.nearest(held, held.where("basket > 5")).collect() == []
+
+
+@pytest.mark.parametrize("common", [1, 2, 5, 64])
+def test_best_containment_against_all_pairs(spark, common):
+    r = random.Random(common)
+    often = [set(range(i, i + 4)) for i in range(0, 24, 3)]
+    sets = {d: set.union(*r.sample(often, r.randint(0, 2)), {1000 * r.randint(0, 20) + j for j in range(r.randint(0, 3))}, {10**6 + d}) for d in range(50)}
+    sets |= {60: sets[1], 61: sets[1], 62: {-1}, 63: set(range(8))}
+    sampled = spark.createDataFrame([(d, x) for d, s in sets.items() for x in sorted(s)], "doc_id long, shingle long")
+    wanted = {d: max(len(s & o) for e, o in sets.items() if e != d) / len(s) for d, s in sets.items()}
+    found = {x["doc_id"]: x["of_key"] for x in reuse.best_containment(sampled, common).collect()}
+    assert found == pytest.approx({d: x for d, x in wanted.items() if x})
