@@ -13,3 +13,12 @@ def test_grams_are_counted_piece_by_piece(spark, monkeypatch, piece):
     texts = ["abab", "a", "", None, "é\U0001f600a", "ab", "bbbbbbbb"]
     found = T.char_ngram_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), 2).collect()
     assert {r["gram"]: r["n"] for r in found} == Counter(t[i : i + 2] for t in texts if t for i in range(len(t) - 1))
+
+
+def test_bare_grams_are_counted_piece_by_piece(spark, monkeypatch):
+    from sediment.catalog import QUERIES
+
+    query = QUERIES["bare_bigrams"]
+    whole = {tuple(r) for r in query.run(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(T, "PIECE", 1000)
+    assert {tuple(r) for r in query.run(spark, "/root/testdata/sf0.001").collect()} == whole != set()
