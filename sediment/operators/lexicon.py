@@ -98,14 +98,33 @@ def collocates(docs: DataFrame, term: str, distance: int, by: str, top: int, key
 
 
 def bigram_model(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pairs, mean_log): mean log probability of a word after the one before it, with one added to every count."""
+    """(key, pairs, mean_log): mean log probability of a word after the one before it, with one added to every count.
+
+    Pairs and first words go once each to where they are counted, a row a document, as hashes of 64 bits; back goes a sum a
+    document and task."""
     words = T.words(F.col(text))
-    pairs = docs.select(key, F.explode(T.word_ngrams(words, 2)).alias("pair")).groupBy(key, "pair").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.groupBy("pair").agg(F.sum("n").alias("c"))
-    heads = both.groupBy(F.substring_index("pair", " ", 1).alias("head")).agg(F.sum("c").alias("h"))
+
+    def counted(hashes: Column) -> Column:
+        # how often each value stands in an array: where runs of equal ones begin once it is sorted
+        def of(s: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+            return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, at: F.struct(F.get(s, i).alias("x"), (F.coalesce(F.get(b, at + 1), F.size(s)) - i).alias("n")))).getItem(0)
+
+        return F.transform(F.array(F.sort_array(hashes)), of).getItem(0)
+
+    def met(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    some = docs.select(key, words.alias("w")).where(F.size("w") > 1)
+
+    def rows(n: int) -> DataFrame:
+        found = F.transform(F.array("w"), lambda w: counted(met(w, n))).getItem(0)
+        return some.select(key, F.inline(found)).withColumn("c", F.sum("n").over(Window.partitionBy("x")))
+
+    pairs, heads = rows(2), rows(1)
     size = docs.select(F.explode(words).alias("w")).agg(F.countDistinct("w").alias("v"))
-    chance = both.join(heads, F.substring_index("pair", " ", 1) == F.col("head")).crossJoin(size).select("pair", F.ln((F.col("c") + 1) / (F.col("h") + F.col("v"))).alias("logp"))
-    return pairs.join(chance, "pair").groupBy(key).agg(F.sum("n").alias("pairs"), (F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean_log"))
+    sums = pairs.select(key, "n", (F.col("n") * F.ln(F.col("c") + 1)).alias("s")).unionByName(heads.crossJoin(size).select(key, F.lit(0).alias("n"), (-F.col("n") * F.ln(F.col("c") + F.col("v"))).alias("s")))
+    return sums.groupBy(key).agg(F.sum("n").alias("pairs"), (F.sum("s") / F.sum("n")).alias("mean_log"))
 
 
 def hashed_vectors(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
