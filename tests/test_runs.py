@@ -6,6 +6,8 @@ import math
 from collections import Counter
 
 from sediment.operators import lexicon as L
+from sediment.operators import transmission as X
+from sediment.sources.records import kept
 
 
 def test_pairs_go_to_their_counts_once(spark):
@@ -20,3 +22,14 @@ def test_pairs_go_to_their_counts_once(spark):
     wanted = {d: [math.log((pairs[p] + 1) / (heads[p[0]] + v)) for p in zip(w, w[1:])] for d, w in words.items() if len(w) > 1}
     found = {r["doc_id"]: (r["pairs"], round(r["mean_log"], 9)) for r in made.collect()}
     assert found == {d: (len(x), round(sum(x) / len(x), 9)) for d, x in wanted.items()}
+
+
+def test_runs_that_stand_once_are_left_where_they_are_counted(spark, monkeypatch):
+    common = " ".join(f"c{'abcdefghij'[i]}" for i in range(10))
+    rows = [("w1", 1, 1, "own words of the first text here " + common), ("w2", 2, 2, common + " and other words that nobody else has"), ("w3", 3, 3, "nothing in common with any of the others at all")]
+    passages = spark.createDataFrame(rows, "work string, passage long, at long, text string")
+    written = {}
+    monkeypatch.setattr(X, "kept", lambda df, name: written.setdefault(name, kept(df, name)))
+    found = X.quotations(passages)
+    assert written["runs"].count() == 10  # five runs of six words, in two passages
+    assert [tuple(r) for r in found.collect()] == [("w2", 2, 0, 10, "w1", 1, 7)]
