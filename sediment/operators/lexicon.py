@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.records import kept
 
 #: Patterns of typed mentions, in the order in which overlapping ones of equal length are kept.
 MENTIONS = (
@@ -141,12 +142,14 @@ def hashed_vectors(docs: DataFrame, width: int, key: str = "doc_id", text: str =
 def reuse_features(docs: DataFrame, sources: DataFrame, n: int = 3, key: str = "doc_id", source: str = "item_id") -> DataFrame:
     """(source, key, shared, covered, span, in_order): how a document takes up a source: distinct runs of ``n`` words they share,
     their share of the source's, words from the first to the last of them in the document, and the share of
-    neighbouring ones that come in the source's order. Runs are placed where they stand first."""
+    neighbouring ones that come in the source's order. Runs are placed where they stand first; those that no source has
+    are left out where they are read."""
 
-    def first(df: DataFrame, of: str, to: str) -> DataFrame:
-        return df.select(of, F.posexplode(T.word_ngrams(T.words(F.col("text")), n)).alias("pos", "gram")).groupBy(of, F.xxhash64("gram").alias("gram")).agg(F.min("pos").alias(to))
+    def runs(df: DataFrame, of: str) -> DataFrame:
+        return df.select(of, F.posexplode(T.word_ngrams(T.words(F.col("text")), n)).alias("pos", "_g")).select(of, "pos", F.xxhash64("_g").alias("gram"))
 
-    held, asked = first(docs, key, "p"), first(sources, source, "q")
+    asked = kept(runs(sources, source).groupBy(source, "gram").agg(F.min("pos").alias("q")), "asked")
+    held = runs(docs, key).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy(key, "gram").agg(F.min("pos").alias("p"))
     size = asked.groupBy(source).agg(F.count(F.lit(1)).alias("runs"))
     before = F.lag("q").over(Window.partitionBy(source, key).orderBy("p", "q"))
     both = held.join(asked, "gram").withColumn("before", before)

@@ -33,3 +33,11 @@ def test_runs_that_stand_once_are_left_where_they_are_counted(spark, monkeypatch
     found = X.quotations(passages)
     assert written["runs"].count() == 10  # five runs of six words, in two passages
     assert [tuple(r) for r in found.collect()] == [("w2", 2, 0, 10, "w1", 1, 7)]
+
+
+def test_only_runs_of_a_source_are_grouped(spark):
+    docs = spark.createDataFrame([(1, "x a b c d a b c y"), (2, "p q r s"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
+    found = L.reuse_features(docs, asked)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(7, 1, 2, 1.0, 4, 1.0)]
