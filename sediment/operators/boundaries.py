@@ -6,12 +6,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import kept
+
 _WORD = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 MARKS = re.compile("[.,;:!?]")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -35,6 +38,18 @@ class Model:
         return np.take_along_axis(self.odds, views.T, axis=1).T @ self.weights[:-1] + self.weights[-1]
 
 
+#: Checksums go on from those of the number of the view, and lengths from 12 on are one.
+_FOURTH, _FIFTH = zlib.crc32(b"4 "), zlib.crc32(b"5 ")
+_LENGTHS = np.array([[zlib.crc32(f"8 {a} {b}".encode()) % BUCKETS for b in range(13)] for a in range(13)], np.int64)
+
+
+@lru_cache(maxsize=1 << 16)
+def _alone(word: str) -> tuple[int, ...]:
+    """What the views see of one word: buckets as the first to fourth word, of its end and of its beginning, and its length."""
+    seen = ((0, word), (1, word), (2, word), (3, word), (6, word[-3:]), (7, word[:3]))
+    return *(zlib.crc32(f"{v} {x}".encode()) % BUCKETS for v, x in seen), min(len(word), 12)
+
+
 def gaps(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(views, marked, rule) of the gaps between a text's words; nothing but lower-cased words is looked at."""
     low = (text or "").translate(_LOWER)
@@ -44,12 +59,17 @@ def gaps(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(marked):
         return np.zeros((0, VIEWS), np.int64), marked, marked
     padded = ["", *words, "", ""]
-    rows = []
-    for i in range(1, len(words)):
-        a, b, c, d = padded[i - 1], padded[i], padded[i + 1], padded[i + 2]
-        seen = (a, b, c, d, f"{b} {c}", f"{a} {b}", b[-3:], c[:3], f"{min(len(b), 12)} {min(len(c), 12)}")
-        rows.append([zlib.crc32(f"{v} {x}".encode()) % BUCKETS for v, x in enumerate(seen)])
-    return np.array(rows, np.int64), marked, np.array([w in OPENERS for w in words[1:]], bool)
+    alone = np.array([_alone(w) for w in padded], np.int64)
+    n = len(words) - 1
+    views = np.empty((n, VIEWS), np.int64)
+    for v in range(4):  # the words around a gap
+        views[:, v] = alone[v : n + v, v]
+    crc, pairs = zlib.crc32, [f"{a} {b}".encode() for a, b in zip(padded, padded[1:])]
+    views[:, 4] = [crc(x, _FOURTH) % BUCKETS for x in pairs[1 : n + 1]]
+    views[:, 5] = [crc(x, _FIFTH) % BUCKETS for x in pairs[:n]]
+    views[:, 6], views[:, 7] = alone[1 : n + 1, 4], alone[2 : n + 2, 5]
+    views[:, 8] = _LENGTHS[alone[1 : n + 1, 6], alone[2 : n + 2, 6]]
+    return views, marked, np.array([w in OPENERS for w in words[1:]], bool)
 
 
 def _part(key: str, dev: int, test: int) -> Column:
@@ -62,14 +82,31 @@ def _pieces(docs: DataFrame, part: str, key: str, dev: int, test: int) -> DataFr
     return docs.where(_part(key, dev, test) == part).select("text")
 
 
+def _viewed(texts: DataFrame) -> DataFrame:
+    """(views, marked): the gaps of each text, written once for those who go over them again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                views, marked, _ = gaps(text.as_py())
+                if len(marked):
+                    yield pa.RecordBatch.from_arrays([pa.array([views.astype(np.uint16).tobytes()]), pa.array([marked.tobytes()])], names=["views", "marked"])
+
+    return kept(texts.mapInArrow(run, "views binary, marked binary"), "views")
+
+
+def _unpacked(views: pa.Scalar, marked: pa.Scalar) -> tuple[np.ndarray, np.ndarray, None]:
+    return np.frombuffer(views.as_py(), np.uint16).reshape(-1, VIEWS).astype(np.int64), np.frombuffer(marked.as_py(), bool), None
+
+
 def _totals(texts: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all texts of what ``add(views, marked, rule)`` gives: an array of ``size`` numbers, summed inside tasks first."""
+    """Sum over all texts (or rows of ``_viewed``) of what ``add(views, marked, rule)`` gives: an array of ``size`` numbers, summed inside tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            for text in batch.column(0):
-                views, marked, rule = gaps(text.as_py())
+            for row in zip(*batch.columns):
+                views, marked, rule = gaps(row[0].as_py()) if len(row) == 1 else _unpacked(*row)
                 if len(marked):
                     total += add(views, marked, rule)
         at = np.flatnonzero(total)
@@ -101,7 +138,7 @@ def fitted(docs: DataFrame, key: str = "doc_id", dev: int = 10, test: int = 20,
         return Model(np.zeros((VIEWS, BUCKETS)), np.zeros(VIEWS + 1), np.inf)
     odds = np.log((hits + 4 * share) / (n - hits + 4 * (1 - share))) - np.log(share / (1 - share))
     weights = np.concatenate([np.full(VIEWS, 1 / VIEWS), [np.log(share / (1 - share))]])
-    texts = _pieces(docs, "dev", key, dev, test)
+    texts = _viewed(_pieces(docs, "dev", key, dev, test))
     k = VIEWS + 1
     for _ in range(rounds):
         model = Model(odds, weights, 0.0)

@@ -70,3 +70,18 @@ def test_nothing_to_learn(spark):
 def test_query(spark):
     found = {r["method"]: r for r in QUERIES["punctuation_model"].run(spark, "/root/testdata/sf0.001").collect()}
     assert found["model"]["f1"] > found["rule"]["f1"] and found["model"]["gaps"] == found["rule"]["gaps"] > 1000
+
+
+def test_gaps_are_hashed_as_their_words_are_spelled_and_written_once(spark):
+    import zlib
+
+    words = ["a", "é", "abcdefghijklmnop", "and", "x1"]
+    views, marked, rule = B.gaps("A é, abcdefghijklmnop; and X1")
+    padded = ["", *words, "", ""]
+    for i, row in enumerate(views.tolist(), 1):
+        a, b, c, d = padded[i - 1 : i + 3]
+        seen = (a, b, c, d, f"{b} {c}", f"{a} {b}", b[-3:], c[:3], f"{min(len(b), 12)} {min(len(c), 12)}")
+        assert row == [zlib.crc32(f"{v} {x}".encode()) % B.BUCKETS for v, x in enumerate(seen)]
+    back = B._viewed(spark.createDataFrame([("A é, abcdefghijklmnop; and X1",), (None,), ("one",)], "text string")).collect()
+    assert len(back) == 1
+    assert bytes(back[0]["views"]) == views.astype("uint16").tobytes() and bytes(back[0]["marked"]) == marked.tobytes()
