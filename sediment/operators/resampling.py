@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.stats import _log_gamma
+from ..sources.records import dealt, kept
 
 #: Distribution function of the Poisson law with mean 1 at 0, 1, ..., 7.
 POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
@@ -19,14 +20,22 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
+def _hex(*parts: Column | str) -> Column:
+    """``draw`` as its eight hexadecimal digits, which sort as the number does and cost no conversion."""
+    return F.substring(F.md5(F.concat_ws("-", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 1, 8)
+
+
 def relabelled(units: DataFrame, group: str, rounds: int, unit: str = "unit") -> DataFrame:
     """``units`` once a round with ``round`` and ``drawn``: as many rows are drawn as are in the group (a boolean), those with
     the smallest hashes of unit and round. Round 0 is the data as it is.
 
     Hashes are counted in 4,096 ranges a round, which tells in which range the last row drawn lies; rows under it are drawn,
-    rows over it aren't, and only those in it are ranked. So no task holds the units of a round."""
+    rows over it aren't, and only those in it are ranked. So no task holds the units of a round. Units are dealt before they
+    are hashed, as a small file of them is one task's otherwise."""
+    units = kept(units, "units")
+    units = dealt(units, units.count() * rounds // 16, unit)  # rows are made one by one, few are held
     size = units.agg(F.count(F.when(F.col(group), 1)).alias("_k"))
-    every = units.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_h", draw(unit, "round")).withColumn("_b", F.shiftright("_h", 20))
+    every = units.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_h", _hex(unit, "round")).withColumn("_b", F.substring("_h", 1, 3))
     counts = every.groupBy("round", "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("round").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = counts.withColumn("_before", ahead).crossJoin(size).where((F.col("_before") <= F.col("_k")) & (F.col("_before") + F.col("_n") > F.col("_k")))  # one row

@@ -28,3 +28,14 @@ def test_contained_fetches_sets_without_sorting_pairs(spark, monkeypatch, size):
     rows = {tuple(r)[:3] for r in found.collect()}
     assert rows == {(a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if a != b and len(x & y) / len(x) >= 0.3}
     assert found.count() == len(rows)
+
+
+def test_units_of_one_file_are_relabelled_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from sediment.operators.resampling import relabelled
+
+    units = spark.range(2000).select(F.col("id").alias("unit"), (F.col("id") < 700).alias("g")).coalesce(1)
+    found = relabelled(units, "g", 3).where("round > 0 and drawn").select("round", F.spark_partition_id().alias("p"))
+    assert found.groupBy("round").count().where("count = 700").count() == 3
+    assert found.select("p").distinct().count() > 2
