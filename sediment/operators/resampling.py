@@ -61,9 +61,10 @@ def permutation_test(units: DataFrame, value: str, group: str, rounds: int = 200
 def max_statistic(items: DataFrame, units: DataFrame, group: str, rounds: int = 100, unit: str = "unit") -> DataFrame:
     """(item, gap, p): the gap between an item's share of units in the group and outside, and the share of relabellings whose
     largest gap over all items is as large."""
-    drawn = relabelled(units.select(unit, group), group, rounds, unit)
+    sets = items.select(unit, "item").distinct().groupBy(unit).agg(F.collect_list("item").alias("items"))
+    drawn = relabelled(units.select(unit, group).join(sets, unit, "left"), group, rounds, unit)
     sizes = drawn.groupBy("round").agg(F.count(F.when(F.col("drawn"), 1)).alias("n"), F.count(F.when(~F.col("drawn"), 1)).alias("m"))
-    held = items.select(unit, "item").distinct().join(drawn, unit).groupBy("round", "item").agg(F.count(F.when(F.col("drawn"), 1)).alias("a"), F.count(F.when(~F.col("drawn"), 1)).alias("b"))
+    held = drawn.select("round", "drawn", F.explode("items").alias("item")).groupBy("round", "item").agg(F.count(F.when(F.col("drawn"), 1)).alias("a"), F.count(F.when(~F.col("drawn"), 1)).alias("b"))
     gaps = held.join(sizes, "round").withColumn("gap", F.abs(F.col("a") / F.col("n") - F.col("b") / F.col("m")))
     most = gaps.where("round > 0").groupBy("round").agg(F.max("gap").alias("most"))
     seen = gaps.where("round = 0").select("item", "gap")
