@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.records import dealt, distinct, kept
 
 #: Joints of a stated relation between two words, and the words before it that deny it.
 JOINTS, DENIALS = ("of", "in", "for", "from", "with"), ("not", "no", "nor", "was")
@@ -78,13 +79,16 @@ def profile_fits(seen: DataFrame, profiles: DataFrame, case: str, top: int) -> D
     """(case, profile, coverage, precision, fit, place): the ``top`` profiles of each case. ``seen`` is (case, feature),
     ``profiles`` (profile, feature); a feature weighs ln(1 + profiles / profiles with it). Coverage is the share of a profile's
     weight that was seen, precision the share of the seen weight that the profile explains, fit their mean. Seen features
-    that no profile knows weigh nothing. Ties go to the smaller profile."""
-    profiles, seen = profiles.select("profile", "feature").distinct(), seen.select(case, "feature").distinct()
+    that no profile knows weigh nothing. Ties go to the smaller profile. Profiles go to all tasks; cases are dealt by the rows
+    that they make with them."""
+    profiles, seen = profiles.select("profile", "feature").distinct(), distinct(seen.select(case, "feature"), case)
     n = profiles.agg(F.countDistinct("profile").alias("n"))
-    weights = profiles.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("feature", F.ln(1 + F.col("n") / F.col("df")).alias("w"))
-    weighed, known = profiles.join(weights, "feature"), seen.join(weights, "feature")
-    whole, mass = weighed.groupBy("profile").agg(F.sum("w").alias("whole")), known.groupBy(case).agg(F.sum("w").alias("mass"))
-    both = known.join(profiles, "feature").groupBy(case, "profile").agg(F.sum("w").alias("met"))
+    weights = profiles.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("feature", "df", F.ln(1 + F.col("n") / F.col("df")).alias("w"))
+    weighed, known = profiles.join(weights, "feature"), kept(seen.join(F.broadcast(weights), "feature"), "known")
+    met = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]  # one number: rows of cases and profiles with a feature in common
+    known = dealt(known, met, case)
+    whole, mass = F.broadcast(weighed.groupBy("profile").agg(F.sum("w").alias("whole"))), known.groupBy(case).agg(F.sum("w").alias("mass"))
+    both = known.join(F.broadcast(profiles), "feature").groupBy(case, "profile").agg(F.sum("w").alias("met"))
     fits = both.join(whole, "profile").join(mass, case).withColumn("coverage", F.col("met") / F.col("whole")).withColumn("precision", F.col("met") / F.col("mass"))
     fits = fits.withColumn("fit", F.round((F.col("coverage") + F.col("precision")) / 2, 6))
     place = F.row_number().over(Window.partitionBy(case).orderBy(F.desc("fit"), "profile"))

@@ -39,3 +39,16 @@ def test_units_of_one_file_are_relabelled_by_many_tasks(spark):
     found = relabelled(units, "g", 3).where("round > 0 and drawn").select("round", F.spark_partition_id().alias("p"))
     assert found.groupBy("round").count().where("count = 700").count() == 3
     assert found.select("p").distinct().count() > 2
+
+
+def test_cases_are_dealt_by_the_rows_they_make(spark, monkeypatch):
+    from sediment.operators import evidence as E
+
+    monkeypatch.setattr(records, "TASK_ROWS", 50)
+    seen = spark.createDataFrame([(c, f"f{f}") for c in range(60) for f in range(5) if (c + f) % 4], "case long, feature string")
+    profiles = spark.createDataFrame([(p, f"f{f}") for p in range(10) for f in range(5) if (p * f) % 3 != 1], "profile long, feature string")
+    found = E.profile_fits(seen, profiles, "case", 3)
+    assert found.count() == 180
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    met = seen.join(profiles, "feature").count()
+    assert f"RepartitionByExpression [case#" in text and f", {-(-met // 50)}" in text
