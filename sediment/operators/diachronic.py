@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.records import distinct, kept
 
 
 def zero_filled(counts: DataFrame, periods: DataFrame, keys: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def change_point(counts: DataFrame, at: str, label: str, min_side: int) -> DataF
 
 def preferred_names(uses: DataFrame, period: str, name: str, unit: str) -> DataFrame:
     """(period, preferred, share, switched): the name that most distinct units use in each period (ties: the last in
-    alphabetical order), one-period blips smoothed, and whether the preference switched and holds."""
-    counts = uses.groupBy(period, name).agg(F.countDistinct(unit).alias("n"))
+    alphabetical order), one-period blips smoothed, and whether the preference switched and holds. Repeated uses are put
+    together by unit before they are counted."""
+    counts = kept(distinct(uses.select(period, name, unit), unit).groupBy(period, name).agg(F.count(unit).alias("n")), "counts")
     total = counts.groupBy(period).agg(F.sum("n").alias("t"))
     best = counts.groupBy(period).agg(F.max(F.struct("n", name)).alias("m")).join(total, period).select(period, F.col(f"m.{name}").alias("raw"), (F.col("m.n") / F.col("t")).alias("share"))
     w = Window.orderBy(period)  # a row a period

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diachronic as D
 from ..registry import query, table
+from ..sources.records import dealt
 
 
 def r6(*names):
@@ -13,7 +14,9 @@ def r6(*names):
 
 
 def brand_years(spark, d):
-    both = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, n = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "lineitem").count()
+    named = dealt(lines, n, "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    both = dealt(named, n, "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return both.select(F.year("o_orderdate").alias("year"), F.col("p_brand").alias("brand"), F.col("o_orderkey").alias("unit"), F.col("p_type").alias("type"), F.col("o_custkey").alias("cluster"))
 
 

@@ -52,3 +52,23 @@ def test_cases_are_dealt_by_the_rows_they_make(spark, monkeypatch):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     met = seen.join(profiles, "feature").count()
     assert f"RepartitionByExpression [case#" in text and f", {-(-met // 50)}" in text
+
+
+@pytest.mark.parametrize("name", ["name_switches", "odds_ratio_group_contrast"])
+def test_order_lines_are_dealt_by_their_number(spark, monkeypatch, name):
+    from sediment.catalog import QUERIES
+
+    folder, parts = "/root/testdata/sf0.001", []
+    whole = {tuple(r) for r in QUERIES[name].run(spark, folder).collect()}
+    monkeypatch.setattr(records, "TASK_ROWS", 1000)
+    dealt = records.dealt
+
+    def told(df, rows, *by):
+        parts.append((rows, *by))
+        return dealt(df, rows, *by)
+
+    for module in ("sediment.sources.records", "sediment.queries.diachronic", "sediment.queries.profiles"):
+        monkeypatch.setattr(f"{module}.dealt", told)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert {tuple(r) for r in QUERIES[name].run(spark, folder).collect()} == whole
+    assert {(lines, "l_partkey"), (lines, "l_orderkey"), (lines, "unit")} <= set(parts)
