@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.records import dealt, distinct, kept
 
 
 def column_types(df: DataFrame, share: float = 0.9, few: int = 20) -> DataFrame:
@@ -102,11 +103,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def group_contrasts(units: DataFrame, group: str, min_units: int = 3, q: float = 0.05) -> DataFrame:
     """For every group and item of (unit, group, item): share inside and elsewhere, odds ratio, one-sided exact p, and the
-    joint Benjamini-Hochberg mark. Items that are rarer inside than elsewhere have p = 1 and stay in the count."""
-    size = units.select("unit", group).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("g"))
+    joint Benjamini-Hochberg mark. Items that are rarer inside than elsewhere have p = 1 and stay in the count. Repeated rows
+    count once; they are put together by unit, once for all counts."""
+    units = kept(distinct(units.select("unit", group, "item"), "unit"), "units")
+    size = dealt(units.select("unit", group), units.count(), "unit").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("g"))
     everyone = size.agg(F.sum("g").alias("N"))
-    inside = units.groupBy(group, "item").agg(F.countDistinct("unit").alias("a")).where(F.col("a") >= min_units)
-    overall = units.groupBy("item").agg(F.countDistinct("unit", group).alias("k"))
+    inside = units.groupBy(group, "item").agg(F.count("unit").alias("a")).where(F.col("a") >= min_units)
+    overall = units.groupBy("item").agg(F.count(F.when(F.col("unit").isNotNull() & F.col(group).isNotNull(), 1)).alias("k"))
     rows = inside.join(size, group).join(overall, "item").crossJoin(everyone)
     a, b, c = F.col("a"), F.col("g") - F.col("a"), F.col("k") - F.col("a")
     d = F.col("N") - F.col("g") - c

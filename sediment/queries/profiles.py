@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profiles as P
 from ..registry import query, table
+from ..sources.records import dealt
 
 
 def r6(*names):
@@ -83,7 +84,10 @@ t AS (SELECT grp, q.item, a, share, elsewhere, odds_ratio, CASE WHEN a / size::D
 l AS (SELECT max(CASE WHEN p <= 0.05 * i / m THEN p END) AS lim FROM (SELECT p, count(*) OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM t))
 SELECT grp, item, a, share, elsewhere, odds_ratio, round(p, 6) AS p, coalesce(p <= lim, false) AS significant FROM t, l""")
 def odds_ratio_group_contrast(spark, d):
-    u = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("grp"), F.col("p_brand").alias("item")).distinct()
+    lines, n = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "lineitem").count()
+    named = dealt(lines, n, "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    both = dealt(named, n, "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), F.col("o_orderkey") == F.col("l_orderkey"))
+    u = both.select(F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("grp"), F.col("p_brand").alias("item"))
     return P.group_contrasts(u, "grp").select("grp", "item", "a", *r6("share", "elsewhere", "odds_ratio", "p"), "significant")
 
 
