@@ -88,11 +88,12 @@ def reading_order(boxes: DataFrame, gutter: float = GUTTER, vertical: bool = Fal
     """(page, box, block, line, place): the boxes of every page in reading order, place from 0. ``boxes``: page, box, x0, y0, x1, y1,
     y downwards. ``vertical``: lines run from top to bottom and follow each other from right to left.
 
-    Boxes with a null or reversed side are left out; boxes on one place go by their number; a task holds the boxes of one
+    Other columns of ``boxes`` go along, after place. Boxes with a null or reversed side are left out; boxes on one place go by their number; a task holds the boxes of one
     page. Pages without boxes are not there."""
+    more = [c for c in boxes.columns if c not in ("page", "box", "x0", "y0", "x1", "y1")]
     some = boxes.where("x0 <= x1 and y0 <= y1")
     if vertical:  # turned by a quarter, lines run from left to right and downwards
-        some = some.select("page", "box", F.col("y0").alias("x0"), (-F.col("x1")).alias("y0"), F.col("y1").alias("x1"), (-F.col("x0")).alias("y1"))
+        some = some.select("page", "box", F.col("y0").alias("x0"), (-F.col("x1")).alias("y0"), F.col("y1").alias("x1"), (-F.col("x0")).alias("y1"), *more)
     kinds = dict(boxes.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
@@ -101,7 +102,7 @@ def reading_order(boxes: DataFrame, gutter: float = GUTTER, vertical: bool = Fal
         heights = sorted(r[3] - r[1] for r in rows)
         found = ordered(rows, gutter * max(heights[len(heights) // 2], 1e-9))
         at = pa.array([f[0] for f in found], pa.int64())
-        return pa.table([table["page"].take(at), table["box"].take(at), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array(range(len(found)), pa.int32())], names=["page", "box", "block", "line", "place"])
+        return pa.table([table["page"].take(at), table["box"].take(at), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array(range(len(found)), pa.int32()), *(table[c].take(at) for c in more)], names=["page", "box", "block", "line", "place", *more])
 
-    some = some.select("page", "box", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    return some.groupBy("page").applyInArrow(run, f"page {kinds['page']}, box {kinds['box']}, block int, line int, place int")
+    some = some.select("page", "box", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), *more)
+    return some.groupBy("page").applyInArrow(run, f"page {kinds['page']}, box {kinds['box']}, block int, line int, place int" + "".join(f", `{c}` {kinds[c]}" for c in more))

@@ -46,6 +46,6 @@ def pages_in_reading_order(spark, d):
     y = F.when(F.col("i") < 8, 0.0).otherwise(20.0 + line * 12)
     tilt = F.pmod(F.xxhash64("page_id", "i"), F.lit(3)) - 1.0  # scans are never straight
     boxes = each.select(F.col("page_id").alias("page"), F.xxhash64("page_id", "i").alias("box"), x.alias("x0"), (y + tilt).alias("y0"), (x + wide).alias("x1"), (y + tilt + 10).alias("y1"), "word")
-    found = L.reading_order(boxes).join(boxes.select("page", "box", "word"), ["page", "box"])
+    found = L.reading_order(boxes)
     said = F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda w: w["word"])
     return found.groupBy(F.col("page").alias("page_id")).agg(said.alias("ws")).select("page_id", F.size("ws").alias("words"), F.md5(F.array_join("ws", " ").cast("binary")).alias("digest"))

@@ -144,3 +144,11 @@ def test_pages_come_back_in_order(spark):
         found.setdefault(b["page"], []).append(b["box"])
     assert found == wanted
     assert reading_order(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_other_columns_go_along_with_boxes(spark):
+    from sediment.operators.layout import reading_order
+
+    rows = [("p", 2, 40.0, 0.0, 60.0, 10.0, "b"), ("p", 1, 0.0, 0.0, 20.0, 10.0, "a"), ("q", 7, 0.0, 0.0, 5.0, 5.0, None)]
+    found = reading_order(spark.createDataFrame(rows, "page string, box long, x0 double, y0 double, x1 double, y1 double, word string"))
+    assert {(r["page"], r["place"], r["word"]) for r in found.collect()} == {("p", 0, "a"), ("p", 1, "b"), ("q", 0, None)}
