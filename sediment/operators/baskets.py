@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..sources.records import kept
+from ..sources.records import dealt, kept
 from . import overlap
 
+#: Sets of up to so many items are met by their parts; how many items a query may leave out at first (a row one more); and how
+#: many products of a tile take as long as a row of a part.
+PARTS, LEFT, PRODUCTS = 12, 1, 200
+
 
 def total(baskets: DataFrame) -> DataFrame:
     """One row: n, the number of baskets."""
@@ -73,28 +79,79 @@ def family(baskets: DataFrame, core: list, min_share: float, max_extra: int) ->
     return counted.where((F.col("held") >= min_share * len(core)) & (F.col("extra") <= max_extra)).withColumn("missing", F.lit(len(core)) - F.col("held"))
 
 
-def nearest(baskets: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, basket, shared, jaccard): for each basket of ``queries`` the most similar other basket, ties to the
-    smallest. ``queries``: rows of ``baskets``, of which the basket is taken.
+def parts_made(sets: DataFrame, left: int) -> int:
+    """How many rows ``parts`` makes."""
+    sizes = sets.groupBy(F.size("items").alias("c")).count().collect()
+    return sum(n * sum(math.comb(c, k) for k in range(min(left, c - 1) + 1)) for c, n in sizes)
+
+
+def parts(sets: DataFrame, key: str, left: int, rows: int) -> DataFrame:
+    """A row for each non-empty part of ``items`` (array of distinct strings) that leaves out at most ``left`` of them: _h and part, hash
+    and items of the part as one string, and _n, their number. Dealt by the part, ``rows`` being those of the larger side."""
+    names = F.transform("items", lambda x: F.concat(F.length(x), F.lit(":"), x))  # lengths keep ["a", "b"] and ["ab"] apart
+    masks = F.filter(F.sequence(F.lit(1), F.expr("shiftleft(1, size(items)) - 1")), lambda m: F.bit_count(m) >= F.size("items") - left)
+    each = dealt(sets, rows, key).withColumn("_names", names).withColumn("_m", F.explode(masks))
+    each = each.withColumn("part", F.array_join(F.filter("_names", lambda x, i: F.getbit("_m", i) == 1), ""))
+    return dealt(each.select(key, "size", F.xxhash64("part").alias("_h"), "part", F.bit_count("_m").alias("_n")), rows, "_h", "part")
+
+
+def best_by_parts(asked: DataFrame, held: DataFrame, left: int) -> DataFrame:
+    """(query, case, shared, score): for each query (query, items, size) rows of ``held`` (case, items, size) that have a part in common with it, of
+    which the query leaves out at most ``left`` items and the row one more; among them the best one of all such, ties to the smallest.
+
+    Of the rows that hold a part the smallest is the most similar, so two rows a part are enough (one may be the query's own)."""
+    rows = max(parts_made(asked, left), parts_made(held, left + 1))
+    rank = F.row_number().over(Window.partitionBy("_h", "part").orderBy("size", "case"))
+    least = parts(held, "case", left + 1, rows).withColumn("_r", rank).where("_r <= 2").select("_h", "part", "case", F.col("size").alias("_size"))
+    near = parts(asked, "query", left, rows).join(least, ["_h", "part"]).where("query != case")
+    return near.select("query", "case", F.col("_n").cast("double").alias("shared"), (F.col("_n") / (F.col("size") + F.col("_size") - F.col("_n"))).alias("score"))
+
+
+def nearest(baskets: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(query, basket, shared, jaccard): for each basket of ``queries`` (of all, if none are given) the most similar other basket, ties to
+    the smallest. ``queries``: rows of ``baskets``, of which the basket is taken.
 
-    Baskets of the same items are one set with its two smallest baskets. A query whose set has another basket is done with
-    that; the others are held against all sets, in tiles. Null items make a basket larger and are in common with none."""
+    Baskets of the same items are one set with its two smallest baskets. A query whose set has another basket is done with that.
+    The others are held against sets by the parts that leave out few items: a query that has found better than what the rest
+    could be to it is done. Those left are held against all sets, by tiles if they are few, else by all parts (sets of more
+    than ``PARTS`` items in tiles). Null items make a basket larger and are in common with none."""
     held = baskets.groupBy("basket").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"), F.count(F.lit(1)).alias("size"))
     held = kept(held.where("basket is not null and size(items) > 0"), "baskets")
     order = Window.partitionBy("items", "size").orderBy("basket")
     two = held.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     sets = kept(two.groupBy("items", "size").agg(F.min("basket").alias("case"), F.nullif(F.max("basket"), F.min("basket")).alias("second")), "sets")
-    asked = held.join(queries.select("basket").distinct(), "basket", "left_semi").withColumnRenamed("basket", "query")
-    met = kept(asked.join(sets, ["items", "size"]), "met")
+    asked = held if queries is None else held.join(queries.select("basket").distinct(), "basket", "left_semi")
+    met = kept(asked.withColumnRenamed("basket", "query").join(sets, ["items", "size"]), "met")
     other = F.when(F.col("query") != F.col("case"), F.col("case")).otherwise(F.col("second"))
-    whole = F.col("size") == F.size("items")
-    done = F.col("second").isNotNull() & whole
-    same = met.where(done).select("query", other.alias("basket"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
+    n, size = F.size("items"), F.col("size")
+    done = F.col("second").isNotNull() & (size == n)
+    same = met.where(done).select("query", other.alias("basket"), size.alias("shared"), F.lit(1.0).alias("jaccard"))
     lone = met.where(~done).select("query", "items", "size")
-    some = sets.withColumn("case", F.explode(F.when(whole, F.array("case")).otherwise(F.array("case", "second"))))
-    weights = F.array_repeat(F.lit(1.0), F.size("items"))
-    near = overlap.best(lone, some.select("case", "items", weights.alias("weights"), "size"), 1, True)
-    best = near.groupBy("query").agg(F.max(F.struct("score", -F.col("case"), "shared")).alias("m"))
+    some = sets.withColumn("case", F.explode(F.when(size == n, F.array("case")).otherwise(F.array("case", "second")))).where("case is not null").select("case", "items", "size")
+
+    def chosen(found: DataFrame) -> DataFrame:
+        return found.groupBy("query").agg(F.max(F.struct("score", -F.col("case"), "shared")).alias("m"))
+
+    def tiles(asked: DataFrame, held: DataFrame) -> DataFrame:
+        return overlap.best(asked, held.withColumn("weights", F.array_repeat(F.lit(1.0), n)), 1, True)
+
+    few = n <= PARTS
+    first = chosen(best_by_parts(lone.where(few), some.where(n <= PARTS + LEFT + 1), LEFT))
+    first = kept(lone.join(first, "query", "left"), "first")
+    beyond = F.greatest((n - LEFT - 1) / size, n / (size + LEFT + 2))  # no pair that the parts left out is more similar
+    sure = F.coalesce(F.col("m.score") > beyond, F.lit(False))
+    best = first.where(sure).select("query", "m")
+    rest = first.where(~sure).select("query", "items", "size")
+    asking = rest.count()
+    if asking:
+        large = some.where(~few)
+        if asking * some.count() <= PRODUCTS * (parts_made(rest.where(few), PARTS) + parts_made(some.where(few), PARTS)):
+            found = tiles(rest, some)
+        else:
+            found = best_by_parts(rest.where(few), some.where(few), PARTS)
+            if not large.isEmpty():
+                found = found.unionByName(tiles(rest.where(few), large)).unionByName(tiles(rest.where(~few), some))
+        best = best.unionByName(chosen(found))
     return same.unionByName(best.select("query", (-F.col("m.col2")).alias("basket"), F.col("m.shared").cast("long").alias("shared"), F.col("m.score").alias("jaccard")))
 
 

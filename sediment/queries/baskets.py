@@ -80,12 +80,11 @@ def family_containment(spark, d):
 
 
 @query(65, 117, sql=f"""WITH b AS ({BRANDS}), z AS (SELECT basket, count(*) AS size FROM b GROUP BY basket),
-s AS (SELECT q.basket AS query, o.basket, count(*) AS shared FROM b q JOIN b o ON q.item = o.item AND q.basket <> o.basket WHERE q.basket % 50 = 0 GROUP BY 1, 2),
+s AS (SELECT q.basket AS query, o.basket, count(*) AS shared FROM b q JOIN b o ON q.item = o.item AND q.basket <> o.basket GROUP BY 1, 2),
 j AS (SELECT s.*, shared / (a.size + c.size - shared)::DOUBLE AS jaccard FROM s JOIN z a ON a.basket = s.basket JOIN z c ON c.basket = s.query)
 SELECT query, basket, shared, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY jaccard DESC, basket) AS r FROM j) WHERE r = 1""")
 def nearest_basket(spark, d):
-    b = brands(spark, d)
-    return B.nearest(b, b.where("basket % 50 = 0")).select("query", "basket", "shared", *r6("jaccard"))
+    return B.nearest(brands(spark, d)).select("query", "basket", "shared", *r6("jaccard"))
 
 
 @query(203, sql=f"""WITH b AS ({BRANDS}) SELECT x.item AS a, y.item AS b, count(*) AS k FROM b x JOIN b y ON x.basket = y.basket

@@ -55,6 +55,37 @@ def test_nearest_baskets_and_cases_against_all_pairs(spark, monkeypatch, tile, i
     assert got == pytest.approx(wanted, abs=1e-8)
 
 
+def nearest_of_all(sets, size):
+    found = set()
+    for q in sets:
+        near = [(-(n := len(sets[q] & sets[b])) / (size[q] + size[b] - n), b, n) for b in sets if b != q and sets[q] & sets[b]]
+        if near:
+            j, b, n = min(near)
+            found.add((q, b, n, round(-j, 9)))
+    return found
+
+
+@pytest.mark.parametrize("parts,left,products,n", [(12, 1, 0, 5), (12, 1, 0, 18), (3, 1, 0, 18), (3, 1, 10**9, 18), (12, 0, 0, 18)])
+def test_nearest_of_every_basket_by_parts_and_tiles(spark, monkeypatch, parts, left, products, n):
+    items = ["a", "b", "ab", "1:a", *(f"i{x}" for x in range(14))][:n]
+    for name, value in zip(("PARTS", "LEFT", "PRODUCTS"), (parts, left, products)):
+        monkeypatch.setattr(baskets, name, value)
+    pairs = rows(random.Random(len(items) + 1), 70, items, null=True) + [(100 + i, x) for i in range(3) for x in items[i:]] + [(200, "alone")]
+    held = spark.createDataFrame(pairs, "basket long, item string")
+    found = [(x["query"], x["basket"], x["shared"], round(x["jaccard"], 9)) for x in baskets.nearest(held).collect()]
+    assert len(found) == len(set(found)) and set(found) == nearest_of_all(*sets_of(pairs))
+
+
+def test_nearest_basket_answers_for_every_basket(spark):
+    from sediment.catalog import QUERIES
+    from sediment.queries.baskets import brands
+
+    folder = "/root/testdata/sf0.001"
+    found = {(x["query"], x["basket"], x["shared"], round(x["jaccard"], 6)) for x in QUERIES["nearest_basket"].run(spark, folder).collect()}
+    wanted = nearest_of_all(*sets_of([tuple(x) for x in brands(spark, folder).collect()]))
+    assert found == {(q, b, n, round(j, 6)) for q, b, n, j in wanted} and any(q % 50 for q, *_ in found)
+
+
 def test_only_a_tile_s_best_are_passed_on(spark, monkeypatch):
     monkeypatch.setattr(overlap, "HELD", 20)
     held = spark.createDataFrame([(i, ["x", f"{i}"], [1.0, 1.0], 2) for i in range(60)], "case long, items array<string>, weights array<double>, size long")
