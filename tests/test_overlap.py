@@ -109,3 +109,35 @@ def test_best_containment_against_all_pairs(spark, common):
     wanted = {d: max(len(s & o) for e, o in sets.items() if e != d) / len(s) for d, s in sets.items()}
     found = {x["doc_id"]: x["of_key"] for x in reuse.best_containment(sampled, common).collect()}
     assert found == pytest.approx({d: x for d, x in wanted.items() if x})
+
+
+@pytest.mark.parametrize("common,tile,members", [(1, 1 << 13, 1 << 10), (1, 3, 2), (3, 5, 1), (64, 1 << 13, 1)])
+def test_shingle_sets_that_meet_by_items(spark, monkeypatch, common, tile, members):
+    for module, name, value in ((overlap, "ASKING", tile), (overlap, "HOLDING", tile + 2), (reuse, "MEMBERS", members), (reuse, "TOLD", 4)):
+        monkeypatch.setattr(module, name, value)
+    r = random.Random(common + tile)
+    often = [set(range(i, i + 4)) for i in range(0, 24, 3)]
+    sets = {d: set.union(*r.sample(often, r.randint(0, 2)), {1000 * r.randint(0, 20) + j for j in range(r.randint(0, 3))}, {10**6 + d} if d % 3 else set()) for d in range(60)}
+    sets |= {60 + i: sets[1] for i in range(5)} | {70: sets[2] | {-1}, 71: sets[2] | {-2, -3}, 72: {-4}, 73: set(range(8))}
+    sampled = spark.createDataFrame([(f"d{d}", x) for d, s in sets.items() for x in sorted(s)], "doc string, shingle long")
+    pairs = {(d, e): len(s & o) for d, s in sets.items() for e, o in sets.items() if d != e and s & o}
+    for least in (0.3, 0.6, 1.0):
+        found = [tuple(x) for x in reuse.contained(sampled, least, "doc", common).collect()]
+        assert len(found) == len(set(found))
+        assert set(found) == {(f"d{d}", f"d{e}", n, n / len(sets[d]), n / len(sets[e])) for (d, e), n in pairs.items() if n / len(sets[d]) >= least}
+
+
+def test_copies_are_paired_without_passing_their_pairs_on(spark, monkeypatch):
+    """Documents that differ in what they alone have are one case, so 40 of them make no pairs that are joined."""
+    rows = [(d, x) for d in range(40) for x in (*range(10), 1000 + d)]
+    sampled = spark.createDataFrame(rows, "doc_id long, shingle long")
+    asked, make = [], overlap.by_items
+
+    def told(sets, *rest):
+        asked.append(sets.where("asks").count())
+        return make(sets, *rest)
+
+    monkeypatch.setattr(overlap, "by_items", told)
+    assert reuse._cases(sampled, 8, "doc_id").count() == 1
+    assert reuse.contained(sampled, 0.3, common=8).count() == 40 * 39
+    assert asked == [0]
