@@ -125,10 +125,12 @@ def test_shingle_sets_that_meet_by_items(spark, monkeypatch, common, tile, membe
         found = [tuple(x) for x in reuse.contained(sampled, least, "doc", common).collect()]
         assert len(found) == len(set(found))
         assert set(found) == {(f"d{d}", f"d{e}", n, n / len(sets[d]), n / len(sets[e])) for (d, e), n in pairs.items() if n / len(sets[d]) >= least}
+    best = {x["doc"]: x["of_key"] for x in reuse.best_containment(sampled, common, "doc").collect()}
+    assert best == {f"d{d}": max(n / len(sets[d]) for (x, _), n in pairs.items() if x == d) for d in sets if any(x == d for x, _ in pairs)}
 
 
 def test_copies_are_paired_without_passing_their_pairs_on(spark, monkeypatch):
-    """Documents that differ in what they alone have are one case, so 40 of them make no pairs that are joined."""
+    """Documents that differ in what they alone have are one case, so 40 of them make no pairs that are joined, and none are held in tiles."""
     rows = [(d, x) for d in range(40) for x in (*range(10), 1000 + d)]
     sampled = spark.createDataFrame(rows, "doc_id long, shingle long")
     asked, make = [], overlap.by_items
@@ -140,4 +142,5 @@ def test_copies_are_paired_without_passing_their_pairs_on(spark, monkeypatch):
     monkeypatch.setattr(overlap, "by_items", told)
     assert reuse._cases(sampled, 8, "doc_id").count() == 1
     assert reuse.contained(sampled, 0.3, common=8).count() == 40 * 39
-    assert asked == [0]
+    assert {x["of_key"] for x in reuse.best_containment(sampled, 8).collect()} == {10 / 11}
+    assert asked == [0, 0]
