@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from ..sources.records import kept
 
 _WORD = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
+_PARTS = re.compile(f"({_WORD.pattern})")
 MARKS = re.compile("[.,;:!?]")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: What a gap is looked at through: words before and after, pairs, word ends and beginnings, lengths.
 VIEWS = 9
 #: Hashed values of each view.
 BUCKETS = 1 << 16
+#: Gaps that are added up at a time.
+TAKEN = 1 << 16
 #: Words that open a clause, for the rule that the model is held against.
 OPENERS = frozenset("and but or for that which when where if because und aber oder denn dass der die das wenn weil et mais ou car que qui quand si y pero o porque cuando donde".split())
 
@@ -41,35 +44,119 @@ class Model:
 #: Checksums go on from those of the number of the view, and lengths from 12 on are one.
 _FOURTH, _FIFTH = zlib.crc32(b"4 "), zlib.crc32(b"5 ")
 _LENGTHS = np.array([[zlib.crc32(f"8 {a} {b}".encode()) % BUCKETS for b in range(13)] for a in range(13)], np.int64)
+#: Words that a task knows at once, and the longest (in bytes) that checksums go on over by table.
+KNOWN, SHORT = 1 << 18, 48
+
+
+class _Words(dict):
+    """Numbers of words; the columns of ``seen`` are what the views see of each: buckets as the first to fourth word, of its end and of its
+    beginning, its length, the checksums that the fifth and sixth view go on from, its own checksum and bytes, and whether it opens a clause."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[int] = []
+        self.parts: dict[str, int] = {}
+        self.columns = np.zeros((12, 0), np.int64)
+        self[""]  # has number 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        spelled = word.encode()
+        self.new += (zlib.crc32(spelled), len(spelled), len(word), self.part(f"6 {word[-3:]}"), self.part(f"7 {word[:3]}"), word in OPENERS)
+        return n
+
+    def part(self, name: str) -> int:
+        found = self.parts.get(name)
+        if found is None:
+            found = self.parts[name] = zlib.crc32(name.encode()) % BUCKETS
+        return found
+
+    def seen(self) -> np.ndarray:
+        if self.new:
+            crc, size, length, end, beginning, opens = np.array(self.new, np.int64).reshape(-1, 6).T
+            fresh = np.empty((12, len(crc)), np.int64)
+            for v in range(4):
+                fresh[v] = _followed(np.full(len(crc), zlib.crc32(f"{v} ".encode())), crc, size) % BUCKETS
+            fresh[4:7] = end, beginning, np.minimum(length, 12)
+            space = np.full(len(crc), zlib.crc32(b" "))
+            for v, first in ((7, _FOURTH), (8, _FIFTH)):
+                fresh[v] = _followed(_followed(np.full(len(crc), first), crc, size), space, np.ones(len(crc), np.int64))
+            fresh[9:] = crc, size, opens
+            self.columns, self.new = np.concatenate([self.columns, fresh], 1), []
+        return self.columns
+
+
+class _Marked(dict):
+    """Whether what stands between two words has a mark."""
+
+    def __missing__(self, between: str) -> bool:
+        found = bool(MARKS.search(between))
+        if len(self) < KNOWN:
+            self[between] = found
+        return found
+
+
+def _over(crc: int, n: int) -> int:
+    """What a checksum becomes over ``n`` zeros, less theirs: it is linear in ``crc``."""
+    return zlib.crc32(bytes(n), crc) ^ zlib.crc32(bytes(n))
+
+
+@cache
+def _steps() -> np.ndarray:
+    return np.array([[[_over(v << 8 * k, n) for v in range(256)] for k in range(4)] for n in range(SHORT + 1)], np.int64)
+
+
+def _followed(crc: np.ndarray, after: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Checksums that go on over words with the checksums ``after`` and so many bytes."""
+    steps, n = _steps(), np.minimum(size, SHORT)
+    out = after.copy()
+    for k in range(4):
+        out ^= steps[n, k, crc >> 8 * k & 255]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = _over(int(crc[i]), int(size[i])) ^ int(after[i])
+    return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _alone(word: str) -> tuple[int, ...]:
-    """What the views see of one word: buckets as the first to fourth word, of its end and of its beginning, and its length."""
-    seen = ((0, word), (1, word), (2, word), (3, word), (6, word[-3:]), (7, word[:3]))
-    return *(zlib.crc32(f"{v} {x}".encode()) % BUCKETS for v, x in seen), min(len(word), 12)
+def _several(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(views, marked, rule) of the gaps of all texts in order, those of ``TAKEN`` gaps or a little more at a time."""
+    words, between = _Words(), _Marked()
+    ids, marks, sizes = [], [], []
+
+    def seen() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array(sizes)
+        at = np.arange(n.sum()) + np.repeat(4 * np.arange(len(n)), n)  # a text has one word more than gaps, and three empty ones around
+        a, b, c, d = (np.array(ids)[at + v] for v in range(4))
+        of = words.seen()
+        views = np.empty((len(at), VIEWS), np.int64)
+        for v, x in enumerate((a, b, c, d)):  # the words around a gap
+            views[:, v] = of[v][x]
+        views[:, 4] = _followed(of[7][b], of[9][c], of[10][c]) % BUCKETS
+        views[:, 5] = _followed(of[8][a], of[9][b], of[10][b]) % BUCKETS
+        views[:, 6], views[:, 7], views[:, 8] = of[4][b], of[5][c], _LENGTHS[of[6][b], of[6][c]]
+        return views, np.array(marks, bool), of[11][c].astype(bool)
+
+    for text in texts:
+        text = text or ""
+        parts = _PARTS.split(text.lower() if text.isascii() else text.translate(_LOWER))
+        if len(parts) < 5:
+            continue
+        ids += (0, *map(words.__getitem__, parts[1::2]), 0, 0)
+        marks += map(between.__getitem__, parts[2:-1:2])
+        sizes.append(len(parts) // 2 - 1)
+        if len(marks) >= TAKEN:
+            yield seen()
+            ids, marks, sizes = [], [], []
+            if len(words) > KNOWN:
+                words = _Words()
+    if sizes:
+        yield seen()
 
 
 def gaps(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(views, marked, rule) of the gaps between a text's words; nothing but lower-cased words is looked at."""
-    low = (text or "").translate(_LOWER)
-    spans = [m.span() for m in _WORD.finditer(low)]
-    words = [low[a:b] for a, b in spans]
-    marked = np.array([bool(MARKS.search(low, a[1], b[0])) for a, b in zip(spans, spans[1:])], bool)
-    if not len(marked):
-        return np.zeros((0, VIEWS), np.int64), marked, marked
-    padded = ["", *words, "", ""]
-    alone = np.array([_alone(w) for w in padded], np.int64)
-    n = len(words) - 1
-    views = np.empty((n, VIEWS), np.int64)
-    for v in range(4):  # the words around a gap
-        views[:, v] = alone[v : n + v, v]
-    crc, pairs = zlib.crc32, [f"{a} {b}".encode() for a, b in zip(padded, padded[1:])]
-    views[:, 4] = [crc(x, _FOURTH) % BUCKETS for x in pairs[1 : n + 1]]
-    views[:, 5] = [crc(x, _FIFTH) % BUCKETS for x in pairs[:n]]
-    views[:, 6], views[:, 7] = alone[1 : n + 1, 4], alone[2 : n + 2, 5]
-    views[:, 8] = _LENGTHS[alone[1 : n + 1, 6], alone[2 : n + 2, 6]]
-    return views, marked, np.array([w in OPENERS for w in words[1:]], bool)
+    none = np.zeros(0, bool)
+    found = list(_several([text]))
+    return found[0] if found else (np.zeros((0, VIEWS), np.int64), none, none)
 
 
 def _part(key: str, dev: int, test: int) -> Column:
@@ -83,14 +170,11 @@ def _pieces(docs: DataFrame, part: str, key: str, dev: int, test: int) -> DataFr
 
 
 def _viewed(texts: DataFrame) -> DataFrame:
-    """(views, marked): the gaps of each text, written once for those who go over them again."""
+    """(views, marked): the gaps of the texts, some at a time, written once for those who go over them again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                views, marked, _ = gaps(text.as_py())
-                if len(marked):
-                    yield pa.RecordBatch.from_arrays([pa.array([views.astype(np.uint16).tobytes()]), pa.array([marked.tobytes()])], names=["views", "marked"])
+        for views, marked, _ in _several(text.as_py() for batch in batches for text in batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array([views.astype(np.uint16).tobytes()]), pa.array([marked.tobytes()])], names=["views", "marked"])
 
     return kept(texts.mapInArrow(run, "views binary, marked binary"), "views")
 
@@ -100,15 +184,16 @@ def _unpacked(views: pa.Scalar, marked: pa.Scalar) -> tuple[np.ndarray, np.ndarr
 
 
 def _totals(texts: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all texts (or rows of ``_viewed``) of what ``add(views, marked, rule)`` gives: an array of ``size`` numbers, summed inside tasks first."""
+    """Sum over all texts (or rows of ``_viewed``) of what ``add(views, marked, rule)`` gives: an array of ``size`` numbers, summed inside tasks
+    first. ``add`` is given the gaps of many texts at a time, as it may take as long as ``size`` numbers do."""
+
+    packed = len(texts.columns) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
-            for row in zip(*batch.columns):
-                views, marked, rule = gaps(row[0].as_py()) if len(row) == 1 else _unpacked(*row)
-                if len(marked):
-                    total += add(views, marked, rule)
+        rows = (row for batch in batches for row in zip(*batch.columns))
+        for found in _several(row[0].as_py() for row in rows) if not packed else (_unpacked(*row) for row in rows):
+            total += add(*found)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "amount"])
 
@@ -128,8 +213,8 @@ def fitted(docs: DataFrame, key: str = "doc_id", dev: int = 10, test: int = 20,
     cells = VIEWS * BUCKETS
 
     def count(views, marked, _):
-        at = (views + np.arange(VIEWS) * BUCKETS).ravel()
-        return np.concatenate([np.bincount(at, minlength=cells), np.bincount(at, np.repeat(marked, VIEWS), cells)])
+        at = views + np.arange(VIEWS) * BUCKETS
+        return np.concatenate([np.bincount(at.ravel(), minlength=cells), np.bincount(at[marked].ravel(), minlength=cells)])
 
     counted = _totals(_pieces(docs, "train", key, dev, test), 2 * cells, count)
     n, hits = counted[:cells].reshape(VIEWS, BUCKETS), counted[cells:].reshape(VIEWS, BUCKETS)

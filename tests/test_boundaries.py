@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import zlib
+
+import numpy as np
 
 from sediment.catalog import QUERIES
 from sediment.operators import boundaries as B
@@ -85,3 +88,20 @@ def test_gaps_are_hashed_as_their_words_are_spelled_and_written_once(spark):
     back = B._viewed(spark.createDataFrame([("A é, abcdefghijklmnop; and X1",), (None,), ("one",)], "text string")).collect()
     assert len(back) == 1
     assert bytes(back[0]["views"]) == views.astype("uint16").tobytes() and bytes(back[0]["marked"]) == marked.tobytes()
+
+
+def test_gaps_of_many_texts_are_added_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(["a b, c"] * 4),)] * 30 + [(None,), ("one",)], "text string").coalesce(1)
+    calls = B._totals(docs, 3, lambda views, marked, rule: [1, len(marked), len(views)]).tolist()
+    assert calls == [1, 330, 330]
+    assert B._totals(B._viewed(docs), 2, lambda views, marked, rule: [1, len(marked) if rule is None else -1]).tolist() == [1, 330]
+    texts = [r["text"] for r in docs.collect()] + ["x" * 60 + " " + "é" * 40 + "; b " + "😀" * 30 + " c"]
+    whole = [B.gaps(x) for x in texts]
+    monkeypatch.setattr(B, "TAKEN", 40)
+    monkeypatch.setattr(B, "KNOWN", 1)
+    some = list(B._several(texts))
+    assert [len(x[1]) for x in some] == [44] * 7 + [26]
+    for together, alone in zip(zip(*some), zip(*whole)):
+        assert (np.concatenate(together) == np.concatenate(alone)).all()
+    for i, (a, b) in enumerate(zip(texts[-1].replace(";", "").split(), texts[-1].replace(";", "").split()[1:])):
+        assert whole[-1][0][i][4] == zlib.crc32(f"4 {a} {b}".encode()) % B.BUCKETS
